@@ -6,15 +6,23 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cytofold.llm import line_dedup
+from cytofold.llm import line_dedup, packing, warc
 from cytofold.llm.common import table
 
 
+def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op3_warc_revisits": lambda spark, sf: warc.digest(spark, table(spark, sf, "pages")),
+        "op5_packing": lambda spark, sf: packing.digest(spark, table(spark, sf, "documents"), tokenizer_path()),
         "op10_line_dedup": lambda spark, sf: line_dedup.digest(spark, table(spark, sf, "documents")),
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_line_dedup": line_dedup.SQL}
+    return {"op3_warc_revisits": warc.SQL, "op10_line_dedup": line_dedup.SQL}

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cytofold.llm import line_dedup, packing, quality, token_counts, toxicity, warc
+from cytofold.llm import decontamination, line_dedup, packing, quality, token_counts, toxicity, warc
 from cytofold.llm.common import table
 
 
@@ -18,6 +18,7 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_decontamination": lambda spark, sf: decontamination.digest(spark, table(spark, sf, "documents"), table(spark, sf, "benchmark")),
         "op2_toxicity": lambda spark, sf: toxicity.digest(spark, table(spark, sf, "documents"), table(spark, sf, "labels")),
         "op3_warc_revisits": lambda spark, sf: warc.digest(spark, table(spark, sf, "pages")),
         "op5_packing": lambda spark, sf: packing.digest(spark, table(spark, sf, "documents"), tokenizer_path()),

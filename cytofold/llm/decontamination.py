@@ -170,6 +170,16 @@ class Index:
         return out
 
 
+def _search(held, options: dict):
+    @F.pandas_udf(LEAK)
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        index = Index(held.value, **options)
+        for texts in batches:
+            yield pd.Series([[dict(zip(("item_id", "edits", "lo", "hi"), x, strict=True)) for x in leaks] for leaks in index([normal(t) for t in texts.fillna("")])])
+
+    return run
+
+
 def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", into: str = "_leaks", slice_bytes: int = 32 << 20, **options) -> DataFrame:
     """docs with an array of the benchmark items that leak into each whole text: struct(item_id, edits, lo, hi), lo and hi in the normalised text.
 
@@ -185,14 +195,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
         part = [(r["item_id"], r["text"]) for r in items.where(F.pmod(F.xxhash64("item_id"), F.lit(slices)) == s).orderBy("item_id", "text").collect()]
         held = docs.sparkSession.sparkContext.broadcast(part)
 
-        @F.pandas_udf(LEAK)
-        def run(batches: Iterator[pd.Series], held=held) -> Iterator[pd.Series]:
-            index = Index(held.value, **options)
-            for texts in batches:
-                yield pd.Series([[dict(zip(("item_id", "edits", "lo", "hi"), x, strict=True)) for x in leaks] for leaks in index([normal(t) for t in texts.fillna("")])])
-
         names.append(f"{into}_{s}")
-        out = out.withColumn(names[-1], run(F.col(text_col)))
+        out = out.withColumn(names[-1], _search(held, options)(F.col(text_col)))
     return out.withColumn(into, F.flatten(F.array(*names))).drop(*names)
 
 

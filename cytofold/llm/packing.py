@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import heapq
 import os
+import re
 import zlib
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -17,45 +19,50 @@ PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
 WINDOWS = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
+#: The characters that are white space to the tokenizer's pattern.
+_WHITE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+_CHUNK = re.compile(f"[{_WHITE}]*[^{_WHITE}]+|[{_WHITE}]+")
+
+
 class Encoder:
     """Token ids of whole texts, exactly as the tokenizer gives them.
 
-    The byte-level pattern never joins a word to a single space after it, so a text with no white space beside a
-    space is encoded chunk by chunk, where a chunk is a space and what follows it, and chunks are remembered. Other texts,
-    and such as may hold a special token, go to the tokenizer whole. The memory is emptied at `room` chunks.
+    The byte-level pattern always ends a piece before white space that follows something else. So white space with what
+    follows it is encoded on its own, and remembered. Texts that may hold a special token go to the tokenizer whole. The
+    memory is emptied when it holds `room` chunks.
     """
 
-    def __init__(self, path: str, room: int = 400_000):
+    def __init__(self, path: str, room: int = 800_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer, self.known, self.room = Tokenizer.from_file(path), {}, room
 
     def whole(self, texts: list[str]) -> list[bytes]:
-        return [np.asarray(x.ids, dtype="<u4").tobytes() for x in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+        return [np.asarray(x.ids, dtype="<u4").tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def __call__(self, texts: list[str]) -> list[bytes]:
-        out: list = [None] * len(texts)
-        known, split, plain = self.known, {}, []
-        if len(known) > self.room:
+        known = self.known
+        split = [None if "<|" in t else _CHUNK.findall(t) for t in texts]
+        new: set[str] = set()
+        for parts in split:
+            if parts:
+                new.update(parts)
+        new -= known.keys()
+        if len(known) + len(new) > self.room:
             known.clear()
-        for k, t in enumerate(texts):
-            parts = t.split(" ")
-            if "<|" in t or "" in parts or any(x[0].isspace() or x[-1].isspace() for x in parts):
-                plain.append(k)
-            else:
-                split[k] = parts
-        if plain:
-            for k, b in zip(plain, self.whole([texts[k] for k in plain]), strict=True):
-                out[k] = b
-        new = {x for parts in split.values() for x in parts[1:] if x not in known}
+            new = {x for parts in split if parts for x in parts}
         if new:
             order = list(new)
-            known.update(zip(order, self.whole([f" {x}" for x in order]), strict=True))
-        firsts = self.whole([parts[0] for parts in split.values()])
-        for (k, parts), first in zip(split.items(), firsts, strict=True):
-            out[k] = first + b"".join(map(known.__getitem__, parts[1:]))
-        return out
+            known.update(zip(order, self.whole(order), strict=True))
+        get = known.__getitem__
+        return [self.whole([t])[0] if parts is None else b"".join(map(get, parts)) for t, parts in zip(texts, split, strict=True)]
+
+
+@lru_cache(maxsize=2)
+def encoder(path: str) -> Encoder:
+    """One to a Python worker, so that tasks share what is remembered."""
+    return Encoder(path)
 
 
 def cut(n: int, window: int, most: int) -> list[tuple[int, int]]:
@@ -73,7 +80,7 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int = 0, window: int = 1024,
     """Each document's ids and then end_id, cut up; a piece carries the CRC-32 of its little-endian 32-bit ids. Null text: end_id alone."""
 
     def run(batches):
-        encode, end = Encoder(tokenizer), np.asarray([end_id], dtype="<u4").tobytes()
+        encode, end = encoder(tokenizer), np.asarray([end_id], dtype="<u4").tobytes()
         slot = TaskContext.get().partitionId() << 34
         for batch in batches:
             texts = batch["text"].fillna("").tolist()

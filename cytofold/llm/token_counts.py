@@ -7,6 +7,7 @@ words (a mark for a space, then what follows) are counted one by one.
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
@@ -82,12 +83,18 @@ def vocabulary(path: str) -> list[tuple[str, float]]:
     return [(sp.id_to_piece(unk), 0.0), *own]
 
 
+@lru_cache(maxsize=2)
+def counter(model: str) -> UnigramCounter:
+    """One to a Python worker, so that tasks share what is remembered."""
+    return UnigramCounter(vocabulary(model))
+
+
 def token_counts(docs: DataFrame, model: str, text_col: str = "text", into: str = "n_tokens") -> DataFrame:
     """docs with the number of tokens of each whole text, as a long. Null and empty texts have none; no shuffle. Other columns pass through."""
 
     @F.pandas_udf("long")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        count = UnigramCounter(vocabulary(model))
+        count = counter(model)
         for texts in batches:
             yield pd.Series([count(t) for t in texts.fillna("")], dtype="int64")
 

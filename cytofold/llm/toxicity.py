@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from hashlib import blake2b
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from cytofold.llm.sampling import labelled
 
@@ -17,8 +18,6 @@ CATEGORIES = {
 }
 #: ASCII characters that are neither letters nor digits become spaces.
 _SPACED = bytes(x if x >= 128 or chr(x).isalnum() else 32 for x in range(256))
-
-
 PREFIXES = (5, 6, 7, 8)
 
 
@@ -26,9 +25,29 @@ def words(text: str) -> set[bytes]:
     return set(text.lower().encode().translate(_SPACED).split())
 
 
-def shown(word: bytes) -> list[bytes]:
-    """A word's features: itself, and its beginnings of several lengths, which an inflected word shares with others."""
-    return [word, *(b"^" + word[:n] for n in PREFIXES if len(word) >= n)]
+def _hash(feature: bytes) -> int:
+    return int.from_bytes(blake2b(feature, digest_size=8).digest(), "little")
+
+
+def shown(word: bytes) -> list[int]:
+    """A word's features, hashed: itself, and its beginnings of several lengths, which an inflected word shares with others."""
+    return [_hash(word), *(_hash(b"^" + word[:n]) for n in PREFIXES if len(word) >= n)]
+
+
+class Features:
+    """The distinct features of a text; words are remembered up to `room` of them."""
+
+    def __init__(self, room: int = 500_000):
+        self.known, self.room = {}, room
+
+    def __call__(self, text: str) -> np.ndarray:
+        ws = words(text)
+        if new := ws - self.known.keys():
+            if len(self.known) > self.room:
+                self.known.clear()
+                new = ws
+            self.known.update((w, shown(w)) for w in new)
+        return np.unique(np.array([f for w in ws for f in self.known[w]], dtype=np.uint64))
 
 
 class Chain:
@@ -40,11 +59,13 @@ class Chain:
 
     def __init__(self, names: Sequence[str], folds: int = 5, penalty: float = 0.3, features: int = 250, least: float = 3.0):
         self.names, self.folds, self.penalty, self.features, self.least = list(names), folds, penalty, features, least
+        #: What is remembered of words: those without a feature, and the features of the others.
+        self.silent, self.telling = set(), {}
 
     @staticmethod
-    def _fit(x: np.ndarray, y: np.ndarray, penalty: float, steps: int = 25) -> np.ndarray:
-        """Ridge logistic regression by Newton's method; the last column is the intercept, which isn't shrunk."""
-        w = np.zeros(x.shape[1])
+    def _fit(x: np.ndarray, y: np.ndarray, penalty: float, start: np.ndarray | None = None, steps: int = 25) -> np.ndarray:
+        """Ridge logistic regression by Newton's method; the last column is the intercept, which is hardly shrunk."""
+        w = np.zeros(x.shape[1]) if start is None else start.copy()
         ridge = np.full(x.shape[1], penalty)
         ridge[-1] = 1e-3
         for _ in range(steps):
@@ -53,37 +74,37 @@ class Chain:
             h = (x * (p * (1 - p) + 1e-9)[:, None]).T @ x + np.diag(ridge)
             d = np.linalg.solve(h, g)
             w -= d * min(1.0, 5 / (np.abs(d).max() + 1e-12))
-            if np.abs(d).max() < 1e-5:
+            if np.abs(d).max() < 1e-4:
                 break
         return w
 
-    def _choose(self, docs: list[set[bytes]], y: np.ndarray) -> list[bytes]:
+    def _choose(self, docs: list[np.ndarray], y: np.ndarray) -> list[int]:
         """Features whose smoothed log odds ratio against the label is `least` standard errors or more from zero, the clearest first; of features of the same documents, one."""
         n1, n0 = y.sum() + 1.0, (1 - y).sum() + 1.0
-        marks = np.random.default_rng(0).integers(1 << 40, size=len(docs)).tolist()
-        seen: dict[bytes, list[int]] = {}
-        for ws, t, mark in zip(docs, y.astype(int).tolist(), marks, strict=True):
-            for w in {f for w in ws for f in shown(w)}:
-                x = seen.setdefault(w, [0, 0, 0])
-                x[t] += 1
-                x[2] += mark
-        scored = []
-        for w, (b, a, mark) in seen.items():
-            if a + b >= 5:
-                z = (np.log((a + 0.5) / n1) - np.log((b + 0.5) / n0)) / np.sqrt(1 / (a + 0.5) + 1 / (b + 0.5))
-                if abs(z) >= self.least:
-                    scored.append((-abs(z), len(w), w, mark))
-        once = {mark: w for _, _, w, mark in sorted(scored, reverse=True)}
-        return [w for _, _, w, mark in sorted(scored) if once[mark] == w][: self.features]
-
-    def fit(self, docs: list[set[bytes]], labels: np.ndarray) -> Chain:
-        """labels: a column of 0 and 1 per category. A category without both values predicts its share and stays out of the chain's way."""
+        flat = np.concatenate(docs)
+        row = np.repeat(np.arange(len(docs)), [len(d) for d in docs])
+        found, at = np.unique(flat, return_inverse=True)
+        a, both = np.bincount(at, weights=y[row]), np.bincount(at)
+        mark = np.bincount(at, weights=np.random.default_rng(0).integers(1 << 30, size=len(docs))[row])
+        b = both - a
+        z = (np.log((a + 0.5) / n1) - np.log((b + 0.5) / n0)) / np.sqrt(1 / (a + 0.5) + 1 / (b + 0.5))
+        good = np.nonzero((both >= 5) & (np.abs(z) >= self.least))[0]
+        good = good[np.lexsort((found[good], -np.abs(z[good])))]
+        _, first = np.unique(np.stack([a[good], b[good], mark[good]]), axis=1, return_index=True)
+        return found[good[np.sort(first)][: self.features]].tolist()
+
+    def fit(self, docs: list[np.ndarray], labels: np.ndarray) -> Chain:
+        """docs: features; labels: a column of 0 and 1 per category. A category without both values predicts its share."""
         n, k = labels.shape
-        last = labels[:, -1] if k else np.zeros(n)
-        self.vocabulary = {w: i for i, w in enumerate(self._choose(docs, last))} if n and 0 < last.sum() < n else {}
-        #: What is remembered of words: those without a feature, and the features of the others.
-        self.silent, self.telling = set(), {}
-        x = self._matrix(docs)
+        last = labels[:, -1]
+        self.vocabulary = {f: i for i, f in enumerate(self._choose(docs, last))} if n and 0 < last.sum() < n else {}
+        order = np.array(list(self.vocabulary), dtype=np.uint64)
+        sort = np.argsort(order)
+        x = np.zeros((n, len(order)))
+        for r, d in enumerate(docs if len(order) else ()):
+            p = np.searchsorted(order[sort], d)
+            p[p == len(order)] = 0
+            x[r, sort[p[order[sort][p] == d]]] = 1
         fold = np.arange(n) % self.folds
         self.links: list[np.ndarray] = []
         for j in range(k):
@@ -95,12 +116,11 @@ class Chain:
                 held = np.full(n, w[-1])
             else:
                 w, held = self._fit(full, y, self.penalty), np.zeros(n)
-                for f in range(self.folds):
+                for f in range(self.folds if j < k - 1 else 0):
                     at = fold == f
-                    held[at] = full[at] @ (self._fit(full[~at], y[~at], self.penalty) if 0 < y[~at].sum() < (~at).sum() else w)
+                    held[at] = full[at] @ (self._fit(full[~at], y[~at], self.penalty, w) if 0 < y[~at].sum() < (~at).sum() else w)
             self.links.append(w)
             x = np.hstack([x, np.clip(held, -15, 15)[:, None]])
-        self.held_out = x[:, len(self.vocabulary) :]
         return self
 
     def _matrix(self, docs: list[set[bytes]]) -> np.ndarray:
@@ -122,7 +142,7 @@ class Chain:
         return self.__dict__ | {"silent": set(), "telling": {}}
 
     def scores(self, docs: list[set[bytes]]) -> np.ndarray:
-        """Probabilities, a column per category."""
+        """Probabilities of word sets, a column per category."""
         x, out = self._matrix(docs), []
         for w in self.links:
             z = np.clip(np.hstack([x, np.ones((len(docs), 1))]) @ w, -15, 15)
@@ -131,22 +151,23 @@ class Chain:
         return np.array(out).T.reshape(len(docs), len(self.links))
 
 
-def train(docs: DataFrame, labels: DataFrame, categories: dict[str, tuple[str, ...]] = CATEGORIES, limit: int = 12000, where=None) -> Chain:
-    """A chain over `categories` and then the label `toxic` itself, fitted on the driver on at most `limit` labelled documents.
+def train(docs: DataFrame, labels: DataFrame, categories: dict[str, tuple[str, ...]] = CATEGORIES, limit: int = 8000, where: Column | None = None) -> Chain:
+    """A chain over `categories`, then `other` and last the label `toxic` itself, fitted on the driver on at most `limit` labelled documents.
 
-    A document is in a category if it is labelled toxic and holds one of the category's words, and in `other` if it is labelled so and holds none. Documents of equal word sets count once.
-    Executors send a document's set of words; the driver holds those of the sample only.
+    A document is in a category if it is labelled toxic and holds one of the category's words, and in `other` if it is labelled so and holds none.
+    Documents of equal features count once. Executors send 64-bit hashes of a document's distinct features; the driver holds those of the sample only.
     """
 
     def run(batches):
+        of = Features()
         for b in batches:
-            yield pd.DataFrame({"label": b["label"], "doc_id": b["doc_id"], "ws": [b" ".join(sorted(words(t))) for t in b["text"]]})
+            yield pd.DataFrame({"label": b["label"], "doc_id": b["doc_id"], "fs": [of(t).tobytes() for t in b["text"]]})
 
-    rows = labelled(docs, labels, "toxic", limit, where).mapInPandas(run, "label int, doc_id long, ws binary").collect()
-    once = sorted({(bytes(r["ws"]), r["label"]): r["doc_id"] for r in sorted(rows, key=lambda r: -r["doc_id"])}.items(), key=lambda x: x[1])
-    sets = [set(ws.split(b" ")) - {b""} for (ws, _), _ in once]
-    toxic = np.array([y for (_, y), _ in once], dtype=float)
-    told = [np.array([bool(ws & {t.encode() for t in terms}) for ws in sets], dtype=float) * toxic for terms in categories.values()]
+    rows = labelled(docs, labels, "toxic", limit, where).mapInPandas(run, "label int, doc_id long, fs binary").collect()
+    once = {(bytes(r["fs"]), r["label"]): None for r in sorted(rows, key=lambda r: r["doc_id"])}
+    sets = [np.frombuffer(fs, dtype=np.uint64) for fs, _ in once]
+    toxic = np.array([y for _, y in once], dtype=float)
+    told = [np.array([bool(np.isin(np.array([_hash(t.encode()) for t in terms], dtype=np.uint64), fs).any()) for fs in sets], dtype=float) * toxic for terms in categories.values()]
     other = toxic * (np.sum(told, axis=0) == 0)
     return Chain([*categories, "other", "toxic"]).fit(sets, np.column_stack([*told, other, toxic]) if len(sets) else np.zeros((0, len(categories) + 2)))
 
@@ -162,7 +183,8 @@ def toxicity(docs: DataFrame, chain: Chain, text_col: str = "text", into: str =
     @F.pandas_udf(f"struct<{fields}>")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in batches:
-            yield pd.DataFrame(chain.scores([words(t) for t in texts.fillna("")]), columns=names)
+            ts = texts.fillna("").tolist()
+            yield pd.DataFrame(np.vstack([chain.scores([words(t) for t in ts[i : i + 500]]) for i in range(0, len(ts), 500)] or [np.zeros((0, len(names)))]), columns=names)
 
     return docs.withColumn(into, run(F.col(text_col)))
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cytofold.llm import decontamination, line_dedup, packing, quality, token_counts, toxicity, warc
+from cytofold.llm import decontamination, embedding_dedup, line_dedup, packing, quality, token_counts, toxicity, warc
 from cytofold.llm.common import table
 
 
@@ -21,6 +21,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_decontamination": lambda spark, sf: decontamination.digest(spark, table(spark, sf, "documents"), table(spark, sf, "benchmark")),
         "op2_toxicity": lambda spark, sf: toxicity.digest(spark, table(spark, sf, "documents"), table(spark, sf, "labels")),
         "op3_warc_revisits": lambda spark, sf: warc.digest(spark, table(spark, sf, "pages")),
+        "op4_embedding_dedup": lambda spark, sf: embedding_dedup.digest(spark, table(spark, sf, "embeddings")),
         "op5_packing": lambda spark, sf: packing.digest(spark, table(spark, sf, "documents"), tokenizer_path()),
         "op6_token_counts": lambda spark, sf: token_counts.digest(spark, table(spark, sf, "documents"), tokenizer_path("piece_bpe_32k.model")),
         "op7_quality": lambda spark, sf: quality.digest(spark, table(spark, sf, "documents"), table(spark, sf, "labels")),
@@ -29,4 +30,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_warc_revisits": warc.SQL, "op10_line_dedup": line_dedup.SQL}
+    return {"op3_warc_revisits": warc.SQL, "op4_embedding_dedup": embedding_dedup.SQL, "op10_line_dedup": line_dedup.SQL}

@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 from functools import lru_cache
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
@@ -18,59 +19,153 @@ UNKNOWN_PENALTY = 10.0
 
 
 class UnigramCounter:
-    """Counts the pieces of the best segmentation of a word; words are remembered up to `room` of them.
+    """Counts the pieces of the best segmentation of words; counts are remembered, up to `room` of them.
 
     An Aho-Corasick automaton finds, end by end, every piece that ends there, longest first; the recurrence carries the best score, the
     piece count and whether the last piece is unknown. A later candidate must be strictly better, so of equal ones the longest piece wins, which
     is the model's rule. A character that is no piece itself may be unknown, and unknown neighbours are one piece.
+
+    New words are searched as one string and advance together, place by place; a long word goes alone. Line ends that no piece
+    holds part a word into runs that are counted on their own.
     """
 
-    def __init__(self, vocabulary: Sequence[tuple[str, float]], unk_id: int = 0, room: int = 400_000):
+    def __init__(self, vocabulary: Sequence[tuple[str, float]], unk_id: int = 0, room: int = 600_000, long: int = 400):
         import ahocorasick
 
-        self.find, self.known, self.room = ahocorasick.Automaton(), {}, room
-        for i, (piece, score) in enumerate(vocabulary):
+        self.find, self.known, self.runs, self.room, self.long = ahocorasick.Automaton(ahocorasick.STORE_INTS), {}, {}, room, long
+        for i, (piece, _) in enumerate(vocabulary):
             if piece:
-                self.find.add_word(piece, (len(piece), score, i == unk_id))
+                self.find.add_word(piece, i)
         self.find.make_automaton()
+        self.unk_id = unk_id
+        self.size = np.array([len(p) for p, _ in vocabulary], dtype=np.int64)
+        self.score = np.array([s for _, s in vocabulary], dtype=np.float64)
         self.unknown = min((s for _, s in vocabulary), default=0.0) - UNKNOWN_PENALTY
+        held = {c for p, _ in vocabulary for c in p}
+        self.apart = "".join(c for c in "\n\r\t" if c not in held)
+        self.stop = next(c for c in map(chr, range(0xE000, 0xF900)) if c not in held)
 
-    def word(self, word: str) -> int:
+    def word(self, word: str) -> tuple[int, bool, bool]:
+        """(pieces, whether the first is unknown, whether the last is) of one word, in plain steps."""
         n, unknown = len(word), self.unknown
-        score, count, last = [0.0] * (n + 1), [0] * (n + 1), [False] * (n + 1)
+        score, count, first, last = [0.0] * (n + 1), [0] * (n + 1), [False] * (n + 1), [False] * (n + 1)
         matches: list[list | None] = [None] * (n + 1)
-        for end, match in self.find.iter(word):
+        for end, i in self.find.iter(word):
             if matches[end + 1] is None:
-                matches[end + 1] = [match]
+                matches[end + 1] = [i]
             else:
-                matches[end + 1].append(match)
+                matches[end + 1].append(i)
         for end in range(1, n + 1):
             best, single = None, False
-            for size, value, unk in matches[end] or ():
-                start = end - size
-                single |= size == 1
+            for i in matches[end] or ():
+                start, value = end - int(self.size[i]), float(self.score[i])
+                single |= start == end - 1
                 if best is None or value + score[start] > best:
-                    best, at, is_unk = value + score[start], start, unk
+                    best, at, is_unk = value + score[start], start, i == self.unk_id
             if not single and (best is None or unknown + score[end - 1] > best):
                 best, at, is_unk = unknown + score[end - 1], end - 1, True
             score[end], last[end] = best, is_unk
             count[end] = count[at] + (not (is_unk and last[at]))
-        return count[n]
-
-    def __call__(self, text: str) -> int:
-        if not text:
-            return 0
-        words = text.replace(" ", MARK).split(MARK)
-        if not words[0]:
-            words = words[1:]
-        known = self.known
-        if new := set(words) - known.keys():
-            if len(known) > self.room:
-                known.clear()
-                new = set(words)
-            for w in new:
-                known[w] = self.word(MARK + w)
-        return sum(map(known.__getitem__, words))
+            first[end] = is_unk if at == 0 else first[at]
+        return count[n], first[n], last[n]
+
+    def words(self, words: list[str]) -> list[tuple[int, bool, bool]]:
+        """The same for many words that hold no line end of `apart`, which go on together."""
+        n = len(words)
+        sizes = np.array([len(w) for w in words], dtype=np.int64)
+        start = np.cumsum(sizes + 1) - sizes - 1
+        found = list(self.find.iter(self.stop.join(words)))
+        total = int(sizes.sum()) + n
+        end = np.fromiter((e for e, _ in found), dtype=np.int64, count=len(found)) + 1
+        piece = np.fromiter((i for _, i in found), dtype=np.int64, count=len(found))
+        size, value, unk = self.size[piece], self.score[piece], piece == self.unk_id
+        # places that no piece of one character covers may be unknown; they come after the others, as theirs is the latest start
+        bare = np.ones(total, dtype=bool)
+        bare[end[size == 1] - 1] = False
+        bare[(start + sizes)[(start + sizes) < total]] = False
+        places = np.nonzero(bare)[0]
+        end = np.concatenate([end, places + 1])
+        size = np.concatenate([size, np.ones(len(places), dtype=np.int64)])
+        value = np.concatenate([value, np.full(len(places), self.unknown)])
+        unk = np.concatenate([unk, np.ones(len(places), dtype=bool)])
+        owner = np.searchsorted(start, end - 1, side="right") - 1
+        step = end - start[owner]
+        order = np.lexsort((-size, owner, step))
+        end, size, value, unk, step = end[order], size[order], value[order], unk[order], step[order]
+        score, count = np.zeros(total + 1), np.zeros(total + 1, dtype=np.int64)
+        first, last = np.zeros(total + 1, dtype=bool), np.zeros(total + 1, dtype=bool)
+        begin = np.zeros(total + 1, dtype=bool)
+        begin[start] = True
+        edges = np.searchsorted(step, np.arange(1, int(sizes.max(initial=0)) + 2))
+        # a word's place e is kept at start + e; the stop after each word leaves room for its last place
+        for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+            if a == b:
+                continue
+            e, at = end[a:b], end[a:b] - size[a:b]
+            cand = value[a:b] + score[at]
+            head = np.nonzero(np.append(True, e[1:] != e[:-1]))[0]
+            best = np.maximum.reduceat(cand, head)
+            wide = np.diff(np.append(head, b - a))
+            where = np.where(cand == np.repeat(best, wide), np.arange(b - a), b - a)
+            pick = np.minimum.reduceat(where, head)
+            to, of, is_unk = e[head], at[pick], unk[a:b][pick]
+            score[to], last[to] = best, is_unk
+            count[to] = count[of] + ~(is_unk & last[of])
+            first[to] = np.where(begin[of], is_unk, first[of])
+            # the next word begins where this one's last place is kept, so a place that begins a word has none of its own
+        done = start + sizes
+        return list(zip(count[done].tolist(), first[done].tolist(), last[done].tolist(), strict=True))
+
+    def _learn(self, new: set[str]) -> None:
+        parted = {w: _split(w, self.apart) for w in new}
+        runs = {r for parts in parted.values() for r in parts} - self.runs.keys() - {""}
+        if len(self.runs) + len(runs) > self.room:
+            self.runs.clear()
+            runs = {r for parts in parted.values() for r in parts} - {""}
+        short = [r for r in runs if len(r) <= self.long and self.stop not in r]
+        for at in range(0, len(short), 20_000):
+            some = short[at : at + 20_000]
+            self.runs.update(zip(some, self.words(some), strict=True))
+        for r in runs:
+            if r not in self.runs:
+                self.runs[r] = self.word(r)
+        for w, parts in parted.items():
+            total, open_ = 0, False
+            for k, r in enumerate(parts):
+                if k and not open_:
+                    total, open_ = total + 1, True
+                if r:
+                    n, first, last = self.runs[r]
+                    total, open_ = total + n - (open_ and first), last and (n > 1 or not open_ or first)
+            self.known[w] = total
+
+    def __call__(self, texts: Sequence[str]) -> list[int]:
+        """The number of pieces of each text."""
+        split = []
+        for t in texts:
+            words = t.replace(" ", MARK).split(MARK) if t else []
+            split.append(words[1:] if words and not words[0] else words)
+        new = {w for words in split for w in words} - self.known.keys()
+        if len(self.known) + len(new) > self.room:
+            self.known.clear()
+            new = {w for words in split for w in words}
+        self._learn_marked(new)
+        get = self.known.__getitem__
+        return [sum(map(get, words)) for words in split]
+
+    def _learn_marked(self, new: set[str]) -> None:
+        marked = {MARK + w for w in new}
+        self._learn(marked)
+        for w in new:
+            self.known[w] = self.known.pop(MARK + w)
+
+
+def _split(word: str, apart: str) -> list[str]:
+    parts = [word]
+    for c in apart:
+        if c in word:
+            parts = [p for x in parts for p in x.split(c)]
+    return parts
 
 
 def vocabulary(path: str) -> list[tuple[str, float]]:
@@ -96,7 +191,8 @@ def token_counts(docs: DataFrame, model: str, text_col: str = "text", into: str
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         count = counter(model)
         for texts in batches:
-            yield pd.Series([count(t) for t in texts.fillna("")], dtype="int64")
+            ts = texts.fillna("").tolist()
+            yield pd.Series([n for i in range(0, len(ts), 500) for n in count(ts[i : i + 500])], dtype="int64")
 
     return docs.withColumn(into, run(F.col(text_col)))
 

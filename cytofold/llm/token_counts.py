@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -74,50 +75,55 @@ class UnigramCounter:
         n = len(words)
         sizes = np.array([len(w) for w in words], dtype=np.int64)
         start = np.cumsum(sizes + 1) - sizes - 1
-        found = list(self.find.iter(self.stop.join(words)))
+        found = np.fromiter(chain.from_iterable(self.find.iter(self.stop.join(words))), dtype=np.int64)
         total = int(sizes.sum()) + n
-        end = np.fromiter((e for e, _ in found), dtype=np.int64, count=len(found)) + 1
-        piece = np.fromiter((i for _, i in found), dtype=np.int64, count=len(found))
-        size, value, unk = self.size[piece], self.score[piece], piece == self.unk_id
-        # places that no piece of one character covers may be unknown; they come after the others, as theirs is the latest start
-        bare = np.ones(total, dtype=bool)
-        bare[end[size == 1] - 1] = False
-        bare[(start + sizes)[(start + sizes) < total]] = False
-        places = np.nonzero(bare)[0]
-        end = np.concatenate([end, places + 1])
-        size = np.concatenate([size, np.ones(len(places), dtype=np.int64)])
-        value = np.concatenate([value, np.full(len(places), self.unknown)])
-        unk = np.concatenate([unk, np.ones(len(places), dtype=bool)])
-        owner = np.searchsorted(start, end - 1, side="right") - 1
-        step = end - start[owner]
-        order = np.lexsort((-size, owner, step))
-        end, size, value, unk, step = end[order], size[order], value[order], unk[order], step[order]
+        end, piece = found[::2] + 1, found[1::2]
+        size = self.size[piece]
+        # places that no piece of one character covers may be unknown
+        bare = np.ones(total + 1, dtype=bool)
+        bare[end[size == 1]] = False
+        bare[start] = False
+        bare = np.nonzero(bare)[0]
+        # matches come end by end, longest first; a stable sort by the place in the word keeps that
+        owner = np.repeat(np.arange(n), sizes + 1)
+        begin = np.append(start[owner], total)
+        far = (np.arange(total + 1) - begin).astype(np.uint16)
+        order = np.argsort(far[end], kind="stable")
+        end, piece, size = end[order], piece[order], size[order]
+        value, unk, step = self.score[piece], piece == self.unk_id, far[end]
+        bare = bare[np.argsort(far[bare], kind="stable")]
         score, count = np.zeros(total + 1), np.zeros(total + 1, dtype=np.int64)
         first, last = np.zeros(total + 1, dtype=bool), np.zeros(total + 1, dtype=bool)
-        begin = np.zeros(total + 1, dtype=bool)
-        begin[start] = True
-        edges = np.searchsorted(step, np.arange(1, int(sizes.max(initial=0)) + 2))
-        # a word's place e is kept at start + e; the stop after each word leaves room for its last place
-        for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
-            if a == b:
-                continue
-            e, at = end[a:b], end[a:b] - size[a:b]
-            cand = value[a:b] + score[at]
-            head = np.nonzero(np.append(True, e[1:] != e[:-1]))[0]
-            best = np.maximum.reduceat(cand, head)
-            wide = np.diff(np.append(head, b - a))
-            where = np.where(cand == np.repeat(best, wide), np.arange(b - a), b - a)
-            pick = np.minimum.reduceat(where, head)
-            to, of, is_unk = e[head], at[pick], unk[a:b][pick]
+        longest = int(sizes.max(initial=0))
+        edges = np.searchsorted(step, np.arange(1, longest + 2))
+        loose = np.searchsorted(far[bare], np.arange(1, longest + 2))
+
+        def settle(to, of, best, is_unk):
             score[to], last[to] = best, is_unk
             count[to] = count[of] + ~(is_unk & last[of])
-            first[to] = np.where(begin[of], is_unk, first[of])
-            # the next word begins where this one's last place is kept, so a place that begins a word has none of its own
+            first[to] = np.where(of == begin[of], is_unk, first[of])
+
+        score[bare] = -np.inf
+        for a, b, c, d in zip(edges[:-1].tolist(), edges[1:].tolist(), loose[:-1].tolist(), loose[1:].tolist(), strict=True):
+            if a < b:
+                e, at = end[a:b], end[a:b] - size[a:b]
+                cand = value[a:b] + score[at]
+                head = np.nonzero(np.append(True, e[1:] != e[:-1]))[0]
+                best = np.maximum.reduceat(cand, head)
+                where = np.where(cand == np.repeat(best, np.diff(np.append(head, b - a))), np.arange(b - a), b - a)
+                pick = np.minimum.reduceat(where, head)
+                settle(e[head], at[pick], best, unk[a:b][pick])
+            if c < d:
+                e = bare[c:d]
+                cand = score[e - 1] + self.unknown
+                better = cand > score[e]
+                e = e[better]
+                settle(e, e - 1, cand[better], np.ones(len(e), dtype=bool))
         done = start + sizes
         return list(zip(count[done].tolist(), first[done].tolist(), last[done].tolist(), strict=True))
 
     def _learn(self, new: set[str]) -> None:
-        parted = {w: _split(w, self.apart) for w in new}
+        parted = {w: (MARK + w).split(self.apart[0]) if len(self.apart) == 1 else _split(MARK + w, self.apart) for w in new}
         runs = {r for parts in parted.values() for r in parts} - self.runs.keys() - {""}
         if len(self.runs) + len(runs) > self.room:
             self.runs.clear()
@@ -130,6 +136,9 @@ class UnigramCounter:
             if r not in self.runs:
                 self.runs[r] = self.word(r)
         for w, parts in parted.items():
+            if len(parts) == 1:
+                self.known[w] = self.runs[parts[0]][0]
+                continue
             total, open_ = 0, False
             for k, r in enumerate(parts):
                 if k and not open_:
@@ -149,16 +158,10 @@ class UnigramCounter:
         if len(self.known) + len(new) > self.room:
             self.known.clear()
             new = {w for words in split for w in words}
-        self._learn_marked(new)
+        self._learn(new)
         get = self.known.__getitem__
         return [sum(map(get, words)) for words in split]
 
-    def _learn_marked(self, new: set[str]) -> None:
-        marked = {MARK + w for w in new}
-        self._learn(marked)
-        for w in new:
-            self.known[w] = self.known.pop(MARK + w)
-
 
 def _split(word: str, apart: str) -> list[str]:
     parts = [word]

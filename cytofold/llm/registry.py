@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cytofold.llm import decontamination, embedding_dedup, line_dedup, minhash_dedup, packing, quality, token_counts, toxicity, warc
+from cytofold.llm import decontamination, embedding_dedup, line_dedup, minhash_dedup, packing, quality, suffix_dedup, token_counts, toxicity, warc
 from cytofold.llm.common import table
 
 
@@ -26,6 +26,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_token_counts": lambda spark, sf: token_counts.digest(spark, table(spark, sf, "documents"), tokenizer_path("piece_bpe_32k.model")),
         "op7_quality": lambda spark, sf: quality.digest(spark, table(spark, sf, "documents"), table(spark, sf, "labels")),
         "op8_minhash_dedup": lambda spark, sf: minhash_dedup.digest(spark, table(spark, sf, "documents")),
+        "op9_suffix_dedup": lambda spark, sf: suffix_dedup.digest(spark, table(spark, sf, "documents")),
         "op10_line_dedup": lambda spark, sf: line_dedup.digest(spark, table(spark, sf, "documents")),
     }
 

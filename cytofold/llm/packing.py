@@ -48,7 +48,7 @@ class Encoder:
         for parts in split:
             if parts:
                 new.update(parts)
-        new -= known.keys()
+        new = {x for x in new if x not in known}
         if len(known) + len(new) > self.room:
             known.clear()
             new = {x for parts in split if parts for x in parts}

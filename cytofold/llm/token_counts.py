@@ -124,7 +124,7 @@ class UnigramCounter:
 
     def _learn(self, new: set[str]) -> None:
         parted = {w: (MARK + w).split(self.apart[0]) if len(self.apart) == 1 else _split(MARK + w, self.apart) for w in new}
-        runs = {r for parts in parted.values() for r in parts} - self.runs.keys() - {""}
+        runs = {r for parts in parted.values() for r in parts if r and r not in self.runs}
         if len(self.runs) + len(runs) > self.room:
             self.runs.clear()
             runs = {r for parts in parted.values() for r in parts} - {""}
@@ -154,7 +154,7 @@ class UnigramCounter:
         for t in texts:
             words = t.replace(" ", MARK).split(MARK) if t else []
             split.append(words[1:] if words and not words[0] else words)
-        new = {w for words in split for w in words} - self.known.keys()
+        new = {w for words in split for w in words if w not in self.known}
         if len(self.known) + len(new) > self.room:
             self.known.clear()
             new = {w for words in split for w in words}

@@ -42,7 +42,7 @@ class Features:
 
     def __call__(self, text: str) -> np.ndarray:
         ws = words(text)
-        if new := ws - self.known.keys():
+        if new := {w for w in ws if w not in self.known}:
             if len(self.known) > self.room:
                 self.known.clear()
                 new = ws

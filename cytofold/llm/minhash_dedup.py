@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from functools import lru_cache
 from hashlib import blake2b
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -36,13 +37,13 @@ class Shingler:
         new: set[bytes] = set()
         for ws in split:
             new.update(ws)
-        new -= known.keys()
+        new = {w for w in new if w not in known}
         if len(known) + len(new) > self.room:
             known.clear()
             new = {w for ws in split for w in ws}
         known.update((w, int.from_bytes(blake2b(w, digest_size=8).digest(), "little")) for w in new)
         sizes = np.array([len(ws) for ws in split], dtype=np.int64)
-        flat = np.fromiter((known[w] for ws in split for w in ws), dtype=np.uint64, count=int(sizes.sum()))
+        flat = np.fromiter(map(known.__getitem__, chain.from_iterable(split)), dtype=np.uint64, count=int(sizes.sum()))
         k, n = self.size, len(flat)
         run = np.zeros(n, dtype=np.uint64)
         for j in range(k if n >= k else 0):
@@ -175,21 +176,40 @@ def verify(pairs: DataFrame, docs: DataFrame, size: int, percent: int, group: in
     return texts.groupBy("deal").applyInPandas(run, "a long, b long").distinct()
 
 
-def _across(g: pd.DataFrame, least: int, side: int = 1024) -> pd.DataFrame:
-    """Pairs of one bucket's (part's) nodes of unlike components whose signatures agree in `least` slots or more."""
-    g = g.sort_values("node", ignore_index=True)
+def _across(g: pd.DataFrame, least: int, percent: int, side: int = 512) -> pd.DataFrame:
+    """Pairs of buckets' nodes (or of two parts of one bucket) of unlike components, of sizes that allow a link, whose signatures agree in `least` slots or more.
+
+    Slots are compared by their low bytes, a slot at a time for a tile of pairs, which can only count too many; what passes is compared in full.
+    """
+    g = g.sort_values(["key", "node"], ignore_index=True)
     sig = np.frombuffer(b"".join(g["sig"]), dtype="<u4").reshape(len(g), -1)
-    key, c, node = g["key"].to_numpy(), g["component"].to_numpy(), g["node"].to_numpy()
-    out = []
-    for k in pd.unique(key):
-        at = np.nonzero(key == k)[0]
-        for lo in range(0, len(at), side):
-            b = at[lo : lo + side]
-            for x in at[: lo + side]:
-                ys = b[(node[b] > node[x]) & (c[b] != c[x])]
-                ys = ys[(sig[ys] == sig[x]).sum(axis=1) >= least]
-                out += [(int(node[x]), int(y)) for y in node[ys]]
-    return pd.DataFrame(out, columns=["a", "b"], dtype="int64").drop_duplicates()
+    low = np.ascontiguousarray(sig.astype(np.uint8).T)
+    key, c, node, n = (g[k].to_numpy() for k in ("key", "component", "node", "n"))
+    edge = np.nonzero(np.append(True, key[1:] != key[:-1]))[0]
+    left, right = [], []
+    for lo, hi in zip(edge.tolist(), np.append(edge[1:], len(g)).tolist(), strict=True):
+        for x in range(lo, hi, side):
+            for y in range(x, hi, side):
+                p, q = slice(x, min(x + side, hi)), slice(y, min(y + side, hi))
+                small, large = np.minimum(n[p][:, None], n[q][None, :]), np.maximum(n[p][:, None], n[q][None, :])
+                open_ = (c[p][:, None] != c[q][None, :]) & (100 * small >= percent * large) & (node[p][:, None] < node[q][None, :])
+                if not open_.any():
+                    continue
+                if open_.mean() < 0.05:
+                    i, j = np.nonzero(open_)
+                else:
+                    same = np.zeros(open_.shape, dtype=np.uint16)
+                    for slot in low:
+                        same += slot[p][:, None] == slot[q][None, :]
+                    i, j = np.nonzero(open_ & (same >= least))
+                i, j = i + x, j + y
+                for s in range(0, len(i), 1 << 16):
+                    u, v = i[s : s + (1 << 16)], j[s : s + (1 << 16)]
+                    fine = (sig[u] == sig[v]).sum(axis=1) >= least
+                    left.append(node[u[fine]])
+                    right.append(node[v[fine]])
+    none = np.zeros(0, dtype=np.int64)
+    return pd.DataFrame({"a": np.concatenate([none, *left]), "b": np.concatenate([none, *right])}).drop_duplicates()
 
 
 def minhash_groups(docs: DataFrame, size: int = 5, percent: int = 75, n_bands: int = 36, rows: int = 4, part: int = 1000) -> DataFrame:
@@ -220,10 +240,10 @@ def minhash_groups(docs: DataFrame, size: int = 5, percent: int = 75, n_bands: i
     mixed = of.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("size")).where("lo < hi and size > 2").select("key", F.ceil(F.col("size") / part).cast("int").alias("parts"))
     left = of.join(mixed, "key").where("node > a").withColumn("p", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
     left = left.withColumn("q", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("key", "node", "component", F.least("p", "q").alias("p"), F.greatest("p", "q").alias("q"))
-    left = left.join(nodes.select("node", "sig").dropDuplicates(["node"]), "node").withColumn("deal", F.when(F.col("q") == 0, F.pmod(F.xxhash64("key"), F.lit(512))).otherwise(F.xxhash64("key", "p", "q")))
+    left = left.join(nodes.select("node", "n", "sig").dropDuplicates(["node"]), "node").withColumn("deal", F.when(F.col("q") == 0, F.pmod(F.xxhash64("key"), F.lit(4096))).otherwise(F.xxhash64("key", "p", "q")))
     share = percent / 100
     least = int(m * share - 5 * (m * share * (1 - share)) ** 0.5)
-    more = durable(left.groupBy("deal").applyInPandas(lambda g: _across(g, least), "a long, b long").distinct(), "minhash-across")
+    more = durable(left.groupBy("deal").applyInPandas(lambda g: _across(g, least, percent), "a long, b long").distinct(), "minhash-across")
     if not more.isEmpty():
         found = durable(verify(more.join(pairs, ["a", "b"], "left_anti"), known, size, percent), "minhash-links")
         first = durable(components(links.unionByName(found), "minhash"), "minhash-components")

@@ -120,7 +120,7 @@ SIGNED = "doc_id long, n long, s1 long, s2 long, sig binary, bands array<long>"
 
 
 def sign(docs: DataFrame, size: int, m: int, rows: int) -> DataFrame:
-    """doc_id, set size, two sums over the set's hashes that tell equal sets, the signature (32 bits a slot) and the bands."""
+    """doc_id, set size, two sums over the set's hashes that tell equal sets, the signature (a byte a slot, which can only make slots agree that don't) and the bands."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         make = shingler(size)
@@ -129,7 +129,7 @@ def sign(docs: DataFrame, size: int, m: int, rows: int) -> DataFrame:
             for at in range(0, len(texts), 1000):
                 sets = make(texts[at : at + 1000])
                 sig = signatures(sets, m)
-                low = mix(sig.view(np.uint64)).astype(np.uint32)
+                low = mix(sig.view(np.uint64)).astype(np.uint8)
                 yield pd.DataFrame(
                     {
                         "doc_id": b["doc_id"].iloc[at : at + 1000].to_numpy(),
@@ -145,7 +145,7 @@ def sign(docs: DataFrame, size: int, m: int, rows: int) -> DataFrame:
 
 
 def verify(pairs: DataFrame, docs: DataFrame, size: int, percent: int, group: int = 400) -> DataFrame:
-    """The pairs (a, b) whose sets have 100 * intersection >= percent * union, counted on the whole sets.
+    """(a, b, linked, far) of pairs: whether 100 * intersection >= percent * union, counted on the whole sets, and the Jaccard distance. Rows of one id hold several texts, of which the closest counts.
 
     The texts of b are dealt by a and, where a has many partners, by parts of them, to each of which a's text goes too. So a task gets about `group` texts, whatever
     the size of a's group.
@@ -168,22 +168,21 @@ def verify(pairs: DataFrame, docs: DataFrame, size: int, percent: int, group: in
                 for n, s in zip(other[at : at + 200], make([t for q, t in zip(nodes, texts, strict=True) if q != a][at : at + 200]), strict=True):
                     for p in mine:
                         both = len(np.intersect1d(p, s, assume_unique=True))
-                        if len(s) and 100 * both >= percent * (len(p) + len(s) - both):
-                            found.append((a, n))
-                            break
-        return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
+                        union = len(p) + len(s) - both
+                        found.append((a, n, bool(len(s)) and 100 * both >= percent * union, 1 - both / max(1, union)))
+        return pd.DataFrame(found, columns=["a", "b", "linked", "far"]).astype({"a": "int64", "b": "int64", "linked": bool, "far": float})
 
-    return texts.groupBy("deal").applyInPandas(run, "a long, b long").distinct()
+    return texts.groupBy("deal").applyInPandas(run, "a long, b long, linked boolean, far double").groupBy("a", "b").agg(F.max("linked").alias("linked"), F.min("far").alias("far"))
 
 
 def _across(g: pd.DataFrame, least: int, percent: int, side: int = 512) -> pd.DataFrame:
     """Pairs of buckets' nodes (or of two parts of one bucket) of unlike components, of sizes that allow a link, whose signatures agree in `least` slots or more.
 
-    Slots are compared by their low bytes, a slot at a time for a tile of pairs, which can only count too many; what passes is compared in full.
+    Slots are a byte each, compared a slot at a time for a tile of pairs; that can only count too many.
     """
     g = g.sort_values(["key", "node"], ignore_index=True)
-    sig = np.frombuffer(b"".join(g["sig"]), dtype="<u4").reshape(len(g), -1)
-    low = np.ascontiguousarray(sig.astype(np.uint8).T)
+    sig = np.frombuffer(b"".join(g["sig"]), dtype=np.uint8).reshape(len(g), -1)
+    low = np.ascontiguousarray(sig.T)
     key, c, node, n = (g[k].to_numpy() for k in ("key", "component", "node", "n"))
     edge = np.nonzero(np.append(True, key[1:] != key[:-1]))[0]
     left, right = [], []
@@ -234,21 +233,26 @@ def minhash_groups(docs: DataFrame, size: int = 5, percent: int = 75, n_bands: i
     shared = durable(rows_.join(pivots, "key"), "minhash-shared")
     pairs = durable(shared.where("node > a").select("a", F.col("node").alias("b")).distinct(), "minhash-pairs")
     known = own.where("doc_id is not null")
-    links = durable(verify(pairs, known, size, percent), "minhash-links")
+    checked = durable(verify(pairs, known, size, percent), "minhash-checked")
+    links = checked.where("linked").select("a", "b")
     first = durable(components(links, "minhash"), "minhash-components")
-    of = shared.join(first, "node", "left").select("key", "node", "a", F.coalesce("component", "node").alias("component"))
-    mixed = of.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("size")).where("lo < hi and size > 2").select("key", F.ceil(F.col("size") / part).cast("int").alias("parts"))
-    left = of.join(mixed, "key").where("node > a").withColumn("p", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+    # distances to the pivot bound those between two others, as the Jaccard distance is a metric: nodes whose distances to it differ by more than a link's can't be linked
+    slack = 1 - percent / 100 + 1e-9
+    of = shared.where("node > a").join(checked.select("a", F.col("b").alias("node"), "far"), ["a", "node"]).join(first, "node", "left").select("key", "node", "a", "far", F.coalesce("component", "node").alias("component"))
+    of = of.join(first.select(F.col("node").alias("a"), F.col("component").alias("c")), "a", "left").select("key", "node", "far", "component", (F.col("component") == F.coalesce("c", "a")).alias("near"))
+    mixed = of.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.min(F.when(~F.col("near"), F.col("far"))).alias("first"), F.max(F.when(F.col("near"), F.col("far"))).alias("last"), F.count_if(~F.col("near")).alias("others"), F.count(F.lit(1)).alias("size")).where("lo < hi")
+    left = of.join(mixed.drop("lo", "hi"), "key").where(F.when(F.col("near"), F.col("far") >= F.col("first") - slack).otherwise((F.col("others") > 1) | (F.col("far") <= F.col("last") + slack)))
+    left = left.withColumn("parts", F.ceil(F.col("size") / part).cast("int")).withColumn("p", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
     left = left.withColumn("q", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("key", "node", "component", F.least("p", "q").alias("p"), F.greatest("p", "q").alias("q"))
     left = left.join(nodes.select("node", "n", "sig").dropDuplicates(["node"]), "node").withColumn("deal", F.when(F.col("q") == 0, F.pmod(F.xxhash64("key"), F.lit(4096))).otherwise(F.xxhash64("key", "p", "q")))
     share = percent / 100
     least = int(m * share - 5 * (m * share * (1 - share)) ** 0.5)
     more = durable(left.groupBy("deal").applyInPandas(lambda g: _across(g, least, percent), "a long, b long").distinct(), "minhash-across")
     if not more.isEmpty():
-        found = durable(verify(more.join(pairs, ["a", "b"], "left_anti"), known, size, percent), "minhash-links")
+        found = durable(verify(more.join(pairs, ["a", "b"], "left_anti"), known, size, percent).where("linked").select("a", "b"), "minhash-links")
         first = durable(components(links.unionByName(found), "minhash"), "minhash-components")
     groups = nodes.join(first, "node", "left").select("n", "s1", "s2", F.coalesce("component", "node").alias("component"))
-    for x in (shared, pairs, links, more):
+    for x in (shared, pairs, more):
         drop_durable(x)
     out = signed.join(groups, ["n", "s1", "s2"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))

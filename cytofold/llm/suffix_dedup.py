@@ -100,33 +100,44 @@ def _gather(b: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
     return b[at]
 
 
-def _same(b: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """For each range the first one of equal bytes; ranges are told apart by two hashes, and a match is confirmed byte by byte."""
+def _same(b: np.ndarray, start: np.ndarray, size: np.ndarray, block: int = 20_000) -> np.ndarray:
+    """For each range the first one of equal bytes; ranges are told apart by two hashes, and a match is confirmed byte by byte. Goes block by block, as what it makes on the way is many times the bytes."""
+    n = len(start)
     weight = np.random.default_rng(3).integers(1, 1 << 63, size=(2, int(size.max(initial=1))), dtype=np.uint64) | np.uint64(1)
-    inner = np.arange(len(b)) - np.repeat(start, size)
-    with np.errstate(over="ignore"):
-        h = [np.add.reduceat((b.astype(np.uint64) + np.uint64(1)) * w[inner], start) for w in weight] if len(start) else [np.zeros(0, dtype=np.uint64)] * 2
-    order = np.lexsort((np.arange(len(start)), size, h[1], h[0]))
-    new = np.append(True, (h[0][order][1:] != h[0][order][:-1]) | (h[1][order][1:] != h[1][order][:-1]) | (size[order][1:] != size[order][:-1]))[: len(order)]
-    first = np.empty(len(order), dtype=np.int64)
-    first[order] = order[np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))] if len(order) else order
-    other = b[np.repeat(start[first], size) + inner]
-    wrong = np.zeros(len(start), dtype=bool)
-    wrong[np.repeat(np.arange(len(start)), size)[other != b]] = True
-    first[wrong] = np.nonzero(wrong)[0]
+    h = np.empty((2, n), dtype=np.uint64)
+    for s in range(0, n, block):
+        x = slice(s, min(n, s + block))
+        part = b[start[x][0] : start[x][-1] + size[x][-1]].astype(np.uint64) + np.uint64(1)
+        inner = np.arange(len(part)) - np.repeat(start[x] - start[s], size[x])
+        for k in (0, 1):
+            h[k, x] = np.add.reduceat(part * weight[k][inner], start[x] - start[s])
+    order = np.lexsort((np.arange(n), size, h[1], h[0]))
+    new = np.ones(n, dtype=bool)
+    new[1:] = (h[0][order][1:] != h[0][order][:-1]) | (h[1][order][1:] != h[1][order][:-1]) | (size[order][1:] != size[order][:-1])
+    first = np.empty(n, dtype=np.int64)
+    first[order] = order[np.maximum.accumulate(np.where(new, np.arange(n), 0))]
+    for s in range(0, n, block):
+        x = np.arange(s, min(n, s + block))
+        x = x[first[x] != x]
+        if len(x):
+            differ = _gather(b, start[first[x]], size[x]) != _gather(b, start[x], size[x])
+            wrong = x[np.add.reduceat(differ.astype(np.int64), np.cumsum(size[x]) - size[x]) > 0]
+            first[wrong] = wrong
     return first
 
 
 def repeated(shard: list[tuple], length: int, folder: str, budget: int) -> Iterator[tuple[int, np.ndarray]]:
     """(chunk, rows of (row, lo, hi)) of what goes from a shard's regions.
 
-    shard: (chunk, doc id, row, first window, windows, bytes) of each chunk's regions, a region being the windows of one anchor and all their bytes.
-    Regions that are equal go into the text once, with all their places. The suffixes of the text are put in order; windows whose common prefixes reach `length` are
+    shard: (chunk, doc id, row, first window, windows, bytes, anchor hash) of each chunk's regions, a region being the windows of one anchor and all their bytes.
+    Regions that are equal go into the text once, with all their places; if an anchor hash has but one such, it has nothing to be compared with and stays out, as windows of
+    equal bytes have their anchor at the same place. The suffixes of the text are put in order; windows whose common prefixes reach `length` are
     copies, and all but the earliest place go.
     """
     chunk = np.concatenate([np.full(len(x[1]), x[0], dtype=np.int64) for x in shard])
     doc, row, lo, n = (np.concatenate([x[k] for x in shard]) for k in (1, 2, 3, 4))
     b = np.frombuffer(b"".join(x[5] for x in shard), dtype=np.uint8)
+    h = np.concatenate([x[6] for x in shard])
     size = n + length - 1
     start = np.cumsum(size) - size
     first = _same(b, start, size)
@@ -141,6 +152,8 @@ def repeated(shard: list[tuple], length: int, folder: str, budget: int) -> Itera
     document = np.empty(len(order), dtype=np.int64)
     document[order] = np.cumsum(same)
     own = np.nonzero(earliest)[0]
+    _, kind, count = np.unique(h[own], return_inverse=True, return_counts=True)
+    own = own[count[kind] > 1]
     text = joined([b[s : s + z].tobytes() for s, z in zip(start[own].tolist(), size[own].tolist(), strict=True)])
     base = np.cumsum(size[own] + 1) - size[own] - 1
     region = np.full(len(text), -1, dtype=np.int32)
@@ -157,10 +170,11 @@ def repeated(shard: list[tuple], length: int, folder: str, budget: int) -> Itera
         places.append(place)
         keys.append(document[own[r]] << np.int64(33) | (lo[own[r]] + place - base[r]))
     group, key, place = np.concatenate(groups), np.concatenate(keys), np.concatenate(places)
-    head = np.nonzero(np.append(True, group[1:] != group[:-1]))[0]
-    stays = np.repeat(np.minimum.reduceat(key, head), np.diff(np.append(head, len(key)))) == key
     goes = np.zeros(len(text) + 1, dtype=bool)
-    goes[place[~stays]] = True
+    if len(key):
+        head = np.nonzero(np.append(True, group[1:] != group[:-1]))[0]
+        stays = np.repeat(np.minimum.reduceat(key, head), np.diff(np.append(head, len(key)))) == key
+        goes[place[~stays]] = True
     edge = np.diff(np.append(False, goes).astype(np.int8))
     a, z = np.nonzero(edge == 1)[0], np.nonzero(edge == -1)[0]
     r = region[a]
@@ -234,7 +248,7 @@ def remove_repeats(docs: DataFrame, length: int = 100, q: int = 24, chunk: int =
                 rows = []
                 for k in np.nonzero(np.diff(edges))[0].tolist():
                     x = order[edges[k] : edges[k + 1]]
-                    rows.append((k, c, _pack(ids[row[x]], row[x].astype(np.int32), lo[x].astype(np.int64), n[x].astype(np.int64), _gather(whole, start[row[x]] + lo[x], n[x] + length - 1).tobytes())))
+                    rows.append((k, c, _pack(ids[row[x]], row[x].astype(np.int32), lo[x].astype(np.int64), n[x].astype(np.int64), _gather(whole, start[row[x]] + lo[x], n[x] + length - 1).tobytes(), (h[x] >> np.uint64(32)).astype(np.uint32))))
                 yield pd.DataFrame(rows, columns=["shard", "chunk", "blob"])
 
     told = known.groupBy("chunk").agg(F.collect_list("h").alias("hs"))

@@ -63,9 +63,9 @@ def filter_expressions(spark, sf):
     return m1(spark, sf).filter_cells("status = 'F'").filter_genes(F.col("gene_name").startswith("red")).kept().agg(F.count(F.lit(1)).alias("nnz"), F.sum("count").alias("total"))
 
 
-@query(f"WITH {X2} SELECT x.cell_id, gene_id::INT AS gene_id, round(c * 1e4 / t, 2) AS value FROM x JOIN (SELECT cell_id, sum(c) AS t FROM x GROUP BY 1) s ON s.cell_id = x.cell_id")
+@query(f"WITH {X2} SELECT x.cell_id, gene_id::INT AS gene_id, CAST(CAST(c * (1e4 / t) AS FLOAT) AS DOUBLE) AS value FROM x JOIN (SELECT cell_id, sum(c) AS t FROM x GROUP BY 1) s ON s.cell_id = x.cell_id")
 def normalize_total(spark, sf):
-    return qc.normalize_total(m2(spark, sf)).matrix().select("cell_id", "gene_id", r("value", 2).alias("value"))
+    return qc.normalize_total(m2(spark, sf)).matrix().select("cell_id", "gene_id", "value")
 
 
 @query(f"WITH {X2}, {V} SELECT cell_id, gene_id::INT AS gene_id, round(v, 6) AS value FROM v")

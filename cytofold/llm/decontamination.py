@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,6 +11,9 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 #: ASCII characters that are neither letters nor digits become spaces.
 _SPACED = bytes(x if x >= 128 or chr(x).isalnum() else 32 for x in range(256))
+#: Bytes of ASCII words, and the scripts (first and last code point) that put no space between words.
+_WORD = np.array([x < 128 and chr(x).isalnum() for x in range(256)])
+_UNSPACED = ((0x0E00, 0x0EFF), (0x0F00, 0x109F), (0x1780, 0x17FF), (0x2E80, 0x9FFF), (0xF900, 0xFAFF), (0x20000, 0x3FFFF))
 LEAK = "array<struct<item_id: bigint, edits: int, lo: bigint, hi: bigint>>"
 
 
@@ -41,23 +45,96 @@ def grams(b: np.ndarray, q: int) -> np.ndarray:
         return total * np.uint64(0xBF58476D1CE4E5B9)
 
 
+def _parted(a: str, b: str) -> bool:
+    """Whether a word may end between two characters: one of them is in no word, or of a script that puts no space between words."""
+    word = lambda c: unicodedata.category(c)[0] in "LMN"
+    return not (word(a) and word(b)) or any(lo <= ord(c) <= hi for c in (a, b) for lo, hi in _UNSPACED)
+
+
+class Exact:
+    """Items too short for edits, found verbatim where they start and end at word boundaries. They are looked up by their first 1, 2, 4 or 8 bytes, then compared."""
+
+    def __init__(self, items: list[tuple[int, bytes]]):
+        self.groups = []
+        for n, top in ((1, 2), (2, 4), (4, 8), (8, None)):
+            own = [(i, b) for i, b in items if n <= len(b) and (top is None or len(b) < top)]
+            if not own:
+                continue
+            hashes = np.array([grams(np.frombuffer(b[:n], dtype=np.uint8), n)[0] for _, b in own], dtype=np.uint64)
+            order = np.argsort(hashes, kind="stable")
+            size = np.array([len(own[x][1]) for x in order], dtype=np.int64)
+            letters = np.zeros((len(own), int(size.max())), dtype=np.uint8)
+            for r, x in enumerate(order.tolist()):
+                letters[r, : size[r]] = np.frombuffer(own[x][1], dtype=np.uint8)
+            seen = np.zeros(1 << 16, dtype=bool)
+            seen[(hashes >> np.uint64(48)).astype(np.int64)] = True
+            self.groups.append((n, np.array([own[x][0] for x in order], dtype=np.int64), size, letters, *np.unique(hashes[order], return_index=True, return_counts=True), seen))
+
+    def __call__(self, text: np.ndarray, start: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
+        """(document, item, lo, hi) of the first place of each item in each document. Documents have zeros behind them."""
+        before = np.append(np.uint8(0), text[:-1])
+        begin = ~_WORD[before] | (text >= 128)
+        for n, ids, size, letters, hashes, first, count, seen in self.groups:
+            h = grams(text, n)
+            at = np.nonzero(begin[: len(h)] & seen[(h >> np.uint64(48)).astype(np.int64)])[0]
+            row = np.searchsorted(hashes, h[at])
+            row[row == len(hashes)] = 0
+            at, row = at[hashes[row] == h[at]], row[hashes[row] == h[at]]
+            held: set[tuple[int, int]] = set()
+            for s in range(0, len(at), 1 << 14):
+                a, r = at[s : s + (1 << 14)], row[s : s + (1 << 14)]
+                c = count[r]
+                where = np.repeat(a, c)
+                item = np.repeat(first[r] - np.cumsum(c) + c, c) + np.arange(len(where))
+                same = np.zeros(len(where), dtype=bool)
+                lane = np.arange(letters.shape[1])
+                for t in range(0, len(where), 1 << 16):
+                    x = slice(t, t + (1 << 16))
+                    got = text[np.minimum(where[x, None] + lane, len(text) - 1)]
+                    same[x] = ((got == letters[item[x]]) | (lane >= size[item[x], None])).all(axis=1)
+                where, item = where[same], item[same]
+                doc = np.searchsorted(start, where, side="right") - 1
+                after = text[where + size[item]]
+                plain = np.isin(before[where], (0, 32)) & np.isin(after, (0, 32))
+                maybe = ~(_WORD[after] & _WORD[text[where + size[item] - 1]])
+                for w, i, d, sure in zip(where[maybe].tolist(), item[maybe].tolist(), doc[maybe].tolist(), plain[maybe].tolist(), strict=True):
+                    if (d, i) in held:
+                        continue
+                    hi = w + int(size[i])
+                    if sure or self._word(text, w, hi):
+                        held.add((d, i))
+                        yield d, int(ids[i]), w - int(start[d]), hi - int(start[d])
+
+    def _word(self, text: np.ndarray, lo: int, hi: int) -> bool:
+        say = lambda a, b: text[max(0, a) : b].tobytes().decode(errors="ignore")
+        left, own, right = say(lo - 4, lo), say(lo, hi), say(hi, hi + 4)
+        return (not left or _parted(left[-1], own[0])) and (not right or _parted(own[-1], right[0]))
+
+
 class Index:
-    """The q-grams of probes: of each item as a whole if it is short, else of windows that overlap by half.
+    """The q-grams of probes: of each item as a whole or, if it is longer than `window`, of windows that overlap by half, and beside those of each item's excerpts, windows of `excerpt` bytes that overlap by half.
 
     A probe of m bytes may be edited in k = m * rate places. By the q-gram lemma an alignment of at most k edits keeps
-    m - q + 1 - k * q of the probe's q-grams, on diagonals that differ by k at most. Items of under `least` bytes are left out: they can't be told from prose.
+    m - q + 1 - k * q of the probe's q-grams, on diagonals that differ by k at most. The excerpts see whatever holds 3/2 `excerpt` bytes of an item in one piece; the longer
+    probes see what has more edits than an excerpt may have in one place. Items of under `least` bytes can't be told from prose once edited, so they count verbatim, between word boundaries.
     """
 
-    def __init__(self, items: list[tuple[int, str]], q: int = 10, rate: float = 0.08, window: int = 256, least: int = 40):
-        self.q, probes, ids = q, [], []
+    def __init__(self, items: list[tuple[int, str]], q: int = 10, rate: float = 0.08, window: int = 256, least: int = 40, excerpt: int = 100):
+        self.q, probes, ids, short = q, [], [], []
         for i, text in items:
             b = normal(text)
             if len(b) < least:
+                if b:
+                    short.append((i, b))
                 continue
-            starts = [0] if len(b) <= window else [*range(0, len(b) - window, window // 2), len(b) - window]
-            for s in starts:
-                probes.append(np.frombuffer(b[s : s + window], dtype=np.uint8))
-                ids.append(i)
+            for w in (window, excerpt):
+                if w == excerpt and len(b) <= min(window, excerpt):
+                    continue
+                starts = [0] if len(b) <= w else [*range(0, len(b) - w, w // 2), len(b) - w]
+                for s in starts:
+                    probes.append(np.frombuffer(b[s : s + w], dtype=np.uint8))
+                    ids.append(i)
+        self.exact = Exact(short)
         self.probes, self.ids = probes, np.array(ids, dtype=np.int64)
         self.size = np.array([len(p) for p in probes], dtype=np.int64)
         self.edits = np.minimum((self.size * rate).astype(np.int64), np.maximum(0, (self.size - q) // q))
@@ -68,7 +145,7 @@ class Index:
         probe = np.repeat(np.arange(len(probes)), [len(h) for h in hashes])
         place = np.concatenate([np.arange(len(h)) for h in hashes]) if hashes else np.zeros(0, dtype=np.int64)
         order = np.argsort(flat, kind="stable")
-        self.probe, self.place = probe[order], place[order]
+        self.probe, self.place = probe[order].astype(np.int32), place[order].astype(np.int32)
         self.hash, self.first, self.count = np.unique(flat[order], return_index=True, return_counts=True)
         self.shift = np.uint64(64 - max(16, int(len(flat)).bit_length() + 7))
         self.seen = np.zeros(1 << (64 - int(self.shift)), dtype=bool)
@@ -141,9 +218,9 @@ class Index:
         return best, end
 
     def __call__(self, texts: list[bytes], block: int = 1 << 21) -> list[list[tuple[int, int, int, int]]]:
-        """For each normalised text its leaks (item, edits, lo, hi): the fewest edits for each item, and the passage's place in the normalised text."""
+        """For each normalised text its leaks (item, edits, lo, hi): for each item the longest probe found and of those the fewest edits, and the passage's place in the normalised text."""
         out: list[list] = [[] for _ in texts]
-        if not self.probes:
+        if not self.probes and not self.exact.groups:
             return out
         at = 0
         while at < len(texts):
@@ -154,18 +231,23 @@ class Index:
             size = np.array([len(t) for t in texts[at:to]], dtype=np.int64)
             start = np.cumsum(size + self.q) - size - self.q
             text = np.frombuffer(b"".join(t + b"\0" * self.q for t in texts[at:to]), dtype=np.uint8)
-            d, p, low = self._regions(text, start, size)
-            best: dict[tuple[int, int], tuple[int, int, int]] = {}
+            best: dict[tuple[int, int], tuple[int, int, int, int]] = {}
+            for dd, item, lo, hi in self.exact(text, start):
+                new = (lo - hi, 0, lo, hi)
+                best[dd, item] = min(best.get((dd, item), new), new)
+            d, p, low = self._regions(text, start, size) if self.probes else np.zeros((3, 0), dtype=np.int64)
+            order = np.argsort(self.size[p], kind="stable")
+            d, p, low = d[order], p[order], low[order]
             for s in range(0, len(d), 256):
                 x = slice(s, s + 256)
                 edits, end = self._align(text, start, size, d[x], p[x], low[x])
                 for dd, pp, e, hi in zip(d[x].tolist(), p[x].tolist(), edits.tolist(), end.tolist(), strict=True):
                     if e <= self.edits[pp]:
-                        new = (e, max(0, hi - int(self.size[pp])), hi)
+                        new = (-int(self.size[pp]), e, max(0, hi - int(self.size[pp])), hi)
                         key = (dd, int(self.ids[pp]))
                         best[key] = min(best.get(key, new), new)
             for (dd, item), leak in sorted(best.items()):
-                out[at + dd].append((item, *leak))
+                out[at + dd].append((item, *leak[1:]))
             at = to
         return out
 
@@ -184,7 +266,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
     """docs with an array of the benchmark items that leak into each whole text: struct(item_id, edits, lo, hi), lo and hi in the normalised text.
 
     The benchmark is sent to the executors in slices of at most about slice_bytes, each a column of its own, so what is sent
-    at once is bounded and documents are never shuffled. Null and empty texts have no leaks; items that are null or very short are left out, and
+    at once is bounded and documents are never shuffled. Null and empty texts have no leaks; items that are null or hold no letter or digit are left out, and
     repeated items are one. Other columns pass through.
     """
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).dropna().distinct()

@@ -97,6 +97,29 @@ def test_leaks_are_found_and_others_left():
     assert got[0][0][1] == 0 and got[1][0][1] > 0
 
 
+def test_excerpts_and_short_items_are_leaks():
+    rng = np.random.default_rng(1)
+    say = lambda n: " ".join("".join(chr(97 + x) for x in rng.integers(0, 26, rng.integers(2, 9))) for _ in range(n))
+    long, mid = say(120), say(40)
+    index = Index([(1, long), (2, mid), (3, "Short, but whole!"), (4, "\u65e5\u672c\u8a9e"), (5, "\u00e9t\u00e9"), (6, "q"), (7, "?!")])
+    texts = [say(30) + " " + part + " " + say(30) for part in (long[200:350], mid[20:170], mid[:150].replace(mid[80:82], "0"))]
+    texts += ["it is SHORT but\nwhole.", "short but wholesome", "\u3053\u308c\u306f\u65e5\u672c\u8a9e\u3067\u3059", "un \u00e9t\u00e9 chaud", "r\u00e9p\u00e9t\u00e9", "a q.", "aq qa", "", "q", mid[:80]]
+    got = index([normal(t) for t in texts])
+    assert [[x[0] for x in leaks] for leaks in got] == [[1], [2], [2], [3], [], [4], [5], [], [6], [], [], [6], []]
+    assert got[3] == [(3, 0, 6, 21)]
+    for cut in range(0, len(long) - 150, 37):
+        assert index([normal(say(20) + " \n" + long[cut : cut + 150] + ". " + say(20))])[0][0][:2] == (1, 0)
+
+
+def test_an_item_stays_found_where_edits_crowd():
+    rng = np.random.default_rng(2)
+    item = "".join(chr(97 + x) for x in rng.integers(0, 26, 256))
+    edited = list(item)
+    for x in (*range(60, 100, 5), *range(160, 200, 5), 230, 240):
+        edited[x] = "0"
+    assert [x[:2] for x in Index([(1, item)])([normal("before " + "".join(edited) + " after")])[0]] == [(1, 18)]
+
+
 def test_int8_bounds_lose_no_pair():
     rng = np.random.default_rng(0)
     x = rng.standard_normal((300, 32))

@@ -9,7 +9,7 @@ from itertools import chain
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from cytofold.llm.common import components, drop_durable, durable
 
@@ -119,6 +119,15 @@ def bands(signature: np.ndarray, rows: int) -> np.ndarray:
 SIGNED = "doc_id long, n long, s1 long, s2 long, sig binary, bands array<long>"
 
 
+def sums(sets: list[np.ndarray]) -> dict:
+    """Columns n, s1 and s2 of sets of hashes."""
+    return {
+        "n": [len(s) for s in sets],
+        "s1": np.array([np.add.reduce(s) for s in sets], dtype=np.uint64).view(np.int64),
+        "s2": np.array([np.bitwise_xor.reduce(mix(s)) if len(s) else 0 for s in sets], dtype=np.uint64).view(np.int64),
+    }
+
+
 def sign(docs: DataFrame, size: int, m: int, rows: int) -> DataFrame:
     """doc_id, set size, two sums over the set's hashes that tell equal sets, the signature (a byte a slot, which can only make slots agree that don't) and the bands."""
 
@@ -133,9 +142,7 @@ def sign(docs: DataFrame, size: int, m: int, rows: int) -> DataFrame:
                 yield pd.DataFrame(
                     {
                         "doc_id": b["doc_id"].iloc[at : at + 1000].to_numpy(),
-                        "n": [len(s) for s in sets],
-                        "s1": np.array([np.add.reduce(s) for s in sets], dtype=np.uint64).view(np.int64),
-                        "s2": np.array([np.bitwise_xor.reduce(mix(s)) if len(s) else 0 for s in sets], dtype=np.uint64).view(np.int64),
+                        **sums(sets),
                         "sig": [x.tobytes() for x in low],
                         "bands": list(bands(sig, rows)),
                     }
@@ -144,8 +151,33 @@ def sign(docs: DataFrame, size: int, m: int, rows: int) -> DataFrame:
     return docs.mapInPandas(run, SIGNED)
 
 
+def set_texts(docs: DataFrame, size: int) -> DataFrame:
+    """doc_id, n, s1, s2 and text of each row."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        make = shingler(size)
+        for b in batches:
+            for at in range(0, len(b), 1000):
+                part = b.iloc[at : at + 1000]
+                yield pd.DataFrame({"doc_id": part["doc_id"].to_numpy(), **sums(make(part["text"].fillna("").tolist())), "text": part["text"].to_numpy()})
+
+    return docs.mapInPandas(run, "doc_id long, n long, s1 long, s2 long, text string")
+
+
+def own_nodes(nodes: DataFrame, ids: DataFrame, several: DataFrame) -> DataFrame:
+    """nodes with a node id for each set, where ids in `several` hold more than one: the least set keeps the doc_id, the others get hashes that are no doc_id."""
+    w = Window.partitionBy("doc_id").orderBy("n", "s1", "s2")
+    marked = nodes.join(several, "doc_id", "left_semi").select("n", "s1", "s2", "doc_id", F.row_number().over(w).alias("_k")).where("_k > 1")
+    for salt in range(100):
+        fresh = durable(marked.select("n", "s1", "s2", F.xxhash64("n", "s1", "s2", F.lit(salt)).alias("_fresh")), "minhash-fresh")
+        taken = fresh.select("_fresh").unionByName(ids.select(F.col("doc_id").alias("_fresh")).distinct()).groupBy("_fresh").count().where("count > 1")
+        if taken.isEmpty():
+            return durable(nodes.drop("node").join(fresh, ["n", "s1", "s2"], "left").withColumn("node", F.coalesce("_fresh", "doc_id")).drop("_fresh"), "minhash-nodes")
+    raise RuntimeError("own_nodes: no free ids")
+
+
 def verify(pairs: DataFrame, docs: DataFrame, size: int, percent: int, group: int = 400) -> DataFrame:
-    """(a, b, linked, far) of pairs: whether 100 * intersection >= percent * union, counted on the whole sets, and the Jaccard distance. Rows of one id hold several texts, of which the closest counts.
+    """(a, b, linked, far) of pairs: whether 100 * intersection >= percent * union, counted on the whole sets, and the Jaccard distance. docs holds the texts (node, text), all texts of a node being of one set.
 
     The texts of b are dealt by a and, where a has many partners, by parts of them, to each of which a's text goes too. So a task gets about `group` texts, whatever
     the size of a's group.
@@ -156,7 +188,7 @@ def verify(pairs: DataFrame, docs: DataFrame, size: int, percent: int, group: in
     wanted = dealt.select("a", F.col("b").alias("node"), "part").unionByName(firsts)
     total = wanted.count()
     deal = F.pmod(F.xxhash64("a", "part"), F.lit(max(1, -(-total // group))))
-    texts = wanted.join(docs.select(F.col("doc_id").alias("node"), "text"), "node").withColumn("deal", deal)
+    texts = wanted.join(docs, "node").withColumn("deal", deal)
 
     def run(g: pd.DataFrame) -> pd.DataFrame:
         make, found = shingler(size), []
@@ -220,21 +252,32 @@ def minhash_groups(docs: DataFrame, size: int = 5, percent: int = 75, n_bands: i
     choice of a pivot. A pair right at the threshold misses all bands with probability (1 - 0.75^rows)^n_bands, about 1e-6.
 
     Null or empty text, or white space alone: an empty set, linked with nothing. Null ids: their rows link with nothing and are kept.
-    Repeated rows of an id are one document, which holds each of their texts. No rows: no rows. Other columns are left out.
+    Repeated rows of an id are one document, which holds each of their texts: each set of it is a node of its own, so that distances are those of sets, and the nodes of an id are one component. No rows: no rows. Other columns are left out.
     """
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     m = n_bands * rows
     signed = durable(sign(own, size, m, rows), "minhash-signed")
     real = signed.where("n > 0 and doc_id is not null")
     nodes = real.groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("node"))
-    nodes = durable(real.join(nodes, ["n", "s1", "s2"]).where("doc_id = node").dropDuplicates(["n", "s1", "s2"]).select("n", "s1", "s2", "node", "sig", "bands"), "minhash-nodes")
+    nodes = durable(real.join(nodes, ["n", "s1", "s2"]).where("doc_id = node").dropDuplicates(["n", "s1", "s2"]).select("n", "s1", "s2", "doc_id", "node", "sig", "bands"), "minhash-nodes")
+    known, merged = own.where("doc_id is not null").select(F.col("doc_id").alias("node"), "text"), None
+    ends = [f(c).alias(f"{f.__name__}_{c}") for f in (F.min, F.max) for c in ("n", "s1", "s2")]
+    several = durable(signed.where("doc_id is not null").groupBy("doc_id").agg(*ends).where("min_n < max_n or min_s1 < max_s1 or min_s2 < max_s2").select("doc_id"), "minhash-several")
+    if not several.isEmpty():
+        nodes = own_nodes(nodes, real, several)
+        of_sets = set_texts(own.join(several, "doc_id", "left_semi"), size).join(nodes.select("n", "s1", "s2", "doc_id", "node"), ["n", "s1", "s2", "doc_id"])
+        known = durable(own.where("doc_id is not null").join(several, "doc_id", "left_anti").select(F.col("doc_id").alias("node"), "text").unionByName(of_sets.select("node", "text")), "minhash-texts")
+        held = real.join(several, "doc_id", "left_semi").select("doc_id", "n", "s1", "s2").join(nodes.select("n", "s1", "s2", "node"), ["n", "s1", "s2"]).select("doc_id", "node").distinct()
+        least = held.groupBy("doc_id").agg(F.min("node").alias("a"))
+        merged = durable(held.join(least, "doc_id").select("doc_id", "a", F.col("node").alias("b")), "minhash-merged")
     rows_ = nodes.select("node", F.explode("bands").alias("key"))
     pivots = rows_.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("z")).where("a < z").select("key", "a")
     shared = durable(rows_.join(pivots, "key"), "minhash-shared")
     pairs = durable(shared.where("node > a").select("a", F.col("node").alias("b")).distinct(), "minhash-pairs")
-    known = own.where("doc_id is not null")
     checked = durable(verify(pairs, known, size, percent), "minhash-checked")
     links = checked.where("linked").select("a", "b")
+    if merged is not None:
+        links = links.unionByName(merged.where("a < b").select("a", "b"))
     first = durable(components(links, "minhash"), "minhash-components")
     # distances to the pivot bound those between two others, as the Jaccard distance is a metric: nodes whose distances to it differ by more than a link's can't be linked
     slack = 1 - percent / 100 + 1e-9
@@ -244,17 +287,25 @@ def minhash_groups(docs: DataFrame, size: int = 5, percent: int = 75, n_bands: i
     left = of.join(mixed.drop("lo", "hi"), "key").where(F.when(F.col("near"), F.col("far") >= F.col("first") - slack).otherwise((F.col("others") > 1) | (F.col("far") <= F.col("last") + slack)))
     left = left.withColumn("parts", F.ceil(F.col("size") / part).cast("int")).withColumn("p", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
     left = left.withColumn("q", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("key", "node", "component", F.least("p", "q").alias("p"), F.greatest("p", "q").alias("q"))
-    left = left.join(nodes.select("node", "n", "sig").dropDuplicates(["node"]), "node").withColumn("deal", F.when(F.col("q") == 0, F.pmod(F.xxhash64("key"), F.lit(4096))).otherwise(F.xxhash64("key", "p", "q")))
+    left = left.join(nodes.select("node", "n", "sig"), "node").withColumn("deal", F.when(F.col("q") == 0, F.pmod(F.xxhash64("key"), F.lit(4096))).otherwise(F.xxhash64("key", "p", "q")))
     share = percent / 100
     least = int(m * share - 5 * (m * share * (1 - share)) ** 0.5)
     more = durable(left.groupBy("deal").applyInPandas(lambda g: _across(g, least, percent), "a long, b long").distinct(), "minhash-across")
     if not more.isEmpty():
         found = durable(verify(more.join(pairs, ["a", "b"], "left_anti"), known, size, percent).where("linked").select("a", "b"), "minhash-links")
         first = durable(components(links.unionByName(found), "minhash"), "minhash-components")
-    groups = nodes.join(first, "node", "left").select("n", "s1", "s2", F.coalesce("component", "node").alias("component"))
+    groups = nodes.join(first, "node", "left").select("n", "s1", "s2", "doc_id", "node", F.coalesce("component", "node").alias("component"))
+    if merged is not None:  # a component's least node may be a hash
+        named = groups.groupBy("component").agg(F.min("doc_id").alias("_name"))
+        groups = durable(groups.join(named, "component").drop("component").withColumnRenamed("_name", "component"), "minhash-named")
+        whole = groups.join(merged.where("a = b").select(F.col("doc_id").alias("_id"), F.col("a").alias("node")), "node").select("_id", F.col("component").alias("_whole"))
+    groups = groups.select("n", "s1", "s2", "component")
     for x in (shared, pairs, more):
         drop_durable(x)
-    out = signed.join(groups, ["n", "s1", "s2"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"))
+    out = signed.join(groups, ["n", "s1", "s2"], "left")
+    if merged is not None:  # rows without shingles go with their document's others
+        out = out.join(whole, F.col("doc_id") == F.col("_id"), "left").withColumn("component", F.coalesce("component", "_whole"))
+    out = out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 

@@ -1,6 +1,7 @@
 """Operators on small frames: against SQL, brute force, a round trip, and awkward rows."""
 
 import hashlib
+import itertools
 import zlib
 
 import duckdb
@@ -45,6 +46,28 @@ def test_minhash_of_odd_rows(odd, none):
     assert minhash_dedup.minhash_groups(none).count() == 0
 
 
+def test_minhash_of_ids_with_several_texts(spark):
+    rng = np.random.default_rng(0)
+    base = [[f"w{x}" for x in rng.integers(0, 900, 60)] for _ in range(8)]
+    rows = []
+    for _ in range(90):
+        words = list(base[rng.integers(8)])
+        for x in rng.integers(0, 60, rng.integers(0, 4)):
+            words[x] = f"v{rng.integers(900)}"
+        rows.append((int(rng.integers(70)), " ".join(words)))
+    # links over texts of id 205 and 206, and a row of 206 without shingles
+    rows += [(201, "a b c d e"), (205, "a b c d e"), (205, "f g h i j"), (206, ""), (206, "f g h i j"), (206, "k l m n o"), (207, "k l m n o")]
+    sets = [{tuple(w[k : k + 5]) for k in range(len(w) - 4)} for w in (t.split() for _, t in rows)]
+    least = {i: i for i, _ in rows}
+    link = [(a, b) for (a, s), (b, t) in itertools.combinations(list(zip((i for i, _ in rows), sets, strict=True)), 2) if s and 4 * len(s & t) >= 3 * len(s | t)]
+    for _ in rows:
+        for a, b in link:
+            least[a] = least[b] = min(least[a], least[b])
+    got = minhash_dedup.minhash_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r["doc_id"], r["n_shingles"], r["component_id"], r["kept"]) for r in got) == sorted((i, len(s), least[i], least[i] == i) for (i, _), s in zip(rows, sets, strict=True))
+    assert least[207] == 201 and len(set(least.values())) > 2
+
+
 def test_packing_is_a_partition_of_the_tokens(spark, odd, none):
     path = registry.tokenizer_path()
     p = packing.pack(odd, path).toPandas()

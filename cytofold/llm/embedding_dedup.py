@@ -129,7 +129,7 @@ def linked(vectors: DataFrame, threshold: float = 0.95, id_col: str = "vec_id",
     which meet in a task of their own, so no task grows with a bucket; buckets that are small share a task. What a task returns is a
     count per vector and the edges of a forest, never pairs.
 
-    Vectors that are null, zero, of another length than the most common one, or that hold null or non-finite components, and rows of null id, link with nothing. Repeated rows of an id
+    Vectors meet those of their own length only, in buckets and tables planned for as many. Vectors that are null, zero, or that hold null or non-finite components, and rows of null id, link with nothing. Repeated rows of an id
     and vector count as one. No rows: no rows. Other columns pass through.
     """
     spark = vectors.sparkSession
@@ -139,22 +139,24 @@ def linked(vectors: DataFrame, threshold: float = 0.95, id_col: str = "vec_id",
     own = own.withColumn("_h", F.when(fine, F.struct(F.xxhash64("_v").alias("a"), F.hash("_v").alias("b"))))
     sets = own.where(F.col("_h").isNotNull()).groupBy("_h").agg(F.min(id_col).cast("long").alias("node"), F.count_distinct(id_col).alias("copies"), F.first("_v").alias("_v"))
     sets = durable(sets, "embedding-nodes")
-    dims = sets.groupBy(F.size("_v").alias("d")).count().orderBy(F.desc("count"), "d").first()
-    n, d = (dims["count"], dims["d"]) if dims else (0, 1)
-    nodes = sets.where(F.size("_v") == d)
-    bits, tables = plan(n, threshold)
+    lengths = {r["d"]: r["count"] for r in sets.groupBy(F.size("_v").alias("d")).count().collect()}
+    n = sum(lengths.values())
+    planned = {d: plan(count, threshold) for d, count in lengths.items()}
 
     def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            x = np.array(b["_v"].tolist(), dtype="<f4").reshape(len(b), d)
-            u = x.astype(np.float64)
-            k = keys(u / np.linalg.norm(u, axis=1, keepdims=True), bits, tables)
-            yield pd.DataFrame({"node": b["node"], "copies": b["copies"], "vector": [r.tobytes() for r in x], "keys": [r.astype("<i4").tobytes() for r in k], "bucket": list(k)})
-
-    signed = durable(nodes.select("node", "copies", "_v").mapInPandas(sign, "node long, copies long, vector binary, keys binary, bucket array<int>"), "embedding-keys")
-    sizes = signed.select(F.posexplode("bucket").alias("table", "key")).groupBy("table", "key").count()
-    hot = durable(sizes.where(F.col("count") > tile).select("table", "key", F.ceil(F.col("count") / tile).cast("int").alias("parts")), "embedding-hot")
-    rows = signed.select("node", "copies", "vector", "keys", F.posexplode("bucket").alias("table", "key")).join(hot, ["table", "key"], "left")
+            size = b["_v"].str.len()
+            for d in size.unique().tolist():
+                own = b[size == d]
+                x = np.array(own["_v"].tolist(), dtype="<f4").reshape(len(own), d)
+                u = x.astype(np.float64)
+                k = keys(u / np.linalg.norm(u, axis=1, keepdims=True), *planned[d])
+                yield pd.DataFrame({"d": d, "node": own["node"].to_numpy(), "copies": own["copies"].to_numpy(), "vector": [r.tobytes() for r in x], "keys": [r.astype("<i4").tobytes() for r in k], "bucket": list(k)})
+
+    signed = durable(sets.select("node", "copies", "_v").mapInPandas(sign, "d int, node long, copies long, vector binary, keys binary, bucket array<int>"), "embedding-keys")
+    sizes = signed.select("d", F.posexplode("bucket").alias("table", "key")).groupBy("d", "table", "key").count()
+    hot = durable(sizes.where(F.col("count") > tile).select("d", "table", "key", F.ceil(F.col("count") / tile).cast("int").alias("parts")), "embedding-hot")
+    rows = signed.select("d", "node", "copies", "vector", "keys", F.posexplode("bucket").alias("table", "key")).join(hot, ["d", "table", "key"], "left")
     tasks = max(1, -(-n // group))
     part = F.pmod(F.xxhash64("node", F.lit(5)), F.col("parts")).cast("int")
     cold = rows.where(F.col("parts").isNull()).withColumns({"part": F.lit(0), "tile_a": F.lit(-1), "tile_b": F.lit(-1), "deal": F.pmod(F.xxhash64("key"), F.lit(tasks)).cast("int")})
@@ -168,9 +170,9 @@ def linked(vectors: DataFrame, threshold: float = 0.95, id_col: str = "vec_id",
     both = cold.drop("parts").unionByName(warm.drop("parts"))
 
     def run(g: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame(_tile(g, d, threshold), columns=["node", "other", "links"]).astype("Int64")
+        return pd.DataFrame(_tile(g, int(g["d"].iloc[0]), threshold), columns=["node", "other", "links"]).astype("Int64")
 
-    found = durable(both.groupBy("table", "deal", "tile_a", "tile_b").applyInPandas(run, FOUND), "embedding-links")
+    found = durable(both.groupBy("d", "table", "deal", "tile_a", "tile_b").applyInPandas(run, FOUND), "embedding-links")
     links = found.where("links is not null").groupBy("node").agg(F.sum("links").alias("links"))
     groups = components(found.where("other is not null").select(F.col("node").alias("a"), F.col("other").alias("b")), "embedding").withColumnRenamed("node", "_n")
     known = sets.select("_h", "node", "copies").join(links, "node", "left").join(groups, F.col("node") == F.col("_n"), "left").select(F.col("_h").alias("_g"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("_links"), F.coalesce("component", "node").alias("_c"))

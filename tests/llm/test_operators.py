@@ -112,6 +112,21 @@ def test_embeddings_of_odd_rows(spark):
     assert got == {1: (3, 1, True), 2: (3, 1, False), 3: (3, 1, False), 9: (3, 1, False), **{i: (0, i, True) for i in (4, 5, 6, 7, 8)}}
 
 
+def test_embeddings_of_several_lengths(spark):
+    rng = np.random.default_rng(0)
+    rows, want = [], {}
+    for k, (dims, n) in enumerate(((8, 40), (5, 30), (3, 2))):
+        for i in range(n):
+            v = rng.standard_normal(dims)
+            a, b = (1000 * k + 2 * i, 1000 * k + 2 * i + 1)
+            rows += [(a, v.tolist()), (b, (v * 2 + rng.normal(0, 0.01, dims)).tolist())]
+    unit = {i: np.float32(v).astype(float) / np.linalg.norm(np.float32(v).astype(float)) for i, v in rows}
+    for i, v in unit.items():
+        want[i] = sum(len(v) == len(w) and v @ w >= 0.95 for w in unit.values()) - 1
+    got = {r["vec_id"]: r["n_links"] for r in embedding_dedup.linked(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect()}
+    assert got == want and min(want.values()) >= 1
+
+
 def test_archives_of_odd_rows(spark):
     page = "<p>" + "x" * 200
     rows = [(3, "http://a\r\nb", page), (2, None, page), (5, "u", None), (6, "u", "short"), (7, "u", "short"), (None, "u", page)]

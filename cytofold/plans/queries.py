@@ -220,12 +220,12 @@ def leiden(spark, sf):
 
 @query()
 def leiden_sweep(spark, sf):
-    return community.leiden_sweep(neighbors.neighbors(as_frame(spark, sf)), [0.5, 1.0], n_seeds=2)
+    return community.leiden_sweep(neighbors.neighbors(as_frame(spark, sf)), n_seeds=2)
 
 
 @query()
 def umap(spark, sf):
-    return embedding.umap(neighbors.neighbors(as_frame(spark, sf)), n_epochs=50).obsm["X_umap"]
+    return embedding.umap(neighbors.neighbors(as_frame(spark, sf))).obsm["X_umap"]
 
 
 _LABELS = "l AS (SELECT o_orderkey, o_orderpriority AS a, o_orderstatus AS b FROM orders), t AS (SELECT a, b, count(*) AS n FROM l GROUP BY 1, 2)"
@@ -407,7 +407,7 @@ def scrublet_score_formula(spark, sf):
 
 @query()
 def scrublet(spark, sf):
-    return doublets.scrublet(m2(spark, sf), n_prin_comps=10).obs.select("cell_id", "doublet_score", "predicted_doublet", "doublet_z")
+    return doublets.scrublet(m2(spark, sf)).obs.select("cell_id", "doublet_score", "predicted_doublet", "doublet_z")
 
 
 @query(f"WITH {X1}, k AS (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) - 1 AS i FROM orders WHERE o_orderstatus = 'F') SELECT i AS cell_id, gene_id::INT AS gene_id, c AS count FROM x JOIN k ON o_orderkey = cell_id")

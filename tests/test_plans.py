@@ -30,6 +30,19 @@ def test_query_is_what_its_sql_says(spark, duck, name):
     assert rows(f(spark, SF).toPandas()) == rows(duck.execute(sql).df())
 
 
+def test_queries_take_the_operators_defaults(monkeypatch):
+    from unittest.mock import MagicMock
+
+    from cytofold.plans import queries
+
+    community, embedding, doublets = MagicMock(), MagicMock(), MagicMock()
+    for name, x in {"community": community, "embedding": embedding, "doublets": doublets, "neighbors": MagicMock(), "as_frame": MagicMock(), "m2": MagicMock()}.items():
+        monkeypatch.setattr(queries, name, x)
+    for name in ("umap", "leiden_sweep", "scrublet"):
+        QUERIES[name][0](None, SF)
+    assert [(len(c.args), set(c.kwargs)) for c in (embedding.umap.call_args, community.leiden_sweep.call_args, doublets.scrublet.call_args)] == [(1, set()), (1, {"n_seeds"}), (1, set())]
+
+
 @pytest.fixture
 def small(spark):
     x = spark.createDataFrame([(0, 0, 2.0), (0, 1, 6.0), (1, 0, 5.0), (2, 1, 1.0), (2, 2, 3.0)], "cell_id long, gene_id int, count double")

@@ -1,11 +1,12 @@
 """Plans over small frames, and every query that has SQL against DuckDB."""
 
 import duckdb
+import numpy as np
 import pandas as pd
 import pytest
 
 from cytofold.frame import CountFrame
-from cytofold.operators import qc
+from cytofold.operators import neighbors, qc
 from cytofold.plans.queries import QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -43,6 +44,20 @@ def test_queries_take_the_operators_defaults(monkeypatch):
     assert [(len(c.args), set(c.kwargs)) for c in (embedding.umap.call_args, community.leiden_sweep.call_args, doublets.scrublet.call_args)] == [(1, set()), (1, {"n_seeds"}), (1, set())]
 
 
+def test_recall_of_approximate_neighbours(spark, monkeypatch):
+    rng = np.random.default_rng(0)
+    x = rng.standard_normal((20, 12))[rng.integers(20, size=1500)] * 2 + rng.standard_normal((1500, 12))
+    p = spark.createDataFrame(pd.DataFrame({"id": range(len(x)), "vec": x.tolist()}))
+    pairs = lambda t: {(r["i"], r["j"]) for r in t.select("i", "j").collect()}
+    exact = pairs(neighbors.knn_blocks(p, p, 10, True))
+    lists = neighbors.knn_lists(p, p, 10, True, 40_000, probes=4)  # 78 lists
+    assert len(pairs(lists) & exact) >= 0.9 * len(exact)
+    asked = []
+    monkeypatch.setattr(neighbors, "knn_lists", lambda *a, **k: asked.append(k))
+    neighbors.knn_query(p, p, 5, exact_pairs=0)
+    assert asked == [{"probes": 32}]
+
+
 @pytest.fixture
 def small(spark):
     x = spark.createDataFrame([(0, 0, 2.0), (0, 1, 6.0), (1, 0, 5.0), (2, 1, 1.0), (2, 2, 3.0)], "cell_id long, gene_id int, count double")

@@ -17,8 +17,19 @@ def lgamma(x: np.ndarray) -> np.ndarray:
     while (low := x < 10).any():
         shift = np.where(low, shift + np.log(x), shift)
         x = np.where(low, x + 1, x)
+    return (x - 0.5) * np.log(x) - x + 0.9189385332046727 + stirling(x) - shift
+
+
+def stirling(x: np.ndarray) -> np.ndarray:
+    """What Stirling's formula leaves out of log gamma of x >= 10."""
+    z = 1 / (x * x)
+    return (1 / 12 - z * (1 / 360 - z * (1 / 1260 - z * (1 / 1680 - z / 1188)))) / x
+
+
+def digamma_rest(x: np.ndarray) -> np.ndarray:
+    """digamma(x) - log(x) of x >= 10."""
     z = 1 / (x * x)
-    return (x - 0.5) * np.log(x) - x + 0.9189385332046727 + (1 / 12 - z * (1 / 360 - z * (1 / 1260 - z * (1 / 1680 - z / 1188)))) / x - shift
+    return -0.5 / x - z * (1 / 12 - z * (1 / 120 - z * (1 / 252 - z * (1 / 240 - z / 132))))
 
 
 def digamma(x: np.ndarray) -> np.ndarray:
@@ -27,8 +38,7 @@ def digamma(x: np.ndarray) -> np.ndarray:
     while (low := x < 10).any():
         out = np.where(low, out - 1 / x, out)
         x = np.where(low, x + 1, x)
-    z = 1 / (x * x)
-    return out + np.log(x) - 0.5 / x - z * (1 / 12 - z * (1 / 120 - z * (1 / 252 - z * (1 / 240 - z / 132))))
+    return out + np.log(x) + digamma_rest(x)
 
 
 def trigamma(x: np.ndarray) -> np.ndarray:

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 SPACE = " \t\n\x0b\x0c\r"
@@ -16,9 +18,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see: spark.checkpoint.dir, or for local sessions without it a temporary one."""
+    """The folder that the driver and all executors see: spark.checkpoint.dir, or for local sessions without it a temporary one. On a cluster without it there is none, which is an error."""
     if found := spark.conf.get("spark.checkpoint.dir", None):
         return found.rstrip("/")
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors see")
     made = getattr(shared_dir, "made", None)
     if not made:
         made = shared_dir.made = "file://" + tempfile.mkdtemp(prefix="cytofold-")
@@ -46,6 +50,28 @@ def drop_durable(df: DataFrame | None) -> None:
         p.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def few(df: DataFrame, most: int = 1_000_000) -> DataFrame:
+    """df, to be broadcast in a join if it has at most `most` rows, which are to be some ten bytes each; else an ordinary side of one. It is counted, so it should be a durable() table."""
+    return F.broadcast(df) if df.count() <= most else df
+
+
+def roots(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """The least member of each of n nodes' component under the edges (i, j)."""
+    label = np.arange(n)
+    while len(i):
+        low = np.minimum(label[i], label[j])
+        new = label.copy()
+        np.minimum.at(new, i, low)
+        np.minimum.at(new, j, low)
+        new = np.minimum(new, new[label])
+        while (deeper := new[new] < new).any():
+            new[deeper] = new[new[deeper]]
+        if (new == label).all():
+            break
+        label = new
+    return label
+
+
 def ascii_lower(c: Column) -> Column:
     """A-Z lower-cased and nothing else. lower() is much faster than translate() and does the same where all characters are ASCII."""
     return F.when(F.octet_length(c) == F.char_length(c), F.lower(c)).otherwise(F.translate(c, UPPER, LOWER))

@@ -9,7 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from cytofold.llm.common import components, durable
+from cytofold.llm.common import components, durable, roots
 
 FOUND = "node long, other long, links long"
 
@@ -65,23 +65,6 @@ class Quantised:
         return i[sure], j[sure]
 
 
-def _roots(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """The least member of each of n nodes' component."""
-    label = np.arange(n)
-    while len(i):
-        low = np.minimum(label[i], label[j])
-        new = label.copy()
-        np.minimum.at(new, i, low)
-        np.minimum.at(new, j, low)
-        new = np.minimum(new, new[label])
-        while (deeper := new[new] < new).any():
-            new[deeper] = new[new[deeper]]
-        if (new == label).all():
-            break
-        label = new
-    return label
-
-
 def _tile(g: pd.DataFrame, dims: int, threshold: float, side: int = 2048) -> list[tuple]:
     """Links of the vectors of some buckets. A pair that an earlier table has together is left to that table's count, but for a bucket in parts: rows of `part` meet only as their tile says."""
     g = g.sort_values(["key", "part", "node"], ignore_index=True)
@@ -114,7 +97,7 @@ def _tile(g: pd.DataFrame, dims: int, threshold: float, side: int = 2048) -> lis
     if not len(i):
         return []
     links = np.bincount(i, weights=copies[j], minlength=n) + np.bincount(j, weights=copies[i], minlength=n)
-    root = _roots(n, i, j)
+    root = roots(n, i, j)
     some = np.nonzero(links)[0]
     out = list(zip(node[some].tolist(), [None] * len(some), links[some].astype(int).tolist(), strict=True))
     far = some[root[some] != some]

@@ -3,17 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
-from hashlib import blake2b
-from itertools import chain
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from cytofold.llm.common import components, drop_durable, durable
+from cytofold.llm.common import components, drop_durable, durable, few, roots
 
 _GOLD, _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
+_SPACES = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -24,53 +22,82 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-class Shingler:
-    """The distinct shingles of texts, as sorted 64-bit hashes. Words are what ASCII white space parts, A-Z lower-cased; their hashes are remembered up to `room` of them."""
-
-    def __init__(self, size: int = 5, room: int = 800_000):
-        self.size, self.room, self.known = size, room, {}
-
-    def __call__(self, texts: list[str]) -> list[np.ndarray]:
-        """One sorted array per text. Fewer words than a shingle has: the whole sequence as one. No words: none."""
-        known = self.known
-        split = [t.encode().lower().split() for t in texts]
-        new: set[bytes] = set()
-        for ws in split:
-            new.update(ws)
-        new = {w for w in new if w not in known}
-        if len(known) + len(new) > self.room:
-            known.clear()
-            new = {w for ws in split for w in ws}
-        known.update((w, int.from_bytes(blake2b(w, digest_size=8).digest(), "little")) for w in new)
-        sizes = np.array([len(ws) for ws in split], dtype=np.int64)
-        flat = np.fromiter(map(known.__getitem__, chain.from_iterable(split)), dtype=np.uint64, count=int(sizes.sum()))
-        k, n = self.size, len(flat)
-        run = np.zeros(n, dtype=np.uint64)
-        for j in range(k if n >= k else 0):
-            run[: n - k + 1] = mix(run[: n - k + 1] + flat[j : n - k + 1 + j])
-        out, at = [], 0
-        for m in sizes.tolist():
-            if m >= k:
-                out.append(np.unique(run[at : at + m - k + 1]))
-            elif m:
-                h = np.full(1, m, dtype=np.uint64)
-                for x in flat[at : at + m]:
-                    h = mix(h + x)
-                out.append(h)
-            else:
-                out.append(flat[:0])
-            at += m
-        return out
+#: What a byte of a word and its place in the word weigh in the word's hash.
+_LETTER = mix(np.arange(256, dtype=np.uint64) + np.uint64(1 << 40))
+_PLACE = mix(np.arange(1 << 10, dtype=np.uint64)) | np.uint64(1)
+
+
+def _word_hashes(text: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """(start, hash) of each run of bytes that aren't white space: the sum of its bytes' numbers, each times that of its place, mixed with its length."""
+    b = np.frombuffer(text, dtype=np.uint8)
+    edge = np.diff(np.concatenate([[True], _SPACES[b], [True]]).astype(np.int8))
+    start, end = np.nonzero(edge == -1)[0], np.nonzero(edge == 1)[0]
+    size = end - start
+    if not len(start):
+        return start, np.zeros(0, dtype=np.uint64)
+    h = np.empty(len(start), dtype=np.uint64)
+    for at in range(0, len(start), 1 << 17):
+        s, n = start[at : at + (1 << 17)], size[at : at + (1 << 17)]
+        own = np.cumsum(n) - n
+        place = np.arange(int(n.sum())) - np.repeat(own, n)
+        weight = _PLACE if n.max() <= len(_PLACE) else mix(np.arange(int(n.max()), dtype=np.uint64)) | np.uint64(1)
+        h[at : at + (1 << 17)] = np.add.reduceat(_LETTER[b[place + np.repeat(s, n)]] * weight[place], own)
+    return start, mix(h ^ size.astype(np.uint64))
+
+
+def shingles(texts: list[str], size: int = 5) -> list[np.ndarray]:
+    """The distinct shingles of each text, as sorted 64-bit hashes. Words are what ASCII white space parts, A-Z lower-cased. Fewer words than a shingle has: the whole sequence as one. No words: none."""
+    parts = [t.encode().lower() for t in texts]
+    first = np.cumsum([0, *(len(p) + 1 for p in parts)])
+    start, flat = _word_hashes(b"\n".join(parts))
+    edges = np.searchsorted(start, first)
+    n = len(flat)
+    run = np.zeros(n, dtype=np.uint64)
+    for j in range(size if n >= size else 0):
+        run[: n - size + 1] = mix(run[: n - size + 1] + flat[j : n - size + 1 + j])
+    out = []
+    for lo, hi in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+        if hi - lo >= size:
+            out.append(np.unique(run[lo : hi - size + 1]))
+        elif hi > lo:
+            h = np.full(1, hi - lo, dtype=np.uint64)
+            for x in flat[lo:hi]:
+                h = mix(h + x)
+            out.append(h)
+        else:
+            out.append(flat[:0])
+    return out
 
 
-@lru_cache(maxsize=2)
-def shingler(size: int) -> Shingler:
-    """One to a Python worker."""
-    return Shingler(size)
+def batches_of(sizes: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    """Ranges of rows whose sizes sum to `most` at most, or of one row."""
+    ends, at = np.cumsum(sizes), 0
+    while at < len(ends):
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, side="right")))
+        yield at, to
+        at = to
+
+
+def _offers(h: np.ndarray, doc: np.ndarray, best: np.ndarray, m: int) -> None:
+    """Lowers best (sets x slots, flat) by what the elements h of the sets doc offer."""
+    place = np.tile(np.arange(m, dtype=np.uint16), (len(h), 1))
+    row, n = np.arange(len(h)), len(best) // m
+    for j in range(m):
+        live = best.reshape(n, m).max(axis=1) > j
+        some = live[doc]
+        if not some.any():
+            break
+        if not some.all():
+            h, doc, row = h[some], doc[some], row[some]
+        r = mix(h ^ mix(np.full(1, j + 1, dtype=np.uint64)))
+        k = j + ((r & np.uint64(0xFFFFFF)) * np.uint64(m - j) >> np.uint64(24)).astype(np.int64)
+        slot = place[row, k]
+        place[row, k] = place[row, j]
+        np.minimum.at(best, doc * m + slot, j + (r >> np.uint64(24)).astype(np.float64) * 2.0**-40)
 
 
 def signatures(sets: list[np.ndarray], m: int, block: int = 100_000) -> np.ndarray:
-    """The SuperMinHash signature of each set (infinite for empty ones), many sets at a time.
+    """The SuperMinHash signature of each set (infinite for empty ones), many sets at a time, and a set over `block` elements block by block.
 
     An element has a random permutation of the m slots and a random fraction for each of its places; place j offers
     the slot j + fraction, and a slot keeps its least offer. The permutation is drawn place by place (Fisher-Yates), for all elements of
@@ -80,30 +107,16 @@ def signatures(sets: list[np.ndarray], m: int, block: int = 100_000) -> np.ndarr
     sizes = np.array([len(s) for s in sets], dtype=np.int64)
     order = np.argsort(sizes, kind="stable")
     order = order[sizes[order] > 0]
-    ends, at = np.cumsum(sizes[order]), 0
-    while at < len(order):
-        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + block)))
+    for at, to in batches_of(sizes[order], block):
         own = order[at:to]
-        h = np.concatenate([sets[i] for i in own])
-        doc = np.repeat(np.arange(len(own)), sizes[own])
         best = np.full(len(own) * m, np.inf)
-        place = np.tile(np.arange(m, dtype=np.uint16), (len(h), 1))
-        row = np.arange(len(h))
-        for j in range(m):
-            if j:
-                live = best.reshape(len(own), m).max(axis=1) > j
-                if not live.any():
-                    break
-                some = live[doc]
-                if not some.all():
-                    h, doc, row = h[some], doc[some], row[some]
-            r = mix(h ^ mix(np.full(1, j + 1, dtype=np.uint64)))
-            k = j + ((r & np.uint64(0xFFFFFF)) * np.uint64(m - j) >> np.uint64(24)).astype(np.int64)
-            slot = place[row, k]
-            place[row, k] = place[row, j]
-            np.minimum.at(best, doc * m + slot, j + (r >> np.uint64(24)).astype(np.float64) * 2.0**-40)
+        if len(own) == 1:
+            for s in range(0, int(sizes[own[0]]), block):
+                h = sets[own[0]][s : s + block]
+                _offers(h, np.zeros(len(h), dtype=np.int64), best, m)
+        else:
+            _offers(np.concatenate([sets[i] for i in own]), np.repeat(np.arange(len(own)), sizes[own]), best, m)
         out[own] = best.reshape(len(own), m)
-        at = to
     return out
 
 
@@ -128,25 +141,23 @@ def sums(sets: list[np.ndarray]) -> dict:
     }
 
 
+def _some(batches: Iterator[pd.DataFrame], size: int, most: int = 4 << 20) -> Iterator[tuple[pd.DataFrame, list[np.ndarray]]]:
+    """Rows, some megabytes of text at a time, and their sets."""
+    for b in batches:
+        b = b.assign(text=b["text"].fillna(""))
+        for at, to in batches_of(b["text"].str.len().to_numpy(dtype=np.int64), most):
+            part = b.iloc[at:to]
+            yield part, shingles(part["text"].tolist(), size)
+
+
 def sign(docs: DataFrame, size: int, m: int, rows: int) -> DataFrame:
     """doc_id, set size, two sums over the set's hashes that tell equal sets, the signature (a byte a slot, which can only make slots agree that don't) and the bands."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        make = shingler(size)
-        for b in batches:
-            texts = b["text"].fillna("").tolist()
-            for at in range(0, len(texts), 1000):
-                sets = make(texts[at : at + 1000])
-                sig = signatures(sets, m)
-                low = mix(sig.view(np.uint64)).astype(np.uint8)
-                yield pd.DataFrame(
-                    {
-                        "doc_id": b["doc_id"].iloc[at : at + 1000].to_numpy(),
-                        **sums(sets),
-                        "sig": [x.tobytes() for x in low],
-                        "bands": list(bands(sig, rows)),
-                    }
-                )
+        for part, sets in _some(batches, size):
+            sig = signatures(sets, m)
+            low = mix(sig.view(np.uint64)).astype(np.uint8)
+            yield pd.DataFrame({"doc_id": part["doc_id"].to_numpy(), **sums(sets), "sig": [x.tobytes() for x in low], "bands": list(bands(sig, rows))})
 
     return docs.mapInPandas(run, SIGNED)
 
@@ -155,11 +166,8 @@ def set_texts(docs: DataFrame, size: int) -> DataFrame:
     """doc_id, n, s1, s2 and text of each row."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        make = shingler(size)
-        for b in batches:
-            for at in range(0, len(b), 1000):
-                part = b.iloc[at : at + 1000]
-                yield pd.DataFrame({"doc_id": part["doc_id"].to_numpy(), **sums(make(part["text"].fillna("").tolist())), "text": part["text"].to_numpy()})
+        for part, sets in _some(batches, size):
+            yield pd.DataFrame({"doc_id": part["doc_id"].to_numpy(), **sums(sets), "text": part["text"].to_numpy()})
 
     return docs.mapInPandas(run, "doc_id long, n long, s1 long, s2 long, text string")
 
@@ -176,90 +184,194 @@ def own_nodes(nodes: DataFrame, ids: DataFrame, several: DataFrame) -> DataFrame
     raise RuntimeError("own_nodes: no free ids")
 
 
-def verify(pairs: DataFrame, docs: DataFrame, size: int, percent: int, group: int = 400) -> DataFrame:
-    """(a, b, linked, far) of pairs: whether 100 * intersection >= percent * union, counted on the whole sets, and the Jaccard distance. docs holds the texts (node, text), all texts of a node being of one set.
+def _forest(node: np.ndarray, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Edges from each node to the least one of its component."""
+    root = roots(len(node), i, j)
+    far = np.nonzero(root != np.arange(len(node)))[0]
+    return node[root[far]], node[far]
 
-    The texts of b are dealt by a and, where a has many partners, by parts of them, to each of which a's text goes too. So a task gets about `group` texts, whatever
-    the size of a's group.
-    """
-    many = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / group).alias("parts"))
-    dealt = pairs.join(many, "a").select("a", "b", F.pmod(F.xxhash64("b"), "parts").alias("part"))
-    firsts = many.select("a", F.col("a").alias("node"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"))
-    wanted = dealt.select("a", F.col("b").alias("node"), "part").unionByName(firsts)
-    total = wanted.count()
-    deal = F.pmod(F.xxhash64("a", "part"), F.lit(max(1, -(-total // group))))
-    texts = wanted.join(docs, "node").withColumn("deal", deal)
-
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        make, found = shingler(size), []
-        for (a, _), x in g.groupby(["a", "part"], sort=False):
-            nodes, texts = x["node"].tolist(), x["text"].tolist()
-            mine = make([t for n, t in zip(nodes, texts, strict=True) if n == a])
-            other = [n for n in nodes if n != a]
-            for at in range(0, len(other), 200):
-                for n, s in zip(other[at : at + 200], make([t for q, t in zip(nodes, texts, strict=True) if q != a][at : at + 200]), strict=True):
-                    for p in mine:
-                        both = len(np.intersect1d(p, s, assume_unique=True))
-                        union = len(p) + len(s) - both
-                        found.append((a, n, bool(len(s)) and 100 * both >= percent * union, 1 - both / max(1, union)))
-        return pd.DataFrame(found, columns=["a", "b", "linked", "far"]).astype({"a": "int64", "b": "int64", "linked": bool, "far": float})
-
-    return texts.groupBy("deal").applyInPandas(run, "a long, b long, linked boolean, far double").groupBy("a", "b").agg(F.max("linked").alias("linked"), F.min("far").alias("far"))
-
-
-def _across(g: pd.DataFrame, least: int, percent: int, side: int = 512) -> pd.DataFrame:
-    """Pairs of buckets' nodes (or of two parts of one bucket) of unlike components, of sizes that allow a link, whose signatures agree in `least` slots or more.
-
-    Slots are a byte each, compared a slot at a time for a tile of pairs; that can only count too many.
-    """
+
+def _like(g: pd.DataFrame, least: int, percent: int, side: int = 512, narrow: int = 8) -> pd.DataFrame:
+    """A forest (a, b) over nodes of the same bucket whose sizes allow a link and whose signatures agree in `least` slots or more. Pairs of small buckets are compared all together, those of larger ones tile by tile."""
     g = g.sort_values(["key", "node"], ignore_index=True)
     sig = np.frombuffer(b"".join(g["sig"]), dtype=np.uint8).reshape(len(g), -1)
     low = np.ascontiguousarray(sig.T)
-    key, c, node, n = (g[k].to_numpy() for k in ("key", "component", "node", "n"))
+    key, n = g["key"].to_numpy(), g["n"].to_numpy()
+    node, own = np.unique(g["node"].to_numpy(), return_inverse=True)
     edge = np.nonzero(np.append(True, key[1:] != key[:-1]))[0]
-    left, right = [], []
-    for lo, hi in zip(edge.tolist(), np.append(edge[1:], len(g)).tolist(), strict=True):
-        for x in range(lo, hi, side):
-            for y in range(x, hi, side):
-                p, q = slice(x, min(x + side, hi)), slice(y, min(y + side, hi))
-                small, large = np.minimum(n[p][:, None], n[q][None, :]), np.maximum(n[p][:, None], n[q][None, :])
-                open_ = (c[p][:, None] != c[q][None, :]) & (100 * small >= percent * large) & (node[p][:, None] < node[q][None, :])
-                if not open_.any():
-                    continue
-                if open_.mean() < 0.05:
-                    i, j = np.nonzero(open_)
-                else:
-                    same = np.zeros(open_.shape, dtype=np.uint16)
-                    for slot in low:
-                        same += slot[p][:, None] == slot[q][None, :]
-                    i, j = np.nonzero(open_ & (same >= least))
-                i, j = i + x, j + y
-                for s in range(0, len(i), 1 << 16):
-                    u, v = i[s : s + (1 << 16)], j[s : s + (1 << 16)]
-                    fine = (sig[u] == sig[v]).sum(axis=1) >= least
-                    left.append(node[u[fine]])
-                    right.append(node[v[fine]])
-    none = np.zeros(0, dtype=np.int64)
-    return pd.DataFrame({"a": np.concatenate([none, *left]), "b": np.concatenate([none, *right])}).drop_duplicates()
-
-
-def minhash_groups(docs: DataFrame, size: int = 5, percent: int = 75, n_bands: int = 36, rows: int = 4, part: int = 1000) -> DataFrame:
+    count = np.diff(np.append(edge, len(g)))
+    fits = lambda i, j: 100 * np.minimum(n[i], n[j]) >= percent * np.maximum(n[i], n[j])
+    left, right = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
+    wide = np.repeat(count > narrow, count)
+    for d in range(1, narrow):
+        i = np.nonzero((key[d:] == key[:-d]) & ~wide[d:])[0]
+        i = i[fits(i, i + d)]
+        for s in range(0, len(i), 1 << 16):
+            x = i[s : s + (1 << 16)]
+            x = x[(sig[x] == sig[x + d]).sum(axis=1) >= least]
+            left.append(own[x])
+            right.append(own[x + d])
+    for lo, k in zip(edge[count > narrow].tolist(), count[count > narrow].tolist(), strict=True):
+        ii, jj = [], []
+        for x in range(lo, lo + k, side):
+            for y in range(x, lo + k, side):
+                p, q = np.arange(x, min(x + side, lo + k)), np.arange(y, min(y + side, lo + k))
+                same = np.zeros((len(p), len(q)), dtype=np.uint16)
+                for slot in low:
+                    same += slot[p][:, None] == slot[q][None, :]
+                i, j = np.nonzero((same >= least) & fits(p[:, None], q[None, :]))
+                ii.append(i + x - lo)
+                jj.append(j + y - lo)
+        root = roots(k, np.concatenate(ii), np.concatenate(jj))
+        far = np.nonzero(root != np.arange(k))[0]
+        left.append(own[lo + root[far]])
+        right.append(own[lo + far])
+    a, b = _forest(node, np.concatenate(left), np.concatenate(right))
+    return pd.DataFrame({"a": a, "b": b})
+
+
+def _common(x: list[np.ndarray], y: list[np.ndarray], block: int = 4096) -> np.ndarray:
+    """Sizes of the intersections of two lists of sets, as products of 0-1 matrices over elements that both lists hold, some columns at a time. Counts below 2^24 are exact in float32, those above go on in float64."""
+    out = np.zeros((len(x), len(y)), dtype=np.float64)
+    both = np.intersect1d(np.unique(np.concatenate(x)), np.unique(np.concatenate(y)), assume_unique=True)
+    if not len(both):
+        return out
+
+    def cells(sets):
+        flat, row = np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+        at = np.searchsorted(both, flat)
+        at[at == len(both)] = 0
+        held = both[at] == flat
+        order = np.argsort(at[held], kind="stable")
+        return row[held][order], at[held][order]
+
+    (rx, cx), (ry, cy) = cells(x), cells(y)
+    for s in range(0, len(both), block):
+        m = []
+        for r, c, k in ((rx, cx, len(x)), (ry, cy, len(y))):
+            lo, hi = np.searchsorted(c, (s, s + block))
+            dense = np.zeros((k, min(block, len(both) - s)), dtype=np.float32)
+            dense[r[lo:hi], c[lo:hi] - s] = 1
+            m.append(dense)
+        out += m[0] @ m[1].T
+    return out
+
+
+def linked_sets(sets: list[np.ndarray], percent: int, some: np.ndarray | None = None, side: int = 1024) -> tuple[np.ndarray, np.ndarray]:
+    """(i, j) that join the components of the sets under links: pairs with 100 * intersection >= percent * union.
+
+    First the set that shares most with the others is held against all; those that it doesn't reach are then held against all. With `some`, only
+    pairs of which one is in `some` count.
+    """
+    n = len(sets)
+    size = np.array([len(s) for s in sets], dtype=np.int64)
+
+    def test(p: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        got = _common([sets[k] for k in p], [sets[k] for k in q])
+        i, j = np.nonzero(100 * got >= percent * (size[p][:, None] + size[q][None, :] - got))
+        return p[i], q[j]
+
+    every = np.arange(n)
+    ii, jj = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
+    if some is None:
+        some = every
+        if n > 8:
+            flat = np.concatenate(sets)
+            _, at, count = np.unique(flat, return_inverse=True, return_counts=True)
+            held = np.add.reduceat(count[at].astype(np.float64), np.cumsum(size) - size) / size
+            i, j = test(np.array([held.argmax()]), every)
+            ii.append(i)
+            jj.append(j)
+            some = np.setdiff1d(every, j)
+    for s in range(0, len(some), side):
+        for t in range(0, n, side):
+            i, j = test(some[s : s + side], every[t : t + side])
+            ii.append(i)
+            jj.append(j)
+    root = roots(n, np.concatenate(ii), np.concatenate(jj))
+    far = np.nonzero(root != every)[0]
+    return root[far], far
+
+
+def _arrays(blobs) -> list[np.ndarray]:
+    return [np.frombuffer(x, dtype="<u8") for x in blobs]
+
+
+LINK = "a long, b long"
+
+
+def verified(held: DataFrame, percent: int, most_nodes: int, most_shingles: int) -> DataFrame:
+    """Links (a, b) that join the components of each family. held: (family, node, n, shared, set), shared telling how much of its buckets a node shares.
+
+    A family of bounded size is one task's, and small ones share a task. Of a larger one, the node that shares most is held against all the others, dealt out in parts; those that it
+    doesn't reach, in parts, meet every part of the family, each two in a task of their own, so that no task grows with a family, and a set goes once to a task however many pairs it is in there.
+    """
+    sizes = held.groupBy("family").agg(F.count(F.lit(1)).alias("nodes"), F.sum("n").alias("shingles"), F.max_by("node", F.struct("shared", -F.col("node"))).alias("pivot"))
+    parts = F.ceil(F.greatest(F.col("nodes") / (most_nodes / 2), F.col("shingles") / (most_shingles / 2))).cast("int")
+    sizes = durable(sizes.withColumn("parts", F.when((F.col("nodes") > most_nodes) | ((F.col("shingles") > most_shingles) & (F.col("nodes") > 2)), parts).otherwise(F.lit(1))), "minhash-families")
+    total, wide = sizes.agg(F.sum("shingles"), F.max("parts")).first()
+    tasks = max(1, -(-(total or 0) // (most_shingles // 4)))
+
+    def whole(g: pd.DataFrame) -> pd.DataFrame:
+        a, b = [], []
+        for _, x in g.sort_values(["family", "node"]).groupby("family", sort=False):
+            node = x["node"].to_numpy()
+            i, j = linked_sets(_arrays(x["set"]), percent)
+            a.append(node[i])
+            b.append(node[j])
+        return pd.DataFrame({"a": np.concatenate(a), "b": np.concatenate(b)})
+
+    small = held.join(sizes.where("parts = 1").select("family"), "family")
+    links = small.select("family", "node", "set", F.pmod(F.xxhash64("family"), F.lit(tasks)).alias("deal")).groupBy("deal").applyInPandas(whole, LINK)
+    if (wide or 1) == 1:
+        return durable(links, "minhash-links")
+    large = held.join(sizes.where("parts > 1").select("family", "parts", "pivot"), "family").withColumn("part", F.pmod(F.xxhash64("node", F.lit(7)), "parts").cast("int"))
+
+    def meet(g: pd.DataFrame) -> pd.DataFrame:
+        g = g.sort_values("node")
+        node = g["node"].to_numpy()
+        i, j = linked_sets(_arrays(g["set"]), percent, np.nonzero(g["first"].to_numpy())[0])
+        return pd.DataFrame({"a": node[i], "b": node[j]})
+
+    every = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
+    pivot = large.where("node = pivot").select("family", every.alias("part"), "node", "set", F.lit(True).alias("first"))
+    others = large.where("node <> pivot").select("family", "part", "node", "set", F.lit(False).alias("first"))
+    near = durable(pivot.unionByName(others).groupBy("family", "part").applyInPandas(meet, LINK), "minhash-near")
+    # in each part the pivot's component is what it reaches, and the edges of its forest are the only ones
+    reached = near.select(F.col("a").alias("node")).unionByName(near.select(F.col("b").alias("node"))).distinct()
+    out = durable(large.where("node <> pivot").join(reached, "node", "left_anti"), "minhash-apart")
+    apart = out.groupBy("family").agg(F.ceil(F.greatest(F.count(F.lit(1)) / (most_nodes / 2), F.sum("n") / (most_shingles / 2))).cast("int").alias("groups"))
+    group = F.pmod(F.xxhash64("node", F.lit(9)), F.col("groups")).cast("int")
+    left = out.join(apart, "family").select("family", group.alias("group"), every.alias("part"), "node", "set", F.lit(True).alias("first"))
+    right = large.join(apart, "family").select("family", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("group"), "part", "node", "set", F.lit(False).alias("first"))
+    # a node that is on both sides of a task goes there once
+    right = right.join(out.join(apart, "family").select("node", group.alias("group")), ["node", "group"], "left_anti").select("family", "group", "part", "node", "set", "first")
+    far = left.unionByName(right).groupBy("family", "group", "part").applyInPandas(meet, LINK)
+    found = durable(links.unionByName(near).unionByName(far), "minhash-links")
+    for x in (near, out):
+        drop_durable(x)
+    return found
+
+
+def minhash_groups(docs: DataFrame, size: int = 5, percent: int = 75, n_bands: int = 36, rows: int = 4, part: int = 1000, most_nodes: int = 4096, most_shingles: int = 4 << 20) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for each row of docs.
 
-    Documents of equal sets are one node, its least id. Nodes that share a band are in a bucket, and each is verified on whole texts against
-    the bucket's least node. Verified links make components. Where a bucket still holds nodes of several components, all its pairs across components whose
-    signatures agree as far as linked ones do (five standard errors allowed) are verified too, so that no link depends on the
-    choice of a pivot. A pair right at the threshold misses all bands with probability (1 - 0.75^rows)^n_bands, about 1e-6.
+    Documents of equal sets are one node, its least id. Nodes that share a band are in a bucket; those of a bucket whose sizes and signatures
+    agree as far as linked ones' do (five standard errors allowed) are of one family, as are all of a bucket of over `part` nodes. So linked nodes that share a
+    band are in one family, and links are counted on whole sets inside families (see verified()). Only sets of families are
+    shipped, once for each task that compares them. A pair right at the threshold misses all bands with probability (1 - 0.75^rows)^n_bands, about 1e-6.
 
     Null or empty text, or white space alone: an empty set, linked with nothing. Null ids: their rows link with nothing and are kept.
-    Repeated rows of an id are one document, which holds each of their texts: each set of it is a node of its own, so that distances are those of sets, and the nodes of an id are one component. No rows: no rows. Other columns are left out.
+    Repeated rows of an id are one document, which holds each of their texts: each set of it is a node of its own, and the nodes of an id are one component.
+    A set is held whole by the tasks that compare it, eight bytes a shingle. No rows: no rows. Other columns, whatever their names, are left out.
     """
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     m = n_bands * rows
     signed = durable(sign(own, size, m, rows), "minhash-signed")
     real = signed.where("n > 0 and doc_id is not null")
-    nodes = real.groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("node"))
-    nodes = durable(real.join(nodes, ["n", "s1", "s2"]).where("doc_id = node").dropDuplicates(["n", "s1", "s2"]).select("n", "s1", "s2", "doc_id", "node", "sig", "bands"), "minhash-nodes")
+    least = real.groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("node"))
+    nodes = durable(real.join(least, ["n", "s1", "s2"]).where("doc_id = node").dropDuplicates(["n", "s1", "s2"]).select("n", "s1", "s2", "doc_id", "node", "sig", "bands"), "minhash-nodes")
+    spent = [signed, nodes]
     known, merged = own.where("doc_id is not null").select(F.col("doc_id").alias("node"), "text"), None
     ends = [f(c).alias(f"{f.__name__}_{c}") for f in (F.min, F.max) for c in ("n", "s1", "s2")]
     several = durable(signed.where("doc_id is not null").groupBy("doc_id").agg(*ends).where("min_n < max_n or min_s1 < max_s1 or min_s2 < max_s2").select("doc_id"), "minhash-several")
@@ -268,45 +380,45 @@ def minhash_groups(docs: DataFrame, size: int = 5, percent: int = 75, n_bands: i
         of_sets = set_texts(own.join(several, "doc_id", "left_semi"), size).join(nodes.select("n", "s1", "s2", "doc_id", "node"), ["n", "s1", "s2", "doc_id"])
         known = durable(own.where("doc_id is not null").join(several, "doc_id", "left_anti").select(F.col("doc_id").alias("node"), "text").unionByName(of_sets.select("node", "text")), "minhash-texts")
         held = real.join(several, "doc_id", "left_semi").select("doc_id", "n", "s1", "s2").join(nodes.select("n", "s1", "s2", "node"), ["n", "s1", "s2"]).select("doc_id", "node").distinct()
-        least = held.groupBy("doc_id").agg(F.min("node").alias("a"))
-        merged = durable(held.join(least, "doc_id").select("doc_id", "a", F.col("node").alias("b")), "minhash-merged")
+        first = held.groupBy("doc_id").agg(F.min("node").alias("a"))
+        merged = durable(held.join(first, "doc_id").select("doc_id", "a", F.col("node").alias("b")), "minhash-merged")
+        spent += [nodes, known]
     rows_ = nodes.select("node", F.explode("bands").alias("key"))
-    pivots = rows_.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("z")).where("a < z").select("key", "a")
-    shared = durable(rows_.join(pivots, "key"), "minhash-shared")
-    pairs = durable(shared.where("node > a").select("a", F.col("node").alias("b")).distinct(), "minhash-pairs")
-    checked = durable(verify(pairs, known, size, percent), "minhash-checked")
-    links = checked.where("linked").select("a", "b")
+    buckets = rows_.groupBy("key").agg(F.count(F.lit(1)).alias("count"), F.min("node").alias("low")).where("count > 1")
+    shared = durable(rows_.join(buckets, "key"), "minhash-shared")
+    share = percent / 100
+    agree = int(m * share - 5 * (m * share * (1 - share)) ** 0.5)
+    deal = F.pmod(F.xxhash64("key"), F.lit(max(1, -(-shared.count() // 10_000))))
+    close = shared.where(F.col("count") <= part).select("key", "node", deal.alias("deal")).join(nodes.select("node", "n", "sig"), "node")
+    like = close.groupBy("deal").applyInPandas(lambda g: _like(g, agree, percent), LINK)
+    like = like.unionByName(shared.where((F.col("count") > part) & (F.col("node") > F.col("low"))).select(F.col("low").alias("a"), F.col("node").alias("b")))
+    families = durable(components(like, "minhash").join(shared.groupBy("node").agg(F.sum("count").alias("shared")), "node").select("node", F.col("component").alias("family"), "shared"), "minhash-members")
+    texts = known.join(few(families), "node")
+
+    def make(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b, sets in _some(batches, size):
+            yield pd.DataFrame({"family": b["family"].to_numpy(), "node": b["node"].to_numpy(), "n": [len(s) for s in sets], "shared": b["shared"].to_numpy(), "set": [s.tobytes() for s in sets]})
+
+    # of the rows of a node, all are of one set
+    sets = durable(texts.dropDuplicates(["node"]).mapInPandas(make, "family long, node long, n long, shared long, set binary"), "minhash-sets")
+    links = verified(sets, percent, most_nodes, most_shingles)
+    spent += [several, shared, families, sets, links]
     if merged is not None:
         links = links.unionByName(merged.where("a < b").select("a", "b"))
-    first = durable(components(links, "minhash"), "minhash-components")
-    # distances to the pivot bound those between two others, as the Jaccard distance is a metric: nodes whose distances to it differ by more than a link's can't be linked
-    slack = 1 - percent / 100 + 1e-9
-    of = shared.where("node > a").join(checked.select("a", F.col("b").alias("node"), "far"), ["a", "node"]).join(first, "node", "left").select("key", "node", "a", "far", F.coalesce("component", "node").alias("component"))
-    of = of.join(first.select(F.col("node").alias("a"), F.col("component").alias("c")), "a", "left").select("key", "node", "far", "component", (F.col("component") == F.coalesce("c", "a")).alias("near"))
-    mixed = of.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.min(F.when(~F.col("near"), F.col("far"))).alias("first"), F.max(F.when(F.col("near"), F.col("far"))).alias("last"), F.count_if(~F.col("near")).alias("others"), F.count(F.lit(1)).alias("size")).where("lo < hi")
-    left = of.join(mixed.drop("lo", "hi"), "key").where(F.when(F.col("near"), F.col("far") >= F.col("first") - slack).otherwise((F.col("others") > 1) | (F.col("far") <= F.col("last") + slack)))
-    left = left.withColumn("parts", F.ceil(F.col("size") / part).cast("int")).withColumn("p", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
-    left = left.withColumn("q", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("key", "node", "component", F.least("p", "q").alias("p"), F.greatest("p", "q").alias("q"))
-    left = left.join(nodes.select("node", "n", "sig"), "node").withColumn("deal", F.when(F.col("q") == 0, F.pmod(F.xxhash64("key"), F.lit(4096))).otherwise(F.xxhash64("key", "p", "q")))
-    share = percent / 100
-    least = int(m * share - 5 * (m * share * (1 - share)) ** 0.5)
-    more = durable(left.groupBy("deal").applyInPandas(lambda g: _across(g, least, percent), "a long, b long").distinct(), "minhash-across")
-    if not more.isEmpty():
-        found = durable(verify(more.join(pairs, ["a", "b"], "left_anti"), known, size, percent).where("linked").select("a", "b"), "minhash-links")
-        first = durable(components(links.unionByName(found), "minhash"), "minhash-components")
+    first = components(links, "minhash")
     groups = nodes.join(first, "node", "left").select("n", "s1", "s2", "doc_id", "node", F.coalesce("component", "node").alias("component"))
     if merged is not None:  # a component's least node may be a hash
         named = groups.groupBy("component").agg(F.min("doc_id").alias("_name"))
         groups = durable(groups.join(named, "component").drop("component").withColumnRenamed("_name", "component"), "minhash-named")
         whole = groups.join(merged.where("a = b").select(F.col("doc_id").alias("_id"), F.col("a").alias("node")), "node").select("_id", F.col("component").alias("_whole"))
-    groups = groups.select("n", "s1", "s2", "component")
-    for x in (shared, pairs, more):
-        drop_durable(x)
-    out = signed.join(groups, ["n", "s1", "s2"], "left")
+    out = signed.join(groups.select("n", "s1", "s2", "component"), ["n", "s1", "s2"], "left")
     if merged is not None:  # rows without shingles go with their document's others
         out = out.join(whole, F.col("doc_id") == F.col("_id"), "left").withColumn("component", F.coalesce("component", "_whole"))
     out = out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"))
-    return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    out = durable(out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))), "minhash-groups")
+    for x in spent:
+        drop_durable(x)
+    return out
 
 
 def digest(spark: SparkSession, docs: DataFrame) -> DataFrame:

@@ -3,9 +3,10 @@
 import numpy as np
 import pytest
 
+from cytofold.llm.common import roots
 from cytofold.llm.decontamination import Index, normal
 from cytofold.llm.embedding_dedup import Quantised, plan
-from cytofold.llm.minhash_dedup import Shingler, mix, signatures
+from cytofold.llm.minhash_dedup import linked_sets, mix, shingles, signatures
 from cytofold.llm.packing import Encoder, cut, fill
 from cytofold.llm.suffix import joined, ordered
 from cytofold.llm.token_counts import UnigramCounter, vocabulary
@@ -65,8 +66,32 @@ def test_signature_is_the_sequential_one():
 
 
 def test_shingle_sets():
-    a, b, c, d = Shingler()(["A b c d e f", "a  B\tc d\ne f", "a b", ""])
-    assert a.tolist() == b.tolist() and (len(a), len(c), len(d)) == (2, 1, 0)
+    a, b, c, d, e = shingles(["A b c d e f", "a  B\tc d\ne f", "a b", "", " \x0b\n"])
+    assert a.tolist() == b.tolist() and (len(a), len(c), len(d), len(e)) == (2, 1, 0, 0)
+    rng = np.random.default_rng(0)
+    texts = [" ".join(rng.choice(["ab", "ba", "Ab\u00a0", "a" * 3000, "a" * 3001, "\u3000", ""], n)) for n in rng.integers(0, 60, 200)]
+    words = [t.encode().lower().split() for t in texts]
+    want = [{tuple(w[k : k + 5]) for k in range(len(w) - 4)} if len(w) > 4 else {tuple(w)} - {()} for w in words]
+    got = shingles(texts)
+    assert [len(x) for x in got] == [len(x) for x in want]
+    assert all(len(np.intersect1d(got[i], got[j])) == len(want[i] & want[j]) for i in range(0, 200, 7) for j in range(200))
+
+
+def test_a_large_set_is_signed_block_by_block():
+    h = np.random.default_rng(0).integers(1 << 62, size=3000, dtype=np.uint64)
+    assert (signatures([h, h[:5]], 64) == signatures([h, h[:5]], 64, block=700)).all()
+
+
+def test_sets_are_joined_as_all_pairs_say():
+    rng = np.random.default_rng(0)
+    base = rng.integers(1 << 62, size=60, dtype=np.uint64)
+    sets = [np.unique(np.concatenate([rng.permutation(base)[: 60 - k], rng.integers(1 << 62, size=k, dtype=np.uint64)])) for k in rng.integers(0, 14, 60)]
+    sets += [base[:40], base[:30], np.sort(base)[:45]]  # 45 of 60: right at the threshold
+    pairs = [(i, j) for i in range(len(sets)) for j in range(i) if 100 * (k := len(np.intersect1d(sets[i], sets[j]))) >= 75 * (len(sets[i]) + len(sets[j]) - k)]
+    want = roots(len(sets), *np.array(pairs).T)
+    for side in (7, 1024):
+        assert (roots(len(sets), *linked_sets([np.sort(s) for s in sets], 75, side=side)) == want).all()
+    assert 1 < len(set(want.tolist())) < len(sets)
 
 
 @pytest.mark.parametrize("budget", [64, 1 << 20])

@@ -8,14 +8,11 @@ from hashlib import blake2b
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.window import Window
 
+from cytofold.llm.common import drop_durable, durable
 from cytofold.llm.sampling import labelled
 
-#: Words that tell the categories of a document labelled toxic.
-CATEGORIES = {
-    "insult": ("clown", "idiot", "loser", "moron", "stupid"),
-    "contempt": ("disgusting", "pathetic", "scum", "trash", "worthless"),
-}
 #: ASCII characters that are neither letters nor digits become spaces.
 _SPACED = bytes(x if x >= 128 or chr(x).isalnum() else 32 for x in range(256))
 PREFIXES = (5, 6, 7, 8)
@@ -26,11 +23,11 @@ def words(text: str) -> set[bytes]:
 
 
 def _hash(feature: bytes) -> int:
-    return int.from_bytes(blake2b(feature, digest_size=8).digest(), "little")
+    return int.from_bytes(blake2b(feature, digest_size=8).digest(), "little", signed=True)
 
 
 def shown(word: bytes) -> list[int]:
-    """A word's features, hashed: itself, and its beginnings of several lengths, which an inflected word shares with others."""
+    """A word's features, hashed to 64 bits: itself, and its beginnings of several lengths, which an inflected word shares with others."""
     return [_hash(word), *(_hash(b"^" + word[:n]) for n in PREFIXES if len(word) >= n)]
 
 
@@ -47,25 +44,80 @@ class Features:
                 self.known.clear()
                 new = ws
             self.known.update((w, shown(w)) for w in new)
-        return np.unique(np.array([f for w in ws for f in self.known[w]], dtype=np.uint64))
+        return np.unique(np.array([f for w in ws for f in self.known[w]], dtype=np.int64))
+
+
+def telling(sample: DataFrame, folds: int, most: int, least: float | None) -> dict[int, list[int]]:
+    """The features that tell the label, for each fold from the documents outside it, and under -1 from all of `sample` (label, fold, mark, fs).
+
+    Those whose signed root of the likelihood ratio, which is near normal for a feature that tells nothing, is `least` or more either way (if none is given, the root of twice the logarithm of their number), the clearest first and `most` at most; of features of the same documents, one. Counts are made by
+    the executors, and only what is chosen reaches the driver.
+    """
+    of = {r["fold"]: (r["n"], r["y"]) for r in sample.groupBy("fold").agg(F.count(F.lit(1)).alias("n"), F.sum("label").alias("y")).collect()}
+    n, y = (sum(v[k] for v in of.values()) for k in (0, 1))
+    parts = [(-1, n, y), *((k, n - of.get(k, (0, 0))[0], y - of.get(k, (0, 0))[1]) for k in range(folds))]
+    told = {k: [] for k, _, _ in parts}
+    pairs = sample.select("label", "fold", "mark", F.explode("fs").alias("f"))
+    sums = {"a": F.col("label"), "n": F.lit(1), "m": F.col("mark")}
+    within = [F.sum(F.when(F.col("fold") == k, v).otherwise(0)).alias(f"{c}_{k}") for k in range(folds) for c, v in sums.items()]
+    counts = durable(pairs.groupBy("f").agg(*[F.sum(v).alias(c) for c, v in sums.items()], *within).where("n >= 5"), "toxicity-counts")
+    if least is None:  # about what the largest of so many normal numbers comes to
+        least = float(np.sqrt(2 * np.log(max(2, counts.count()))))
+    out = [F.struct(F.lit(k).alias("part"), *[(F.col(c) - F.col(f"{c}_{k}") if k >= 0 else F.col(c)).alias(c) for c in sums], F.lit(float(yy)).alias("n1"), F.lit(float(nn - yy)).alias("n0")) for k, nn, yy in parts if 0 < yy < nn]
+    if not out:
+        return told
+    a, b, n1, n0 = F.col("a"), F.col("n") - F.col("a"), F.col("n1"), F.col("n0")
+    share = F.col("n") / (n1 + n0)
+    term = lambda seen, mean: F.when(seen > 0, seen * F.log(seen / mean)).otherwise(0.0)
+    z = F.sqrt(F.greatest(F.lit(0.0), 2 * (term(a, n1 * share) + term(b, n0 * share) + term(n1 - a, n1 * (1 - share)) + term(n0 - b, n0 * (1 - share)))))
+    rows = counts.select("f", F.explode(F.array(*out)).alias("s")).select("f", "s.*").where("n >= 5 and n < n1 + n0").withColumn("z", z).where(F.col("z") >= least)
+    rows = rows.groupBy("part", "a", "n", "m", "z").agg(F.min("f").alias("f"))
+    rows = rows.withColumn("rank", F.row_number().over(Window.partitionBy("part").orderBy(F.desc("z"), "f"))).where(F.col("rank") <= most)
+    for r in sorted(rows.select("part", "rank", "f").collect()):
+        told[r["part"]].append(r["f"])
+    drop_durable(counts)
+    return told
+
+
+def themes(x: np.ndarray, k: int, rounds: int = 20) -> np.ndarray:
+    """The cluster, from 0, of each row of 0s and 1s by spherical k-means; rows of zeros get -1. The first centre is the commonest row's, each further one the row least like those so far."""
+    size = np.sqrt(x.sum(1))
+    own = np.nonzero(size)[0]
+    at = np.full(len(x), -1)
+    if not len(own):
+        return at
+    u = x[own] / size[own][:, None]
+    centres = [u[int((u @ u.mean(0)).argmax())]]
+    while len(centres) < min(k, len(u)):
+        centres.append(u[int((u @ np.array(centres).T).max(1).argmin())])
+    c = np.array(centres)
+    for _ in range(rounds):
+        got = (u @ c.T).argmax(1)
+        new = np.array([u[got == j].sum(0) if (got == j).any() else c[j] for j in range(len(c))])
+        new /= np.maximum(np.linalg.norm(new, axis=1, keepdims=True), 1e-12)
+        if np.allclose(new, c):
+            break
+        c = new
+    at[own] = (u @ c.T).argmax(1)
+    return at
 
 
 class Chain:
     """Linear models, one per category, in a fixed order; each also sees the log-odds of the categories before it.
 
-    While fitting, the earlier log-odds that a link sees are out-of-fold predictions, so that it
+    While fitting, the earlier log-odds that a link sees are out-of-fold predictions, by models whose features too were chosen outside the fold, so that it
     learns how far to trust them on documents that they weren't fitted on.
     """
 
-    def __init__(self, names: Sequence[str], folds: int = 5, penalty: float = 0.3, features: int = 250, least: float = 3.0):
-        self.names, self.folds, self.penalty, self.features, self.least = list(names), folds, penalty, features, least
+    def __init__(self, names: Sequence[str], penalty: float = 0.3):
+        self.names, self.penalty = list(names), penalty
         #: What is remembered of words: those without a feature, and the features of the others.
         self.silent, self.telling = set(), {}
 
     @staticmethod
-    def _fit(x: np.ndarray, y: np.ndarray, penalty: float, start: np.ndarray | None = None, steps: int = 25) -> np.ndarray:
+    def _fit(x: np.ndarray, y: np.ndarray, penalty: float, steps: int = 25) -> np.ndarray:
         """Ridge logistic regression by Newton's method; the last column is the intercept, which is hardly shrunk."""
-        w = np.zeros(x.shape[1]) if start is None else start.copy()
+        w = np.zeros(x.shape[1])
         ridge = np.full(x.shape[1], penalty)
         ridge[-1] = 1e-3
         for _ in range(steps):
@@ -78,49 +130,32 @@ class Chain:
                 break
         return w
 
-    def _choose(self, docs: list[np.ndarray], y: np.ndarray) -> list[int]:
-        """Features whose smoothed log odds ratio against the label is `least` standard errors or more from zero, the clearest first; of features of the same documents, one."""
-        n1, n0 = y.sum() + 1.0, (1 - y).sum() + 1.0
-        flat = np.concatenate(docs)
-        row = np.repeat(np.arange(len(docs)), [len(d) for d in docs])
-        found, at = np.unique(flat, return_inverse=True)
-        a, both = np.bincount(at, weights=y[row]), np.bincount(at)
-        mark = np.bincount(at, weights=np.random.default_rng(0).integers(1 << 30, size=len(docs))[row])
-        b = both - a
-        z = (np.log((a + 0.5) / n1) - np.log((b + 0.5) / n0)) / np.sqrt(1 / (a + 0.5) + 1 / (b + 0.5))
-        good = np.nonzero((both >= 5) & (np.abs(z) >= self.least))[0]
-        good = good[np.lexsort((found[good], -np.abs(z[good])))]
-        _, first = np.unique(np.stack([a[good], b[good], mark[good]]), axis=1, return_index=True)
-        return found[good[np.sort(first)][: self.features]].tolist()
-
-    def fit(self, docs: list[np.ndarray], labels: np.ndarray) -> Chain:
-        """docs: features; labels: a column of 0 and 1 per category. A category without both values predicts its share."""
+    def fit(self, held: np.ndarray, features: list[int], chosen: dict[int, list[int]], labels: np.ndarray, fold: np.ndarray) -> Chain:
+        """held: documents x features, 0 or 1; chosen: the features of each fold's models, and under -1 of the final ones; labels: a column of 0 and 1 per category. A category without both values predicts its share."""
         n, k = labels.shape
-        last = labels[:, -1]
-        self.vocabulary = {f: i for i, f in enumerate(self._choose(docs, last))} if n and 0 < last.sum() < n else {}
-        order = np.array(list(self.vocabulary), dtype=np.uint64)
-        sort = np.argsort(order)
-        x = np.zeros((n, len(order)))
-        for r, d in enumerate(docs if len(order) else ()):
-            p = np.searchsorted(order[sort], d)
-            p[p == len(order)] = 0
-            x[r, sort[p[order[sort][p] == d]]] = 1
-        fold = np.arange(n) % self.folds
+        place = {f: i for i, f in enumerate(features)}
+        self.vocabulary = {f: i for i, f in enumerate(chosen[-1])}
+        columns = {part: [place[f] for f in fs] for part, fs in chosen.items()}
         self.links: list[np.ndarray] = []
+        odds, one = np.zeros((n, 0)), np.ones((n, 1))
         for j in range(k):
-            y, full = labels[:, j], np.hstack([x, np.ones((n, 1))])
+            y = labels[:, j]
             if not n or not 0 < y.sum() < n:
                 share = (y.sum() + 0.5) / (n + 1)
-                w = np.zeros(full.shape[1])
+                w = np.zeros(len(columns[-1]) + j + 1)
                 w[-1] = np.log(share / (1 - share))
-                held = np.full(n, w[-1])
+                out = np.full(n, w[-1])
             else:
-                w, held = self._fit(full, y, self.penalty), np.zeros(n)
-                for f in range(self.folds if j < k - 1 else 0):
-                    at = fold == f
-                    held[at] = full[at] @ (self._fit(full[~at], y[~at], self.penalty, w) if 0 < y[~at].sum() < (~at).sum() else w)
+                w, out = self._fit(np.hstack([held[:, columns[-1]], odds, one]), y, self.penalty), np.zeros(n)
+                for f in np.unique(fold) if j < k - 1 else ():
+                    at, own = fold == f, np.hstack([held[:, columns[f]], odds, one])
+                    if 0 < y[~at].sum() < (~at).sum():
+                        out[at] = own[at] @ self._fit(own[~at], y[~at], self.penalty)
+                    else:
+                        share = (y[~at].sum() + 0.5) / ((~at).sum() + 1)
+                        out[at] = np.log(share / (1 - share))
             self.links.append(w)
-            x = np.hstack([x, np.clip(held, -15, 15)[:, None]])
+            odds = np.hstack([odds, np.clip(out, -15, 15)[:, None]])
         return self
 
     def _matrix(self, docs: list[set[bytes]]) -> np.ndarray:
@@ -151,31 +186,54 @@ class Chain:
         return np.array(out).T.reshape(len(docs), len(self.links))
 
 
-def train(docs: DataFrame, labels: DataFrame, categories: dict[str, tuple[str, ...]] = CATEGORIES, limit: int = 8000, where: Column | None = None) -> Chain:
-    """A chain over `categories`, then `other` and last the label `toxic` itself, fitted on the driver on at most `limit` labelled documents.
+def train(docs: DataFrame, labels: DataFrame, categories: Sequence[str] = (), n_themes: int = 2, limit: int = 8000, folds: int = 5, features: int = 250, least: float | None = None, where: Column | None = None) -> Chain:
+    """A chain over `categories`, which are columns of labels with 0 and 1, and last the label `toxic` itself, fitted on the driver on at most `limit` labelled documents.
 
-    A document is in a category if it is labelled toxic and holds one of the category's words, and in `other` if it is labelled so and holds none.
-    Documents of equal features count once. Executors send 64-bit hashes of a document's distinct features; the driver holds those of the sample only.
+    Without categories they are themes learnt here: the documents labelled toxic fall into n_themes clusters by the telling features that they hold, and theme_1, theme_2, ...
+    say whether a document is a toxic one of that cluster. Documents of equal features and labels count once. What the driver gets is the chosen features,
+    at most `features` for each fold and for the whole, and which of those the sample's documents hold.
     """
+    more = list(categories)
 
     def run(batches):
         of = Features()
         for b in batches:
-            yield pd.DataFrame({"label": b["label"], "doc_id": b["doc_id"], "fs": [of(t).tobytes() for t in b["text"]]})
+            yield pd.DataFrame({**{c: b[c] for c in ("doc_id", "label", *more)}, "fs": [of(t) for t in b["text"]]})
+
+    kinds = ", ".join(f"`{c}` int" for c in ("label", *more))
+    rows = labelled(docs, labels, "toxic", limit, where, more).mapInPandas(run, f"doc_id long, {kinds}, fs array<long>")
+    once = rows.groupBy("fs", "label", *more).agg(F.min("doc_id").alias("doc_id"))
+    sample = durable(once.select("*", F.pmod(F.xxhash64("doc_id"), F.lit(folds)).cast("int").alias("fold"), F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(1 << 30)).alias("mark")), "toxicity-sample")
+    chosen = telling(sample, folds, features, least)
+    every = np.unique(np.array([f for fs in chosen.values() for f in fs], dtype=np.int64))
 
-    rows = labelled(docs, labels, "toxic", limit, where).mapInPandas(run, "label int, doc_id long, fs binary").collect()
-    once = {(bytes(r["fs"]), r["label"]): None for r in sorted(rows, key=lambda r: r["doc_id"])}
-    sets = [np.frombuffer(fs, dtype=np.uint64) for fs, _ in once]
-    toxic = np.array([y for _, y in once], dtype=float)
-    told = [np.array([bool(np.isin(np.array([_hash(t.encode()) for t in terms], dtype=np.uint64), fs).any()) for fs in sets], dtype=float) * toxic for terms in categories.values()]
-    other = toxic * (np.sum(told, axis=0) == 0)
-    return Chain([*categories, "other", "toxic"]).fit(sets, np.column_stack([*told, other, toxic]) if len(sets) else np.zeros((0, len(categories) + 2)))
+    def held(batches):
+        for b in batches:
+            yield pd.DataFrame({**{c: b[c] for c in ("doc_id", "fold", "label", *more)}, "at": [np.nonzero(np.isin(every, np.asarray(fs, dtype=np.int64)))[0].astype(np.int32) for fs in b["fs"]]})
+
+    got = sample.mapInPandas(held, f"doc_id long, fold int, {kinds}, at array<int>").collect()
+    got.sort(key=lambda r: (r["doc_id"], r["label"]))
+    drop_durable(sample)
+    x = np.zeros((len(got), len(every)), dtype=np.uint8)
+    for i, r in enumerate(got):
+        x[i, r["at"]] = 1
+    toxic, fold = np.array([r["label"] for r in got], dtype=float), np.array([r["fold"] for r in got], dtype=int)
+    if more:
+        names, columns = more, [np.array([r[c] or 0 for r in got], dtype=float) for c in more]
+    else:
+        mine, all_ = toxic == 1, np.searchsorted(every, np.array(chosen[-1], dtype=np.int64))
+        share = lambda rows: x[np.ix_(rows, all_)].mean(0) if rows.any() else np.zeros(len(all_))
+        up = all_[share(mine) > share(~mine)]
+        theme = np.full(len(got), -1)
+        theme[mine] = themes(x[np.ix_(mine, up)].astype(float), n_themes)
+        names, columns = [f"theme_{k + 1}" for k in range(n_themes)], [(theme == k).astype(float) for k in range(n_themes)]
+    return Chain([*names, "toxic"]).fit(x, every.tolist(), chosen, np.column_stack([*columns, toxic]) if len(got) else np.zeros((0, len(names) + 1)), fold)
 
 
 def toxicity(docs: DataFrame, chain: Chain, text_col: str = "text", into: str = "_toxicity") -> DataFrame:
     """docs with a struct of the probability of each category, in the chain's order, `toxic` last.
 
-    Whole texts; null and empty ones have no words and get the intercepts. No shuffle. Other columns pass through.
+    Whole texts; null and empty ones have no words and get the intercepts. No shuffle. Other columns pass through; one that is called as `into` is replaced.
     """
     fields = ", ".join(f"{n}: double" for n in chain.names)
     names = chain.names

@@ -5,9 +5,10 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator, Sequence
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 SPACE = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -50,11 +51,50 @@ def drop_durable(df: DataFrame | None) -> None:
         p.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def free(taken: Sequence[str], name: str) -> str:
+    """name, with as many underscores before it as it needs to be none of `taken`, in any case."""
+    low = {c.lower() for c in taken}
+    while name.lower() in low:
+        name = f"_{name}"
+    return name
+
+
+def whole_row(df: DataFrame, *without: str) -> Column:
+    """A struct of df's columns, whatever their names, less those in `without`."""
+    gone = {c.lower() for c in without}
+    kept = [F.col(f"`{c.replace('`', '``')}`") for c in df.columns if c.lower() not in gone]
+    return F.struct(*kept) if kept else F.struct(F.lit(None).cast("string").alias("_"))
+
+
+def named_nodes(nodes: DataFrame, key: Sequence[str], ids: DataFrame, tag: str) -> DataFrame:
+    """nodes (key, id, ...), a row for each key, with a column `node` that tells them apart: the id, but where several rows have one id the least key keeps it and the others get hashes that aren't in ids (id)."""
+    twice = durable(nodes.groupBy("id").count().where("count > 1").select("id"), f"{tag}-several")
+    if twice.isEmpty():
+        return nodes.withColumn("node", F.col("id"))
+    w = Window.partitionBy("id").orderBy(*key)
+    more = nodes.join(twice, "id", "left_semi").select(*key, F.row_number().over(w).alias("_k")).where("_k > 1")
+    for salt in range(100):
+        fresh = durable(more.select(*key, F.xxhash64(*key, F.lit(salt)).alias("_fresh")), f"{tag}-fresh")
+        taken = fresh.select("_fresh").unionByName(ids.select(F.col("id").alias("_fresh")).distinct()).groupBy("_fresh").count().where("count > 1")
+        if taken.isEmpty():
+            return durable(nodes.join(fresh, list(key), "left").withColumn("node", F.coalesce("_fresh", "id")).drop("_fresh"), f"{tag}-nodes")
+    raise RuntimeError("named_nodes: no free ids")
+
+
 def few(df: DataFrame, most: int = 1_000_000) -> DataFrame:
     """df, to be broadcast in a join if it has at most `most` rows, which are to be some ten bytes each; else an ordinary side of one. It is counted, so it should be a durable() table."""
     return F.broadcast(df) if df.count() <= most else df
 
 
+def batches_of(sizes: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    """Ranges of rows whose sizes sum to `most` at most, or of one row."""
+    ends, at = np.cumsum(sizes), 0
+    while at < len(ends):
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, side="right")))
+        yield at, to
+        at = to
+
+
 def roots(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     """The least member of each of n nodes' component under the edges (i, j)."""
     label = np.arange(n)

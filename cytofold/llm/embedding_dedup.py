@@ -9,7 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from cytofold.llm.common import components, durable, roots
+from cytofold.llm.common import components, drop_durable, durable, named_nodes, roots, whole_row
 
 FOUND = "node long, other long, links long"
 
@@ -25,6 +25,13 @@ def plan(n: int, threshold: float, miss: float = 1e-7, room: int = 64) -> tuple[
     return bits, max(1, math.ceil(math.log(miss) / math.log1p(-same)))
 
 
+def _unit(x: np.ndarray) -> np.ndarray:
+    """Rows of length 1, in double precision; each is first divided by its largest component, so that squares neither overflow nor vanish."""
+    x = x.astype(np.float64)
+    x = x / np.abs(x).max(axis=1, keepdims=True)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
 def keys(x: np.ndarray, bits: int, tables: int, seed: int = 11) -> np.ndarray:
     """The bucket of each unit vector in each table."""
     planes = np.random.default_rng([seed, x.shape[1], bits]).standard_normal((x.shape[1], bits * tables))
@@ -65,14 +72,12 @@ class Quantised:
         return i[sure], j[sure]
 
 
-def _tile(g: pd.DataFrame, dims: int, threshold: float, side: int = 2048) -> list[tuple]:
+def _tile(g: pd.DataFrame, dims: int, kind: str, threshold: float, bits: int, tables: int, side: int = 2048) -> list[tuple]:
     """Links of the vectors of some buckets. A pair that an earlier table has together is left to that table's count, but for a bucket in parts: rows of `part` meet only as their tile says."""
     g = g.sort_values(["key", "part", "node"], ignore_index=True)
     n = len(g)
-    x = np.frombuffer(b"".join(g["vector"]), dtype="<f4").reshape(n, dims).astype(np.float64)
-    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    x = _unit(np.frombuffer(b"".join(g["vector"]), dtype=kind).reshape(n, dims))
     q = Quantised(x)
-    own = np.frombuffer(b"".join(g["keys"]), dtype="<i4").reshape(n, -1)
     node, copies = g["node"].to_numpy(), g["copies"].to_numpy()
     part, table = g["part"].to_numpy(), int(g["table"].iloc[0])
     mixed = bool(g["tile_a"].iloc[0] != g["tile_b"].iloc[0])
@@ -86,14 +91,17 @@ def _tile(g: pd.DataFrame, dims: int, threshold: float, side: int = 2048) -> lis
                 if mixed:
                     across = part[i] != part[j]
                     i, j = i[across], j[across]
-                if table and len(i):
-                    first = np.ones(len(i), dtype=bool)
-                    for s in range(0, len(i), 1 << 16):
-                        first[s : s + (1 << 16)] = ~(own[i[s : s + (1 << 16)], :table] == own[j[s : s + (1 << 16)], :table]).any(axis=1)
-                    i, j = i[first], j[first]
                 ii.append(i)
                 jj.append(j)
     i, j = np.concatenate(ii), np.concatenate(jj)
+    if table and len(i):
+        some, at = np.unique(np.concatenate([i, j]), return_inverse=True)
+        own = keys(x[some], bits, tables)[:, :table]
+        i_, j_ = at[: len(i)], at[len(i) :]
+        first = np.ones(len(i), dtype=bool)
+        for s in range(0, len(i), 1 << 16):
+            first[s : s + (1 << 16)] = ~(own[i_[s : s + (1 << 16)]] == own[j_[s : s + (1 << 16)]]).any(axis=1)
+        i, j = i[first], j[first]
     if not len(i):
         return []
     links = np.bincount(i, weights=copies[j], minlength=n) + np.bincount(j, weights=copies[i], minlength=n)
@@ -105,41 +113,40 @@ def _tile(g: pd.DataFrame, dims: int, threshold: float, side: int = 2048) -> lis
 
 
 def linked(vectors: DataFrame, threshold: float = 0.95, id_col: str = "vec_id", vector_col: str = "embedding", tile: int = 2048, group: int = 4096) -> DataFrame:
-    """vectors with n_links, component_id and kept.
+    """vectors with n_links, component_id and kept, in place of columns of these names.
 
     Vectors that are equal are one node with a count. Nodes are dealt to buckets of sign projections, in as many tables as a pair at
     the threshold needs, and buckets are compared tile by tile. A bucket over `tile` rows is dealt out in parts, every two of
     which meet in a task of their own, so no task grows with a bucket; buckets that are small share a task. What a task returns is a
     count per vector and the edges of a forest, never pairs.
 
-    Vectors meet those of their own length only, in buckets and tables planned for as many. Vectors that are null, zero, or that hold null or non-finite components, and rows of null id, link with nothing. Repeated rows of an id
-    and vector count as one. No rows: no rows. Other columns pass through.
+    Components are kept in the precision they come in, double or float, and cosines are in double precision. Vectors meet those of their own length only, in buckets and tables planned for as many. Vectors that are null, zero, or that hold null or non-finite components, and rows of null id, link with nothing. Repeated rows of an id
+    and vector count as one; other rows of one id are vectors of their own. No rows: no rows. Other columns pass through, whatever their names.
     """
     spark = vectors.sparkSession
-    out_cols = vectors.columns
-    own = vectors.withColumn("_v", F.transform(F.col(vector_col), lambda x: x.cast("float")))
-    fine = F.coalesce(F.col(id_col).isNotNull() & F.forall("_v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("_v", lambda x: x != 0), F.lit(False))
-    own = own.withColumn("_h", F.when(fine, F.struct(F.xxhash64("_v").alias("a"), F.hash("_v").alias("b"))))
-    sets = own.where(F.col("_h").isNotNull()).groupBy("_h").agg(F.min(id_col).cast("long").alias("node"), F.count_distinct(id_col).alias("copies"), F.first("_v").alias("_v"))
-    sets = durable(sets, "embedding-nodes")
-    lengths = {r["d"]: r["count"] for r in sets.groupBy(F.size("_v").alias("d")).count().collect()}
+    single = "array<float>" in dict(vectors.dtypes)[vector_col].lower()
+    kind, number = ("<f4", "float") if single else ("<f8", "double")
+    own = vectors.select(whole_row(vectors, "n_links", "component_id", "kept").alias("row"), F.col(id_col).cast("long").alias("id"), F.transform(F.col(vector_col), lambda x: x.cast(number)).alias("v"))
+    fine = F.coalesce(F.col("id").isNotNull() & F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0), F.lit(False))
+    own = own.withColumn("a", F.when(fine, F.xxhash64("v"))).withColumn("b", F.when(fine, F.hash("v")))
+    sets = own.where(fine).groupBy("a", "b").agg(F.min("id").alias("id"), F.count_distinct("id").alias("copies"), F.first("v").alias("v"))
+    sets = named_nodes(durable(sets, "embedding-sets"), ["a", "b"], own.where(fine).select("id"), "embedding")
+    lengths = {r["d"]: r["count"] for r in sets.groupBy(F.size("v").alias("d")).count().collect()}
     n = sum(lengths.values())
     planned = {d: plan(count, threshold) for d, count in lengths.items()}
 
     def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            size = b["_v"].str.len()
+            size = b["v"].str.len()
             for d in size.unique().tolist():
-                own = b[size == d]
-                x = np.array(own["_v"].tolist(), dtype="<f4").reshape(len(own), d)
-                u = x.astype(np.float64)
-                k = keys(u / np.linalg.norm(u, axis=1, keepdims=True), *planned[d])
-                yield pd.DataFrame({"d": d, "node": own["node"].to_numpy(), "copies": own["copies"].to_numpy(), "vector": [r.tobytes() for r in x], "keys": [r.astype("<i4").tobytes() for r in k], "bucket": list(k)})
+                some = b[size == d]
+                x = np.array(some["v"].tolist(), dtype=kind).reshape(len(some), d)
+                yield pd.DataFrame({"d": d, "node": some["node"].to_numpy(), "copies": some["copies"].to_numpy(), "vector": [r.tobytes() for r in x], "bucket": list(keys(_unit(x), *planned[d]))})
 
-    signed = durable(sets.select("node", "copies", "_v").mapInPandas(sign, "d int, node long, copies long, vector binary, keys binary, bucket array<int>"), "embedding-keys")
+    signed = durable(sets.select("node", "copies", "v").mapInPandas(sign, "d int, node long, copies long, vector binary, bucket array<int>"), "embedding-keys")
     sizes = signed.select("d", F.posexplode("bucket").alias("table", "key")).groupBy("d", "table", "key").count()
     hot = durable(sizes.where(F.col("count") > tile).select("d", "table", "key", F.ceil(F.col("count") / tile).cast("int").alias("parts")), "embedding-hot")
-    rows = signed.select("d", "node", "copies", "vector", "keys", F.posexplode("bucket").alias("table", "key")).join(hot, ["d", "table", "key"], "left")
+    rows = signed.select("d", "node", "copies", "vector", F.posexplode("bucket").alias("table", "key")).join(hot, ["d", "table", "key"], "left")
     tasks = max(1, -(-n // group))
     part = F.pmod(F.xxhash64("node", F.lit(5)), F.col("parts")).cast("int")
     cold = rows.where(F.col("parts").isNull()).withColumns({"part": F.lit(0), "tile_a": F.lit(-1), "tile_b": F.lit(-1), "deal": F.pmod(F.xxhash64("key"), F.lit(tasks)).cast("int")})
@@ -153,14 +160,20 @@ def linked(vectors: DataFrame, threshold: float = 0.95, id_col: str = "vec_id",
     both = cold.drop("parts").unionByName(warm.drop("parts"))
 
     def run(g: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame(_tile(g, int(g["d"].iloc[0]), threshold), columns=["node", "other", "links"]).astype("Int64")
+        d = int(g["d"].iloc[0])
+        return pd.DataFrame(_tile(g, d, kind, threshold, *planned[d]), columns=["node", "other", "links"]).astype("Int64")
 
     found = durable(both.groupBy("d", "table", "deal", "tile_a", "tile_b").applyInPandas(run, FOUND), "embedding-links")
     links = found.where("links is not null").groupBy("node").agg(F.sum("links").alias("links"))
-    groups = components(found.where("other is not null").select(F.col("node").alias("a"), F.col("other").alias("b")), "embedding").withColumnRenamed("node", "_n")
-    known = sets.select("_h", "node", "copies").join(links, "node", "left").join(groups, F.col("node") == F.col("_n"), "left").select(F.col("_h").alias("_g"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("_links"), F.coalesce("component", "node").alias("_c"))
-    back = own.join(known, F.col("_h") == F.col("_g"), "left")
-    return back.select(*out_cols, F.coalesce("_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("_c", F.col(id_col)).cast("long").alias("component_id")).withColumn("kept", F.coalesce(F.col(id_col) == F.col("component_id"), F.lit(True)))
+    groups = components(found.where("other is not null").select(F.col("node").alias("a"), F.col("other").alias("b")), "embedding")
+    of = sets.join(groups, "node", "left").select("a", "b", "id", "node", "copies", F.coalesce("component", "node").alias("component"))
+    # a component's least node may be a hash
+    least = of.groupBy("component").agg(F.min("id").alias("least"))
+    known = durable(of.join(least, "component").join(links, "node", "left").select("a", "b", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).cast("long").alias("links"), "least"), "embedding-known")
+    out = own.join(known, ["a", "b"], "left").select("row.*", F.coalesce("links", F.lit(0).cast("long")).alias("n_links"), F.coalesce("least", "id").alias("component_id"), F.coalesce(F.col("id") == F.coalesce("least", "id"), F.lit(True)).alias("kept"))
+    for x in (signed, hot, found):
+        drop_durable(x)
+    return out
 
 
 def digest(spark: SparkSession, vectors: DataFrame) -> DataFrame:

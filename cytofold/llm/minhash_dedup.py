@@ -6,9 +6,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from cytofold.llm.common import components, drop_durable, durable, few, roots
+from cytofold.llm.common import batches_of, components, drop_durable, durable, few, named_nodes, roots
 
 _GOLD, _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _SPACES = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
@@ -69,15 +69,6 @@ def shingles(texts: list[str], size: int = 5) -> list[np.ndarray]:
     return out
 
 
-def batches_of(sizes: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
-    """Ranges of rows whose sizes sum to `most` at most, or of one row."""
-    ends, at = np.cumsum(sizes), 0
-    while at < len(ends):
-        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, side="right")))
-        yield at, to
-        at = to
-
-
 def _offers(h: np.ndarray, doc: np.ndarray, best: np.ndarray, m: int) -> None:
     """Lowers best (sets x slots, flat) by what the elements h of the sets doc offer."""
     place = np.tile(np.arange(m, dtype=np.uint16), (len(h), 1))
@@ -172,18 +163,6 @@ def set_texts(docs: DataFrame, size: int) -> DataFrame:
     return docs.mapInPandas(run, "doc_id long, n long, s1 long, s2 long, text string")
 
 
-def own_nodes(nodes: DataFrame, ids: DataFrame, several: DataFrame) -> DataFrame:
-    """nodes with a node id for each set, where ids in `several` hold more than one: the least set keeps the doc_id, the others get hashes that are no doc_id."""
-    w = Window.partitionBy("doc_id").orderBy("n", "s1", "s2")
-    marked = nodes.join(several, "doc_id", "left_semi").select("n", "s1", "s2", "doc_id", F.row_number().over(w).alias("_k")).where("_k > 1")
-    for salt in range(100):
-        fresh = durable(marked.select("n", "s1", "s2", F.xxhash64("n", "s1", "s2", F.lit(salt)).alias("_fresh")), "minhash-fresh")
-        taken = fresh.select("_fresh").unionByName(ids.select(F.col("doc_id").alias("_fresh")).distinct()).groupBy("_fresh").count().where("count > 1")
-        if taken.isEmpty():
-            return durable(nodes.drop("node").join(fresh, ["n", "s1", "s2"], "left").withColumn("node", F.coalesce("_fresh", "doc_id")).drop("_fresh"), "minhash-nodes")
-    raise RuntimeError("own_nodes: no free ids")
-
-
 def _forest(node: np.ndarray, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Edges from each node to the least one of its component."""
     root = roots(len(node), i, j)
@@ -376,7 +355,7 @@ def minhash_groups(docs: DataFrame, size: int = 5, percent: int = 75, n_bands: i
     ends = [f(c).alias(f"{f.__name__}_{c}") for f in (F.min, F.max) for c in ("n", "s1", "s2")]
     several = durable(signed.where("doc_id is not null").groupBy("doc_id").agg(*ends).where("min_n < max_n or min_s1 < max_s1 or min_s2 < max_s2").select("doc_id"), "minhash-several")
     if not several.isEmpty():
-        nodes = own_nodes(nodes, real, several)
+        nodes = named_nodes(nodes.drop("node").withColumnRenamed("doc_id", "id"), ["n", "s1", "s2"], real.select(F.col("doc_id").alias("id")), "minhash").withColumnRenamed("id", "doc_id")
         of_sets = set_texts(own.join(several, "doc_id", "left_semi"), size).join(nodes.select("n", "s1", "s2", "doc_id", "node"), ["n", "s1", "s2", "doc_id"])
         known = durable(own.where("doc_id is not null").join(several, "doc_id", "left_anti").select(F.col("doc_id").alias("node"), "text").unionByName(of_sets.select("node", "text")), "minhash-texts")
         held = real.join(several, "doc_id", "left_semi").select("doc_id", "n", "s1", "s2").join(nodes.select("n", "s1", "s2", "node"), ["n", "s1", "s2"]).select("doc_id", "node").distinct()

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from cytofold.llm.common import SPACE, ascii_lower
+from cytofold.llm.common import SPACE, ascii_lower, free
 
 
 def _key(line: Column) -> Column:
@@ -27,7 +27,7 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     whose hot digests AQE splits. Documents then meet the digests that they lose; the text itself is shuffled once.
 
     Null or empty text: one empty line, which stays. Null id: such rows count as no document and stay whole.
-    Repeated rows of an id are one document to the count, and each is cleaned. Other columns pass through.
+    Repeated rows of an id are one document to the count, and each is cleaned. Other columns pass through, whatever their names; one that is called as `into` is replaced.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     lines = F.split(text, "\n", -1)
@@ -40,22 +40,18 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         .distinct()
     )
     common = pairs.groupBy("_h").agg(F.count(F.lit(1)).alias("_n"), F.max("_id").alias("_keep")).where(F.col("_n") >= min_docs).select("_h", "_keep")
-    lost = pairs.join(common, "_h").where("_id < _keep").groupBy("_id").agg(F.collect_list("_h").alias("_lost"))
-    stays = lambda x: (F.char_length(_key(x)) < min_chars) | ~F.array_contains(F.col("_lost"), _digest(_key(x)))
-    kept = F.when(F.col("_lost").isNull(), lines).otherwise(F.filter(lines, stays))
-    return (
-        docs.join(lost, F.col(id_col) == F.col("_id"), "left")
-        .withColumn("_left", kept)
-        .withColumn(
-            into,
-            F.struct(
-                F.size(lines).cast("long").alias("n_lines"),
-                (F.size(lines) - F.size("_left")).cast("long").alias("n_dropped"),
-                F.when(F.col("_lost").isNull(), text).otherwise(F.array_join("_left", "\n")).alias("text"),
-            ),
-        )
-        .drop("_id", "_lost", "_left")
+    key, lost = free(docs.columns, "_id"), free(docs.columns, "_lost")
+    losers = pairs.join(common, "_h").where("_id < _keep").groupBy(F.col("_id").alias(key)).agg(F.collect_list("_h").alias(lost))
+    stays = lambda x: (F.char_length(_key(x)) < min_chars) | ~F.array_contains(F.col(lost), _digest(_key(x)))
+    left = F.when(F.col(lost).isNull(), lines).otherwise(F.filter(lines, stays))
+    name = free([*docs.columns, key, lost], "_left")
+    out = docs.join(losers, F.col(id_col) == F.col(key), "left").withColumn(name, left)
+    cleaned = F.struct(
+        F.size(lines).cast("long").alias("n_lines"),
+        (F.size(lines) - F.size(name)).cast("long").alias("n_dropped"),
+        F.when(F.col(lost).isNull(), text).otherwise(F.array_join(name, "\n")).alias("text"),
     )
+    return out.withColumn(into, cleaned).drop(key, lost, name)
 
 
 def digest(spark, docs: DataFrame) -> DataFrame:

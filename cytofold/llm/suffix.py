@@ -26,11 +26,11 @@ class Spool:
     """A priority queue over first bytes: for each, a queue of suffix tuples (place, common prefix with the one before).
 
     Induced sorting adds tuples to a byte's queue in their order, so within a byte first in is first out. Above `budget` bytes in memory, whole queues
-    go to files under `folder`, block by block, and come back when their byte's turn comes.
+    go to files under `folder`, block by block, and come back, about `step` tuples at a time, when their byte's turn comes.
     """
 
-    def __init__(self, folder: str, budget: int):
-        self.folder, self.budget, self.held, self.files = folder, budget, 0, 0
+    def __init__(self, folder: str, budget: int, step: int = 1 << 17):
+        self.folder, self.budget, self.step, self.held, self.files = folder, budget, step, 0, 0
         self.blocks: list[list] = [[] for _ in range(256)]
         self.store = None
 
@@ -59,20 +59,55 @@ class Spool:
                     self.files += 1
         self.held = 0
 
-    def _load(self, b) -> tuple[np.ndarray, np.ndarray]:
+    def _read(self, b) -> tuple[np.ndarray, np.ndarray]:
         if not isinstance(b[0], str):
-            self.held -= b[0].nbytes + b[1].nbytes
             return b
         with self.store.open_input_stream(b[0]) as f:
             raw = f.read()
-        self.store.delete_file(b[0])
         n = b[1]
         return np.frombuffer(raw[: 8 * n], dtype=np.int64), np.frombuffer(raw[8 * n :], dtype=np.uint8)
 
+    def _forget(self, b) -> None:
+        if isinstance(b[0], str):
+            self.store.delete_file(b[0])
+        else:
+            self.held -= b[0].nbytes + b[1].nbytes
+
+    def _some(self, blocks: list) -> int:
+        """How many of the first blocks are taken together."""
+        n = k = 0
+        while k < len(blocks) and (not k or n < self.step):
+            b = blocks[k]
+            n += b[1] if isinstance(b[0], str) else len(b[0])
+            k += 1
+        return k
+
+    @staticmethod
+    def _joined(parts: list) -> tuple[np.ndarray, np.ndarray]:
+        return parts[0] if len(parts) == 1 else (np.concatenate([x[0] for x in parts]), np.concatenate([x[1] for x in parts]))
+
     def pop(self, c: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """The byte's tuples in order, block by block; those that are added meanwhile come too."""
+        """The byte's tuples in order, some blocks at a time; those that are added meanwhile come too."""
         while self.blocks[c]:
-            yield self._load(self.blocks[c].pop(0))
+            k = self._some(self.blocks[c])
+            own, self.blocks[c] = self.blocks[c][:k], self.blocks[c][k:]
+            out = self._joined([self._read(b) for b in own])
+            for b in own:
+                self._forget(b)
+            yield out
+
+    def back(self, c: int, keep: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """The byte's tuples from the last part to the first, each part in order; they stay if `keep` says so."""
+        left = list(self.blocks[c])
+        while left:
+            k = self._some(left[::-1])
+            own, left = left[-k:], left[:-k]
+            out = self._joined([self._read(b) for b in own])
+            if not keep:
+                self.blocks[c] = left
+                for b in own:
+                    self._forget(b)
+            yield out
 
     def close(self) -> None:
         if self.store is not None:
@@ -152,15 +187,14 @@ def common(t: np.ndarray, a: np.ndarray, b: np.ndarray, depth: int) -> np.ndarra
     out = np.zeros(len(a), dtype=np.uint8)
     live = np.arange(len(a))
     n = len(t)
-    for j in range(depth):
-        x, y = a[live] + j, b[live] + j
-        inside = (x < n) & (y < n)
-        same = np.zeros(len(live), dtype=bool)
-        same[inside] = t[x[inside]] == t[y[inside]]
-        live = live[same]
+    for j in range(0, depth, 8):
+        x, y = a[live][:, None] + np.arange(j, min(j + 8, depth)), b[live][:, None] + np.arange(j, min(j + 8, depth))
+        same = (t[np.minimum(x, n - 1)] == t[np.minimum(y, n - 1)]) & (x < n) & (y < n)
+        share = np.minimum.accumulate(same, axis=1).sum(axis=1)
+        out[live] += share.astype(np.uint8)
+        live = live[share == same.shape[1]]
         if not len(live):
             break
-        out[live] += 1
     return out
 
 
@@ -197,7 +231,7 @@ class _Targets:
         self.pending = pending
 
 
-def ordered(t: np.ndarray, folder: str, depth: int = 100, budget: int = 256 << 20, step: int = 1 << 20) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def ordered(t: np.ndarray, folder: str, depth: int = 100, budget: int = 256 << 20, step: int = 1 << 17) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Blocks of (place, common prefix with the one before) of all suffixes of t in order, both up to depth bytes. t is as joined() makes it.
 
     L suffixes are induced from the S* ones going up, S suffixes from the L ones going down. Types, a bit a byte, and the text stay in memory; tuples,
@@ -214,7 +248,7 @@ def ordered(t: np.ndarray, folder: str, depth: int = 100, budget: int = 256 << 2
     seeds = _seeds(t, star, depth + 1) if len(star) else star
     shared = np.append(0, common(t, seeds[:-1], seeds[1:], depth)).astype(np.uint8) if len(seeds) else np.zeros(0, dtype=np.uint8)
     seed_edges = np.searchsorted(t[seeds], np.arange(257)) if len(seeds) else np.zeros(257, dtype=np.int64)
-    queue, large, low = Spool(folder, budget), Spool(folder, budget), Spool(folder, budget)
+    queue, large, low = (Spool(folder, budget // 3, step) for _ in range(3))
     try:
         target, last = _Targets(depth), None
         wanted = ~small
@@ -240,9 +274,10 @@ def ordered(t: np.ndarray, folder: str, depth: int = 100, budget: int = 256 << 2
                 lcp[0] = 0 if fresh else common(t, last, seeds[a : a + 1], depth)[0]
                 feed(seeds[a:b], lcp, wanted, queue)
         # going down, a tuple's common prefix is with the one above it
-        target, queue, wanted = _Targets(depth), Spool(folder, budget), small
+        queue.close()
+        target, queue, wanted = _Targets(depth), Spool(folder, budget // 3, step), small
         for c in range(255, -1, -1):
-            fresh, blocks = True, []
+            fresh = True
             for place, lcp in queue.pop(c):
                 if fresh:
                     lcp = lcp.copy()
@@ -251,32 +286,27 @@ def ordered(t: np.ndarray, folder: str, depth: int = 100, budget: int = 256 << 2
                 feed(place, lcp, wanted, queue)
                 low.push(c, place, lcp)
                 last = place[-1:]
-            for place, lcp in large.pop(c):
-                blocks.append((place, lcp))
-            for k in range(len(blocks) - 1, -1, -1):
-                place, lcp = blocks[k]
-                after = blocks[k + 1][1][0] if k + 1 < len(blocks) else None
+            after = None
+            for place, lcp in large.back(c, keep=True):
                 down = np.append(lcp[1:], 0 if after is None else after)[::-1].copy()
                 back = place[::-1]
                 if after is None:
                     down[0] = 0 if fresh else common(t, last, back[:1], depth)[0]
                 feed(back, down, wanted, queue)
-                fresh = False
-            for place, lcp in blocks:
-                large.push(c, place, lcp)
+                fresh, after = False, lcp[0]
         low.push(LAST, np.array([n - 1]), np.zeros(1, dtype=np.uint8))
         for c in range(256):
             last = None
             for place, lcp in large.pop(c):
                 yield place, lcp
                 last = place[-1:]
-            blocks = list(low.pop(c))
-            for k in range(len(blocks) - 1, -1, -1):
-                place, lcp = blocks[k]
+            # the parts of S suffixes come from the last, which is the least; a tuple's prefix is with the one above, so going up it belongs to the next one
+            before = None
+            for place, lcp in low.back(c, keep=False):
                 back = place[::-1]
-                # a tuple's prefix is with the one above, so going up it belongs to the next one
-                first = blocks[k + 1][1][0] if k + 1 < len(blocks) else (0 if last is None else common(t, last, back[:1], depth)[0])
+                first = before if before is not None else 0 if last is None else common(t, last, back[:1], depth)[0]
                 yield back, np.append(first, lcp[:0:-1]).astype(np.uint8)
+                before = lcp[0]
     finally:
         for s in (queue, large, low):
             s.close()

@@ -57,40 +57,53 @@ def chunks(docs: DataFrame, size: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInPandas(run, CHUNK)
 
 
-def anchors(sizes: np.ndarray, text: bytes, length: int, q: int, block: int = 1 << 23):
-    """(hash, row, first window, windows) of each anchor of a chunk.
+def _both(h: np.ndarray, other: np.ndarray, salt: int) -> np.ndarray:
+    """A hash of two, which isn't 0."""
+    x = (h * np.uint64(0x9E3779B97F4A7C15) + other + np.uint64(salt)) * np.uint64(0xD6E8FEB86659FD93)
+    return (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) | np.uint64(1)
 
-    A window is `length` bytes of one document; its anchor is the leftmost of its q-grams of least hash, so windows of equal
-    bytes have anchors of equal hash at equal places. Windows that follow each other mostly share one.
+
+def anchors(sizes: np.ndarray, text: bytes, length: int, q: int, block: int = 1 << 22):
+    """(hash, left, right, row, first window, windows) of each anchor of a chunk.
+
+    A window is `length` bytes of one document; its anchor is the leftmost of its q-grams of least hash (of 40 bits), so windows of equal
+    bytes have anchors of equal hash at equal places. Windows that follow each other mostly share one. Of what a window has beside its anchor, half or more is
+    on one side; left and right are hashes of the anchor with so many bytes before and after it, 0 where the windows don't hold them. So equal windows have
+    equal lefts or equal rights. Texts are gone through block by block, long ones as well.
     """
-    start = np.cumsum(sizes) - sizes
-    out, width = [], length - q + 1
-    b = np.frombuffer(text, dtype=np.uint8)
-    at = 0
-    while at < len(sizes):
-        to = max(at + 1, int(np.searchsorted(start, start[at] + block)))
-        lo, hi = int(start[at]), int(start[to - 1] + sizes[to - 1])
-        h = grams(b[lo:hi], q)
-        if len(h) >= width:
-            bits = np.uint64(max(8, len(h).bit_length()))
-            least = (h >> bits << bits) | np.arange(len(h), dtype=np.uint64)
-            k = 1
-            while k * 2 <= width:
-                least = np.minimum(least[:-k], least[k:])
-                k *= 2
-            if width > k:
-                least = np.minimum(least[: len(least) - (width - k)], least[width - k :])
-            place = (least & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
-            row = np.repeat(np.arange(at, to), sizes[at:to])[: len(place)]
-            ok = np.arange(len(place)) + lo + length <= (start + sizes)[row]
-            new = ok.copy()
-            new[1:] &= (place[1:] != place[:-1]) | ~ok[:-1] | (row[1:] != row[:-1])
-            first = np.nonzero(new)[0]
-            upto = np.add.reduceat(ok.astype(np.int64), first) if len(first) else first
-            out.append((h[place[first]], row[first], first + lo - start[row[first]], upto))
-        at = to
+    end = np.cumsum(sizes)
+    start, side, width = end - sizes, (length - q + 1) // 2, length - q + 1
+    b, out = np.frombuffer(text, dtype=np.uint8), []
+    low = np.uint64((1 << 24) - 1)
+    for s in range(0, max(0, len(b) - length + 1), block):
+        e = min(s + block, len(b) - length + 1)
+        part = b[s : e + length - 1]
+        h = grams(part, q)
+        least = (h & ~low) | np.arange(len(h), dtype=np.uint64)
+        k = 1
+        while k * 2 <= width:
+            least = np.minimum(least[:-k], least[k:])
+            k *= 2
+        if width > k:
+            least = np.minimum(least[: len(least) - (width - k)], least[width - k :])
+        place = (least & low).astype(np.int64)
+        rows = np.arange(int(np.searchsorted(end, s, side="right")), int(np.searchsorted(start, e, side="left")))
+        row = np.repeat(rows, np.minimum(end[rows], e) - np.maximum(start[rows], s))
+        ok = np.arange(s + length, e + length) <= end[row]
+        new = ok.copy()
+        new[1:] &= (place[1:] != place[:-1]) | ~ok[:-1] | (row[1:] != row[:-1])
+        first = np.nonzero(new)[0]
+        if not len(first):
+            continue
+        upto = np.add.reduceat(ok.astype(np.int64), first)
+        p, sides = place[first], grams(part, side)
+        own = h[p]
+        left, right = np.zeros(len(p), dtype=np.uint64), np.zeros(len(p), dtype=np.uint64)
+        for to, at, fine, salt in ((left, p - side, p - first >= side, 1), (right, p + q, first + upto + length - 1 - (p + q) >= side, 2)):
+            to[fine] = _both(own[fine], sides[at[fine]], salt)
+        out.append((own, left, right, row[first], first + s - start[row[first]], upto))
     if not out:
-        return np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+        return (*(np.zeros(0, dtype=np.uint64) for _ in range(3)), *(np.zeros(0, dtype=np.int64) for _ in range(3)))
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
@@ -129,8 +142,8 @@ def _same(b: np.ndarray, start: np.ndarray, size: np.ndarray, block: int = 20_00
 def repeated(shard: list[tuple], length: int, folder: str, budget: int) -> Iterator[tuple[int, np.ndarray]]:
     """(chunk, rows of (row, lo, hi)) of what goes from a shard's regions.
 
-    shard: (chunk, doc id, row, first window, windows, bytes, anchor hash) of each chunk's regions, a region being the windows of one anchor and all their bytes.
-    Regions that are equal go into the text once, with all their places; if an anchor hash has but one such, it has nothing to be compared with and stays out, as windows of
+    shard: (chunk, doc id, row, first window, windows, bytes, anchor hash, copies) of each chunk's regions, a region being the windows of one anchor and all their bytes; copies (row, lo, hi) are
+    those that a chunk has earlier itself. Regions that are equal go into the text once, with all their places; if an anchor hash has but one such, it has nothing to be compared with and stays out, as windows of
     equal bytes have their anchor at the same place. The suffixes of the text are put in order; windows whose common prefixes reach `length` are
     copies, and all but the earliest place go.
     """
@@ -180,13 +193,11 @@ def repeated(shard: list[tuple], length: int, folder: str, budget: int) -> Itera
     r = region[a]
     rest = np.nonzero(~earliest)[0]
     who = np.concatenate([own[r], rest])
-    from_ = np.concatenate([lo[own[r]] + a - base[r], lo[rest]])
-    to = np.concatenate([lo[own[r]] + z - base[r] + length - 1, lo[rest] + size[rest]])
-    by = np.argsort(chunk[who], kind="stable")
-    who, from_, to = who[by], from_[by], to[by]
-    cuts = np.nonzero(np.append(True, chunk[who][1:] != chunk[who][:-1]))[0] if len(who) else np.zeros(0, dtype=np.int64)
-    for x, y in zip(cuts.tolist(), np.append(cuts[1:], len(who)).tolist(), strict=True):
-        yield int(chunk[who[x]]), np.stack([row[who[x:y]], from_[x:y], to[x:y]])
+    gone = np.stack([row[who], np.concatenate([lo[own[r]] + a - base[r], lo[rest]]), np.concatenate([lo[own[r]] + z - base[r] + length - 1, lo[rest] + size[rest]])])
+    of = chunk[who]
+    for x in shard:
+        if (some := np.concatenate([gone[:, of == x[0]], x[7]], axis=1)).shape[1]:
+            yield int(x[0]), some
 
 
 def remove_repeats(docs: DataFrame, length: int = 100, q: int = 24, chunk: int = 4 << 20, shard: int = 6 << 20, budget: int = 256 << 20) -> DataFrame:
@@ -196,8 +207,8 @@ def remove_repeats(docs: DataFrame, length: int = 100, q: int = 24, chunk: int =
     ends of the removed runs in turn.
 
     1. Texts are gathered into compressed chunks, which are what is stored and joined. 2. Each window of `length` bytes is given to
-    an anchor, its q-gram of least hash; a chunk's distinct anchor hashes, once each, are dealt to buckets, which answer the chunks with those that occur twice
-    anywhere. 3. Only the regions of such anchors are dealt to shards, by anchor hash, so all copies of a window meet; each shard sorts
+    an anchor, its q-gram of least hash; hashes of a chunk's anchors with what is on either side, each twice at most, are dealt to buckets, which answer the chunks with those that occur twice
+    anywhere. 3. Only the regions of such anchors are dealt to shards, by anchor hash, so all copies of a window meet; of regions that are equal, a chunk sends one. Each shard sorts
     suffixes by induced sorting and says what goes. 4. Chunks are joined with that. Shards and buckets are as many as the bytes need.
 
     Null or empty text: no bytes. Texts shorter than `length` stay whole. No rows: no rows. Other columns are left out.
@@ -205,13 +216,14 @@ def remove_repeats(docs: DataFrame, length: int = 100, q: int = 24, chunk: int =
     spark = docs.sparkSession
     stored = durable(chunks(docs, chunk), "suffix-chunks")
     total = stored.agg(F.sum("bytes")).first()[0] or 0
-    buckets, shards, folder = max(1, total // (8 << 20)), max(1, int(0.6 * total) // shard), new_dir(spark, "suffix-spool")
+    buckets, shards, folder = max(1, total // (8 << 20)), max(1, total // shard), new_dir(spark, "suffix-spool")
 
     def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for c, blob in zip(b["chunk"], b["blob"], strict=True):
                 _, sizes, text = _unpack(blob)
-                h, count = np.unique(anchors(sizes, text, length, q)[0], return_counts=True)
+                h = np.concatenate(anchors(sizes, text, length, q)[1:3])
+                h, count = np.unique(h[h > 0], return_counts=True)
                 h = np.repeat(h, np.minimum(count, 2))
                 to = (h % np.uint64(buckets)).astype(np.int64)
                 order = np.argsort(to, kind="stable")
@@ -238,17 +250,21 @@ def remove_repeats(docs: DataFrame, length: int = 100, q: int = 24, chunk: int =
         for b in batches:
             for c, blob, hs in zip(b["chunk"], b["blob"], b["hs"], strict=True):
                 ids, sizes, text = _unpack(blob)
-                h, row, lo, n = anchors(sizes, text, length, q)
-                some = np.isin(h, np.concatenate([np.frombuffer(x, dtype=np.uint64) for x in hs]))
+                h, left, right, row, lo, n = anchors(sizes, text, length, q)
+                twice = np.concatenate([np.frombuffer(x, dtype=np.uint64) for x in hs])
+                some = np.nonzero(np.isin(left, twice) | np.isin(right, twice))[0]
+                some = some[np.lexsort((lo[some], row[some], ids[row[some]]))]
                 h, row, lo, n = h[some], row[some], lo[some], n[some]
+                whole, start, size = np.frombuffer(text, dtype=np.uint8), np.cumsum(sizes) - sizes, n + length - 1
+                own = _same(_gather(whole, start[row] + lo, size), np.cumsum(size) - size, size) == np.arange(len(n))
                 to = ((h >> np.uint64(20)) % np.uint64(shards)).astype(np.int64)
-                order = np.argsort(to, kind="stable")
-                edges = np.searchsorted(to[order], np.arange(shards + 1))
-                whole, start = np.frombuffer(text, dtype=np.uint8), np.cumsum(sizes) - sizes
+                order = np.argsort(to * 2 + own, kind="stable")
+                edges = np.searchsorted((to * 2 + own)[order], np.arange(2 * shards + 1))
                 rows = []
-                for k in np.nonzero(np.diff(edges))[0].tolist():
-                    x = order[edges[k] : edges[k + 1]]
-                    rows.append((k, c, _pack(ids[row[x]], row[x].astype(np.int32), lo[x].astype(np.int64), n[x].astype(np.int64), _gather(whole, start[row[x]] + lo[x], n[x] + length - 1).tobytes(), (h[x] >> np.uint64(32)).astype(np.uint32))))
+                for k in np.nonzero(edges[2::2] > edges[:-2:2])[0].tolist():
+                    again, x = order[edges[2 * k] : edges[2 * k + 1]], order[edges[2 * k + 1] : edges[2 * k + 2]]
+                    copies = np.stack([row[again], lo[again], lo[again] + size[again]])
+                    rows.append((k, c, _pack(ids[row[x]], row[x].astype(np.int32), lo[x], n[x], _gather(whole, start[row[x]] + lo[x], size[x]).tobytes(), (h[x] >> np.uint64(32)).astype(np.uint32), copies)))
                 yield pd.DataFrame(rows, columns=["shard", "chunk", "blob"])
 
     told = known.groupBy("chunk").agg(F.collect_list("h").alias("hs"))

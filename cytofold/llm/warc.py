@@ -10,6 +10,7 @@ import hashlib
 import uuid
 import zlib
 from collections.abc import Iterator
+from datetime import datetime, timezone
 
 import pandas as pd
 from pyspark import TaskContext
@@ -28,6 +29,15 @@ def _store(uri: str):
     return fs.FileSystem.from_uri(uri) if "://" in uri else (fs.LocalFileSystem(), uri)
 
 
+def fresh(out: str, what: str) -> str:
+    """A record id that no other folder of archives has for `what`, and that a task that runs again gives again."""
+    return str(uuid.uuid5(uuid.NAMESPACE_URL, f"{out}#{what}"))
+
+
+def now() -> str:
+    return datetime.now(timezone.utc).strftime("%Y-%m-%dT%H:%M:%SZ")
+
+
 def _member(fields: list[tuple[str, str | None]], block: bytes, level: int) -> bytes:
     head = "WARC/1.1\r\n" + "".join(f"{k}: {' '.join(v.split())}\r\n" for k, v in fields if v is not None)
     z = zlib.compressobj(level, zlib.DEFLATED, 31)
@@ -44,18 +54,18 @@ def _response(page: str | None, url: str | None, record: str, digest: str, paylo
 
 
 def _revisit(page: str | None, url: str | None, record: str, digest: str, size: int, of: dict, date: str, level: int) -> bytes:
-    fields = [("WARC-Type", "revisit"), ("WARC-Record-ID", f"<urn:uuid:{record}>"), ("WARC-Date", date), ("WARC-Target-URI", url), ("WARC-Page-ID", page), ("WARC-Payload-Digest", f"sha256:{digest}"), ("WARC-Profile", PROFILE), ("WARC-Refers-To", f"<urn:uuid:{of['record_id']}>"), ("WARC-Refers-To-Target-URI", of["url"]), ("WARC-Refers-To-Page-ID", of["page"]), ("Content-Type", "application/http; msgtype=response")]
+    fields = [("WARC-Type", "revisit"), ("WARC-Record-ID", f"<urn:uuid:{record}>"), ("WARC-Date", date), ("WARC-Target-URI", url), ("WARC-Page-ID", page), ("WARC-Payload-Digest", f"sha256:{digest}"), ("WARC-Profile", PROFILE), ("WARC-Refers-To", f"<urn:uuid:{of['new_id']}>"), ("WARC-Refers-To-Target-URI", of["url"]), ("WARC-Refers-To-Page-ID", of["page"]), ("Content-Type", "application/http; msgtype=response")]
     return _member(fields, _http(size), level)
 
 
 class _Archives:
-    """Appends records to archives of about `roll` bytes and says what it wrote."""
+    """Appends records to archives of about `roll` bytes, a warcinfo record at the start of each, and says what it wrote."""
 
-    def __init__(self, out: str, roll: int):
+    def __init__(self, out: str, date: str, roll: int, level: int):
         task = TaskContext.get()
         self.fs, self.base = _store(out)
         self.fs.create_dir(self.base, recursive=True)
-        self.out, self.roll, self.part, self.attempt = out, roll, task.partitionId(), task.taskAttemptId()
+        self.out, self.date, self.roll, self.level, self.part, self.attempt = out, date, roll, level, task.partitionId(), task.taskAttemptId()
         self.done: list[tuple[str, int]] = []
         self.file, self.records, self.size = None, 0, 0
 
@@ -64,6 +74,8 @@ class _Archives:
         if self.file is None:
             self.name = f"part-{self.part:05d}-{len(self.done):04d}.warc.gz"
             self.file = self.fs.open_output_stream(f"{self.base}/.{self.name}.{self.attempt}", compression=None)
+            fields = [("WARC-Type", "warcinfo"), ("WARC-Record-ID", f"<urn:uuid:{fresh(self.out, self.name)}>"), ("WARC-Date", self.date), ("WARC-Filename", self.name), ("Content-Type", "application/warc-fields")]
+            self.file.write(_member(fields, b"software: cytofold\r\nformat: WARC File Format 1.1\r\n", self.level))
         return f"{self.out}/{self.name}", self.records
 
     def add(self, member: bytes) -> None:
@@ -82,7 +94,7 @@ class _Archives:
 
 
 def _records(path: str, step: int = 1 << 16) -> Iterator[tuple[dict[str, str], bytes]]:
-    """(fields, block) of each gzip member of an archive, read in steps; memory holds one record."""
+    """(fields, block) of each gzip member of an archive but the warcinfo record, read in steps; memory holds one record."""
     fs, name = _store(path)
     with fs.open_input_stream(name, compression=None) as f:
         rest = b""
@@ -97,7 +109,8 @@ def _records(path: str, step: int = 1 << 16) -> Iterator[tuple[dict[str, str], b
                     raise ValueError(f"{path}: the last record is cut off")
             head, _, block = b"".join(parts).partition(b"\r\n\r\n")
             fields = dict(x.split(": ", 1) for x in head.decode().split("\r\n")[1:])
-            yield fields, block[: int(fields["Content-Length"])]
+            if fields["WARC-Type"] != "warcinfo":
+                yield fields, block[: int(fields["Content-Length"])]
 
 
 def _header(path: str, ordinal: int, fields: dict[str, str], block: bytes) -> tuple:
@@ -116,17 +129,17 @@ def _frame(rows: list[tuple], schema: str) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=names).astype(kinds)
 
 
-def write_archives(pages: DataFrame, out: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", date: str = "1970-01-01T00:00:00Z", roll: int = 32 << 20, level: int = 1) -> DataFrame:
-    """Writes a response record per row and returns the manifest (path, records). Null payload: empty. Null url or id: no such field."""
+def write_archives(pages: DataFrame, out: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", date: str | None = None, roll: int = 32 << 20, level: int = 1) -> DataFrame:
+    """Writes a response record per row and returns the manifest (path, records). Null payload: empty. Null url or id: no such field. The date, if none is given, is that of the call. Other columns are left out."""
+    date = date or now()
 
     def write(batches):
-        to = _Archives(out, roll)
+        to = _Archives(out, date, roll, level)
         for batch in batches:
             for page, url, html in zip(batch["page"], batch["url"], batch["html"], strict=True):
                 payload = (html or "").encode()
                 path, k = to.place()
-                record = uuid.uuid5(uuid.NAMESPACE_URL, f"{path.rsplit('/', 1)[1]}#{k}")
-                to.add(_response(page, url, str(record), hashlib.sha256(payload).hexdigest(), payload, date, level))
+                to.add(_response(page, url, fresh(path, str(k)), hashlib.sha256(payload).hexdigest(), payload, date, level))
         to.close()
         yield _frame(to.done, MANIFEST)
 
@@ -169,19 +182,23 @@ def resolve(headers: DataFrame, min_bytes: int = 100) -> DataFrame:
     return own.join(first, "payload_digest").where("path <> o.path or ordinal <> o.ordinal").select("path", "ordinal", F.struct(F.col("o.page_id").cast("string").alias("page"), F.col("o.record_id").alias("record_id"), F.col("o.url").alias("url")).alias("of"))
 
 
-def rewrite(manifest: DataFrame, revisits: DataFrame, out: str, date: str = "1970-01-01T00:00:00Z", roll: int = 32 << 20, level: int = 1) -> DataFrame:
-    """Writes each archive again, revisit records in place of the payloads that another record holds. A task holds one record and the revisits of one archive."""
+def rewrite(manifest: DataFrame, revisits: DataFrame, out: str, date: str | None = None, roll: int = 32 << 20, level: int = 1) -> DataFrame:
+    """Writes each archive again, revisit records in place of the payloads that another record holds. A task holds one record and the revisits of one archive.
+
+    Headers are fresh: records get new ids, made of the folder and the old ids so that a revisit's reference is to the new id of what it refers to, and the date of the call if none is given.
+    """
+    date = date or now()
 
     def write(batches):
-        to = _Archives(out, roll)
+        to = _Archives(out, date, roll, level)
         for batch in batches:
             for path, of in zip(batch["path"], batch["revisits"], strict=True):
                 known = {} if of is None else {x["ordinal"]: x["of"] for x in of}
                 for k, (fields, block) in enumerate(_records(path)):
-                    page, url, record, digest = fields.get("WARC-Page-ID"), fields.get("WARC-Target-URI"), fields["WARC-Record-ID"][10:-1], fields["WARC-Payload-Digest"].removeprefix("sha256:")
+                    page, url, record, digest = fields.get("WARC-Page-ID"), fields.get("WARC-Target-URI"), fresh(out, fields["WARC-Record-ID"][10:-1]), fields["WARC-Payload-Digest"].removeprefix("sha256:")
                     payload = block.partition(b"\r\n\r\n")[2]
                     to.place()
-                    to.add(_revisit(page, url, record, digest, len(payload), known[k], date, level) if k in known else _response(page, url, record, digest, payload, date, level))
+                    to.add(_revisit(page, url, record, digest, len(payload), {**known[k], "new_id": fresh(out, known[k]["record_id"])}, date, level) if k in known else _response(page, url, record, digest, payload, date, level))
         to.close()
         yield _frame(to.done, MANIFEST)
 

@@ -130,7 +130,7 @@ def fitted(texts: list[str], labels: np.ndarray, rounds: int = 3, longest: int =
 
     A good document's lines are good. Which lines of a bad one are bad isn't known: all are at first, and after each fit
     those that the field itself finds bad, and at least the worst. Last, a logistic curve, which rises, is laid over the aggregate so that the score is the probability of label 1.
-    Documents of over `longest` lines lend their labels to the curve only.
+    A document of over `longest` lines is fitted as several chains, so that the steps of a fit don't grow with the longest document; scores are by whole chains.
     """
     chain = Chain(3 * BASE + 1)
     if not len(labels) or len(set(labels.tolist())) < 2:
@@ -138,13 +138,12 @@ def fitted(texts: list[str], labels: np.ndarray, rounds: int = 3, longest: int =
         chain.slope, chain.shift = 0.0, float(np.log(share / (1 - share)))
         return chain
     x, length, start, size = stacked(texts)
-    short = size <= longest
     row = np.repeat(np.arange(len(size)), size)
-    keep = short[row]
-    own = np.cumsum(size[short]) - size[short]
+    part = np.concatenate([np.arange(s, s + n, longest) for s, n in zip(start, size, strict=True)])
+    parts = np.diff(np.append(part, len(row)))
     y = labels[row].astype(np.float64)
     for r in range(rounds):
-        chain.fit(x[keep], own, size[short], y[keep])
+        chain.fit(x, part, parts, y)
         p = chain.marginals(x, start, size)
         if r < rounds - 1:
             worst = np.minimum.reduceat(p, start)
@@ -165,15 +164,15 @@ def held_out(doc_id):
     return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(4)) == 2
 
 
-def train(docs: DataFrame, labels: DataFrame, limit: int = 6000) -> Chain:
-    """Fitted on the driver on at most `limit` labelled documents that aren't held out."""
+def train(docs: DataFrame, labels: DataFrame, limit: int = 6000, longest: int = 400) -> Chain:
+    """Fitted on the driver on at most `limit` labelled documents that aren't held out; `longest` is as in fitted()."""
     rows = labelled(docs, labels, "quality", limit, ~held_out(F.col("doc_id"))).select("doc_id", "label", "text")
     got = sorted((r["doc_id"], r["label"], r["text"]) for r in rows.collect())
-    return fitted([t for _, _, t in got], np.array([y for _, y, _ in got], dtype=np.float64))
+    return fitted([t for _, _, t in got], np.array([y for _, y, _ in got], dtype=np.float64), longest=longest)
 
 
 def quality(docs: DataFrame, chain: Chain, text_col: str = "text", into: str = "score") -> DataFrame:
-    """docs with the probability, by its lines, that a whole text is of good quality. Null and empty texts are one empty line. No shuffle. Other columns pass through."""
+    """docs with the probability, by its lines, that a whole text is of good quality. Null and empty texts are one empty line. No shuffle. Other columns pass through; one that is called as `into` is replaced."""
 
     @F.pandas_udf("double")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:

@@ -87,7 +87,7 @@ def _offers(h: np.ndarray, doc: np.ndarray, best: np.ndarray, m: int) -> None:
         np.minimum.at(best, doc * m + slot, j + (r >> np.uint64(24)).astype(np.float64) * 2.0**-40)
 
 
-def signatures(sets: list[np.ndarray], m: int, block: int = 100_000) -> np.ndarray:
+def signatures(sets: list[np.ndarray], m: int, block: int = 10_000) -> np.ndarray:
     """The SuperMinHash signature of each set (infinite for empty ones), many sets at a time, and a set over `block` elements block by block.
 
     An element has a random permutation of the m slots and a random fraction for each of its places; place j offers

@@ -63,13 +63,13 @@ def _both(h: np.ndarray, other: np.ndarray, salt: int) -> np.ndarray:
     return (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) | np.uint64(1)
 
 
-def anchors(sizes: np.ndarray, text: bytes, length: int, q: int, block: int = 1 << 22):
+def anchors(sizes: np.ndarray, text: bytes, length: int, q: int, block: int = 1 << 17):
     """(hash, left, right, row, first window, windows) of each anchor of a chunk.
 
     A window is `length` bytes of one document; its anchor is the leftmost of its q-grams of least hash (of 40 bits), so windows of equal
     bytes have anchors of equal hash at equal places. Windows that follow each other mostly share one. Of what a window has beside its anchor, half or more is
     on one side; left and right are hashes of the anchor with so many bytes before and after it, 0 where the windows don't hold them. So equal windows have
-    equal lefts or equal rights. Texts are gone through block by block, long ones as well.
+    equal lefts or equal rights. Texts are gone through block by block, long ones as well, so that what is made on the way fits in a processor's cache.
     """
     end = np.cumsum(sizes)
     start, side, width = end - sizes, (length - q + 1) // 2, length - q + 1
@@ -109,11 +109,16 @@ def anchors(sizes: np.ndarray, text: bytes, length: int, q: int, block: int = 1
 
 def _gather(b: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
     """The bytes of many ranges, end to end."""
-    at = np.repeat(start - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
-    return b[at]
+    end = np.cumsum(size)
+    out = np.empty(int(end[-1]) if len(end) else 0, dtype=b.dtype)
+    for s in range(0, len(start), 2000):
+        x = slice(s, s + 2000)
+        first = int(end[s] - size[s])
+        out[first : end[x][-1]] = b[np.repeat(start[x] - (end[x] - size[x]), size[x]) + np.arange(first, int(end[x][-1]))]
+    return out
 
 
-def _same(b: np.ndarray, start: np.ndarray, size: np.ndarray, block: int = 20_000) -> np.ndarray:
+def _same(b: np.ndarray, start: np.ndarray, size: np.ndarray, block: int = 1000) -> np.ndarray:
     """For each range the first one of equal bytes; ranges are told apart by two hashes, and a match is confirmed byte by byte. Goes block by block, as what it makes on the way is many times the bytes."""
     n = len(start)
     weight = np.random.default_rng(3).integers(1, 1 << 63, size=(2, int(size.max(initial=1))), dtype=np.uint64) | np.uint64(1)

@@ -36,10 +36,13 @@ class CountFrame:
 
     @classmethod
     def from_triplets(cls, df: DataFrame, obs: DataFrame | None = None, var: DataFrame | None = None, n_cells: int | None = None, n_genes: int | None = None, cell_col: str = "cell_id", gene_col: str = "gene_id", value_col: str = "count") -> CountFrame:
-        """Wraps a long frame. Duplicate (cell, gene) rows are summed and zeros left out; missing obs or var are the ids from 0 on."""
+        """Wraps a long frame. Duplicate (cell, gene) rows are summed and zeros left out; missing obs or var are the ids from 0 to the largest in df.
+
+        Rows are dealt by cell once, and sums, totals and joins by cell that follow keep that dealing; a cell has at most as many sums as there are genes.
+        """
         spark = df.sparkSession
-        store = df.select(F.col(cell_col).cast("long").alias("cell_id"), F.col(gene_col).cast("int").alias("gene_id"), F.col(value_col).cast("double").alias("count"))
-        store = store.groupBy("cell_id", "gene_id").agg(F.sum("count").alias("count")).where("count <> 0")
+        raw = df.select(F.col(cell_col).cast("long").alias("cell_id"), F.col(gene_col).cast("int").alias("gene_id"), F.col(value_col).cast("double").alias("count"))
+        store = raw.repartition("cell_id").groupBy("cell_id", "gene_id").agg(F.sum("count").alias("count")).where("count <> 0")
 
         def ids(given: DataFrame | None, n: int | None, key: str) -> DataFrame:
             if given is not None and key in given.columns:
@@ -50,8 +53,9 @@ class CountFrame:
                     raise ValueError(f"{key}: {n} rows are needed")
                 return got
             if n is None:
-                n = (store.agg(F.max(key)).first()[0] or -1) + 1
-            return spark.range(n).select(F.col("id").cast(dict(store.dtypes)[key]).alias(key))
+                top = raw.agg(F.max(key)).first()[0]
+                n = 0 if top is None else top + 1
+            return spark.range(n).select(F.col("id").cast(dict(raw.dtypes)[key]).alias(key))
 
         return cls(store, ids(obs, n_cells, "cell_id"), ids(var, n_genes, "gene_id"))
 
@@ -157,14 +161,13 @@ class CountFrame:
     def matrix(self, transform: bool = True) -> DataFrame:
         """(cell_id, gene_id, count, value): value has the recorded transforms, in single precision as ties are decided by it.
 
-        Totals are an aggregate joined back by cell: both sides are dealt by cell_id once, and a cell of very many genes is pre-aggregated.
+        Totals are sums over a window of each cell, whose rows are as many as its genes at most and are together already, so no rows are shuffled for them.
         """
         x = self.kept()
         value = F.col("count")
         for op in self.ops if transform else ():
             if op[0] == "normalize_total":
-                totals = x.groupBy("cell_id").agg(F.sum("count").alias("_total"))
-                x = x.join(totals, "cell_id")
+                x = x.withColumn("_total", F.sum("count").over(Window.partitionBy("cell_id")))
                 value = (value * F.when(F.col("_total") > 0, F.lit(float(op[1])) / F.col("_total")).otherwise(F.lit(1.0))).cast("float").cast("double")
             elif op[0] == "log1p":
                 value = F.log1p(value).cast("float").cast("double")
@@ -234,7 +237,7 @@ class _Csr:
         self.indptr = np.append(0, np.cumsum(np.bincount(i, minlength=len(x))))
 
 
-def _local(spark: SparkSession, pdf: pd.DataFrame, schema: str | None = None) -> DataFrame:
+def _local(spark: SparkSession, pdf: pd.DataFrame, schema=None) -> DataFrame:
     before = spark.conf.get("spark.sql.execution.arrow.pyspark.enabled")
     spark.conf.set("spark.sql.execution.arrow.pyspark.enabled", "true")
     try:
@@ -243,6 +246,11 @@ def _local(spark: SparkSession, pdf: pd.DataFrame, schema: str | None = None) ->
         spark.conf.set("spark.sql.execution.arrow.pyspark.enabled", before)
 
 
+def held(df: DataFrame) -> DataFrame:
+    """df with its rows on the driver, for tables of a row per gene or per group and gene that several steps need; nothing stays cached on executors."""
+    return _local(df.sparkSession, df.toPandas(), df.schema)
+
+
 def _numbered(df: DataFrame, key: str) -> DataFrame:
     """Ids by place in df, for a table that is read in order; numbers are dense, unlike monotonically_increasing_id()."""
     at = df.withColumn("_m", F.monotonically_increasing_id())

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from cytofold.frame import CountFrame, _local
 from cytofold.functions.stats import bh, normal_p, t_p
@@ -24,19 +24,29 @@ def _labels(cf: CountFrame, groupby: str, groups: str | Sequence[str]) -> DataFr
     return labels if isinstance(groups, str) and groups == "all" else labels.where(F.col("group").isin(list(groups)))
 
 
-def moments(cf: CountFrame, labels: DataFrame) -> DataFrame:
-    """(group, gene_id, n1, n2, m1, m2, v1, v2) for every group and gene, the rest being the other labelled cells. One aggregate of the matrix."""
-    x = cf.matrix().join(labels, "cell_id").groupBy("group", "gene_id").agg(F.sum("value").alias("s"), F.sum(F.col("value") * F.col("value")).alias("q"))
+def _grid(cf: CountFrame, labels: DataFrame, sums: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """(group, gene_id, n1, n2, columns) for every group and gene, with zeros where sums (group, gene_id, columns) has no row."""
     sizes = labels.groupBy("group").agg(F.count(F.lit(1)).cast("double").alias("n1"))
-    total = x.groupBy("gene_id").agg(F.sum("s").alias("s_all"), F.sum("q").alias("q_all"))
     n_all = F.sum("n1").over(Window.partitionBy(F.lit(0)))
-    grid = sizes.withColumn("n2", n_all - F.col("n1")).crossJoin(cf.var.select("gene_id"))
-    t = grid.join(x, ["group", "gene_id"], "left").join(total, "gene_id", "left").na.fill(0.0, ["s", "q", "s_all", "q_all"])
+    grid = F.broadcast(sizes.withColumn("n2", n_all - F.col("n1")))
+    t = cf.var.select("gene_id").crossJoin(grid).join(sums, ["group", "gene_id"], "left")
+    return t.select("group", "gene_id", "n1", "n2", *[F.coalesce(c, F.lit(0.0)).alias(c) for c in columns])
+
+
+def _welch(t: DataFrame) -> DataFrame:
+    """t (group, gene_id, n1, n2, s, q, ...) with means and variances of the group and of the other labelled cells."""
+    gene = Window.partitionBy("gene_id")
+    t = t.withColumns({"s_all": F.sum("s").over(gene), "q_all": F.sum("q").over(gene)})
     mean = lambda s, n: F.when(n > 0, s / F.nullif(n, F.lit(0.0))).otherwise(0.0)
-    t = t.withColumn("m1", mean(F.col("s"), F.col("n1"))).withColumn("m2", mean(F.col("s_all") - F.col("s"), F.col("n2")))
+    t = t.withColumns({"m1": mean(F.col("s"), F.col("n1")), "m2": mean(F.col("s_all") - F.col("s"), F.col("n2"))})
     var = lambda q, n, m: F.when(n > 1, F.greatest(F.lit(0.0), (q - n * m * m) / F.nullif(n - 1, F.lit(0.0)))).otherwise(0.0)
-    t = t.withColumn("v1", var(F.col("q"), F.col("n1"), F.col("m1"))).withColumn("v2", var(F.col("q_all") - F.col("q"), F.col("n2"), F.col("m2")))
-    return t.select("group", "gene_id", "n1", "n2", "m1", "m2", "v1", "v2")
+    return t.withColumns({"v1": var(F.col("q"), F.col("n1"), F.col("m1")), "v2": var(F.col("q_all") - F.col("q"), F.col("n2"), F.col("m2"))}).drop("s", "q", "s_all", "q_all")
+
+
+def moments(cf: CountFrame, labels: DataFrame) -> DataFrame:
+    """(group, gene_id, n1, n2, m1, m2, v1, v2) for every group and gene, the rest being the other labelled cells. One aggregate of the matrix."""
+    x = cf.matrix().join(labels, "cell_id").groupBy("group", "gene_id").agg(F.sum("value").alias("s"), F.sum(F.col("value") * F.col("value")).alias("q"))
+    return _welch(_grid(cf, labels, x, ["s", "q"]))
 
 
 def fold_change(m1, m2):
@@ -44,42 +54,64 @@ def fold_change(m1, m2):
     return F.log2((F.expm1(m1) + 1e-9) / (F.expm1(m2) + 1e-9))
 
 
-def rank_sums(cf: CountFrame, labels: DataFrame) -> DataFrame:
-    """(group, gene_id, rank_sum, ties): sums of average ranks, and of t^3 - t over the tie blocks, zeros being one block in closed form.
+def _stretch(v: Column) -> Column:
+    """A whole number that never falls as the value rises: where its logarithm is, in steps of a 32nd."""
+    size = F.floor(F.log2(F.abs(v)) * 32).cast("int") + 100_000
+    return F.when(v > 0, size).when(v < 0, -size).otherwise(F.lit(0))
+
 
-    Non-zeros are first counted by gene, value and group, and the running count goes over the distinct values of a gene, so a window never holds a gene's cells one by one.
+def rank_table(cf: CountFrame, labels: DataFrame) -> DataFrame:
+    """(group, gene_id, n1, n2, rank_sum, ties, s, q): sums of average ranks, t^3 - t over the tie blocks of the gene, zeros being one block in closed form, and sums of values and squares. One pass over the matrix.
+
+    Non-zeros are dealt by gene and stretch of value, where they are counted and ranked, so that a window holds the distinct values of one stretch, not of a whole gene; what
+    all lower stretches of the gene hold is then added to a stretch's sums.
     """
-    x = cf.matrix().join(labels, "cell_id").groupBy("gene_id", "value", "group").agg(F.count(F.lit(1)).alias("k"))
-    values = x.groupBy("gene_id", "value").agg(F.sum("k").alias("t"), F.collect_list(F.struct("group", "k")).alias("by"))
-    upto = F.sum("t").over(Window.partitionBy("gene_id").orderBy("value"))
-    values = values.withColumn("mid", upto - F.col("t") + (F.col("t") + 1) / 2)
-    per = values.select("gene_id", "mid", F.explode("by").alias("b")).groupBy("gene_id", "b.group").agg(F.sum(F.col("mid") * F.col("b.k")).alias("r"), F.sum("b.k").alias("nnz"))
-    gene = values.groupBy("gene_id").agg(F.sum("t").alias("nz"), F.sum(F.col("t").cast("double") * F.col("t") * F.col("t") - F.col("t")).alias("tt"))
-    sizes = labels.groupBy("group").agg(F.count(F.lit(1)).cast("double").alias("n1"))
-    grid = sizes.withColumn("n", F.sum("n1").over(Window.partitionBy(F.lit(0)))).crossJoin(cf.var.select("gene_id"))
-    t = grid.join(per, ["group", "gene_id"], "left").join(gene, "gene_id", "left").na.fill(0.0, ["r", "tt"]).na.fill(0, ["nnz", "nz"])
-    zero = F.col("n") - F.col("nz")
-    rank_sum = F.col("r") + F.col("nnz") * zero + (F.col("n1") - F.col("nnz")) * (zero + 1) / 2
-    return t.select("group", "gene_id", "n1", (F.col("n") - F.col("n1")).alias("n2"), rank_sum.alias("rank_sum"), (F.col("tt") + zero * zero * zero - zero).alias("ties"))
+    x = cf.matrix().join(labels, "cell_id").select("gene_id", "value", "group", _stretch(F.col("value")).alias("b")).repartition("gene_id", "b")
+    counted = x.groupBy("gene_id", "b", "value", "group").agg(F.count(F.lit(1)).alias("k"))
+    values = counted.groupBy("gene_id", "b", "value").agg(F.sum("k").alias("t"), F.collect_list(F.struct("group", "k")).alias("by"))
+    upto = F.sum("t").over(Window.partitionBy("gene_id", "b").orderBy("value"))
+    rows = values.withColumn("mid", upto - F.col("t") + (F.col("t") + 1) / 2).select("gene_id", "b", "value", "mid", F.col("t").cast("double").alias("t"), F.posexplode("by").alias("at", "e"))
+    k = F.col("e.k")
+    per = rows.groupBy("gene_id", "b", F.col("e.group").alias("group")).agg(
+        F.sum(F.col("mid") * k).alias("r"),
+        F.sum(k).cast("double").alias("nnz"),
+        F.sum(F.when(F.col("at") == 0, F.col("t") * F.col("t") * F.col("t") - F.col("t")).otherwise(0.0)).alias("tt"),
+        F.sum(F.col("value") * k).alias("s"),
+        F.sum(F.col("value") * F.col("value") * k).alias("q"),
+    )
+    before = F.coalesce(F.sum("nnz").over(Window.partitionBy("gene_id").orderBy("b").rangeBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    per = per.withColumn("r", F.col("r") + before * F.col("nnz")).groupBy("group", "gene_id").agg(*[F.sum(c).alias(c) for c in ("r", "nnz", "tt", "s", "q")])
+    t = _grid(cf, labels, per, ["r", "nnz", "tt", "s", "q"])
+    gene = Window.partitionBy("gene_id")
+    zero = F.col("n1") + F.col("n2") - F.sum("nnz").over(gene)
+    t = t.withColumns({"zero": zero, "tt": F.sum("tt").over(gene)})
+    rank_sum = F.col("r") + F.col("nnz") * F.col("zero") + (F.col("n1") - F.col("nnz")) * (F.col("zero") + 1) / 2
+    ties = F.col("tt") + F.col("zero") * F.col("zero") * F.col("zero") - F.col("zero")
+    return t.select("group", "gene_id", "n1", "n2", rank_sum.alias("rank_sum"), ties.alias("ties"), "s", "q")
+
+
+def rank_sums(cf: CountFrame, labels: DataFrame) -> DataFrame:
+    """(group, gene_id, n1, n2, rank_sum, ties)."""
+    return rank_table(cf, labels).drop("s", "q")
 
 
 def scores(cf: CountFrame, groupby: str, method: str = "t-test", groups: str | Sequence[str] = "all", tie_correct: bool = False) -> DataFrame:
     """(group, gene_id, names, scores, logfoldchanges, pvals, pvals_adj) of every gene and group."""
     labels = _labels(cf, groupby, groups)
-    t = moments(cf, labels).withColumn("logfoldchanges", fold_change(F.col("m1"), F.col("m2")))
+    if method not in ("t-test", "wilcoxon"):
+        raise ValueError(f"unknown method {method!r}")
+    t = moments(cf, labels) if method == "t-test" else _welch(rank_table(cf, labels))
+    t = t.withColumn("logfoldchanges", fold_change(F.col("m1"), F.col("m2")))
     if method == "t-test":
         a, b = F.col("v1") / F.nullif(F.col("n1"), F.lit(0.0)), F.col("v2") / F.nullif(F.col("n2"), F.lit(0.0))
         t = t.withColumn("se2", a + b).withColumn("scores", (F.col("m1") - F.col("m2")) / F.nullif(F.sqrt("se2"), F.lit(0.0)))
         df = F.col("se2") ** 2 / F.nullif(a * a / F.nullif(F.col("n1") - 1, F.lit(0.0)) + b * b / F.nullif(F.col("n2") - 1, F.lit(0.0)), F.lit(0.0))
         t = t.withColumn("pvals", t_p(F.col("scores"), F.coalesce(df, F.lit(1.0))))
-    elif method == "wilcoxon":
-        t = t.join(rank_sums(cf, labels).select("group", "gene_id", "rank_sum", "ties"), ["group", "gene_id"])
+    else:
         n = F.col("n1") + F.col("n2")
         tie = 1 - F.col("ties") / F.nullif(n * n * n - n, F.lit(0.0)) if tie_correct else F.lit(1.0)
         t = t.withColumn("scores", (F.col("rank_sum") - F.col("n1") * (n + 1) / 2) / F.nullif(F.sqrt(tie * F.col("n1") * F.col("n2") * (n + 1) / 12), F.lit(0.0)))
         t = t.withColumn("pvals", normal_p(F.col("scores")))
-    else:
-        raise ValueError(f"unknown method {method!r}")
     fine = lambda c, other: F.when(F.isnan(c), other).otherwise(F.coalesce(F.col(c), F.lit(other)))
     t = t.withColumn("scores", fine("scores", 0.0)).withColumn("pvals", fine("pvals", 1.0))
     t = bh(t, by=["group"], order=["gene_id"])
@@ -98,13 +130,16 @@ def rank_genes_groups(cf: CountFrame, groupby: str, method: str = "t-test", grou
 
 
 def score_genes(cf: CountFrame, gene_list: Sequence[str], ctrl_size: int = 50, n_bins: int = 25, random_state: int = 0, score_name: str = "score", ctrl_as_ref: bool = True) -> CountFrame:
-    """Adds to obs the mean of a gene set less the mean of controls drawn from genes of like mean expression."""
+    """Adds to obs the mean of a gene set less the mean of controls drawn from genes of like mean expression, ctrl_size at most from each bin that the set is in.
+
+    With ctrl_as_ref, the draw is from all genes of a bin, and those of the set are left out afterwards; without, before.
+    """
     names = cf.var.select("gene_id", cf.name_column().alias("name"))
     means = gene_stats(cf).join(names, "gene_id").select("gene_id", "name", F.col("s1") / max(1, cf.n_obs)).toPandas()
     means.columns = ["gene_id", "name", "mean"]
     means = means.sort_values("gene_id", ignore_index=True)
-    wanted = set(gene_list)
-    own = means["name"].isin(wanted).to_numpy()
+    # of genes of one name the last counts
+    own = (means["name"].isin(set(gene_list)) & ~means["name"].duplicated(keep="last")).to_numpy()
     if not own.any():
         raise ValueError("none of the genes is in var")
     width = round(len(means) / (n_bins - 1))
@@ -113,10 +148,11 @@ def score_genes(cf: CountFrame, gene_list: Sequence[str], ctrl_size: int = 50, n
     bins = (means["mean"].rank(method="min") // width).to_numpy()
     draw, control = np.random.RandomState(random_state), set()
     for b in np.unique(bins[own]):
-        pool = means["gene_id"].to_numpy()[(bins == b) & (~own if ctrl_as_ref else True)]
-        draw.shuffle(pool)
-        control.update(pool[:ctrl_size].tolist())
+        pool = means["gene_id"].to_numpy()[(bins == b) & (ctrl_as_ref | ~own)]
+        control.update((pool if len(pool) <= ctrl_size else pool[draw.choice(len(pool), ctrl_size, replace=False)]).tolist())
     control -= set(means["gene_id"][own].tolist())
+    if not control:
+        raise RuntimeError("no gene is left to be a control")
     return score_with(cf, means["gene_id"][own].tolist(), sorted(control), score_name)
 
 

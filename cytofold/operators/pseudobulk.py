@@ -67,11 +67,13 @@ def size_factors(counts: DataFrame, kind: str = "ratio") -> DataFrame:
 
     ratio uses genes that every sample has; poscounts takes the mean over the samples that have it, as of all.
     """
-    n = counts.select("pseudobulk").distinct().count()
-    some = counts.where("count > 0")
-    means = some.groupBy("gene_id").agg(F.sum(F.log("count")).alias("s"), F.count(F.lit(1)).alias("k"))
-    means = means.where(F.col("k") == n).select("gene_id", (F.col("s") / n).alias("m")) if kind == "ratio" else means.select("gene_id", (F.col("s") / n).alias("m"))
-    sf = some.join(means, "gene_id").groupBy("pseudobulk").agg(F.exp(F.percentile(F.log("count") - F.col("m"), F.lit(0.5))).alias("size_factor"))
+    n = counts.agg(F.count_distinct("pseudobulk").alias("n"))
+    log = F.log("count")
+    # a gene's samples, which are few, go along with its mean, so that counts aren't joined with themselves
+    genes = counts.where("count > 0").groupBy("gene_id").agg(F.sum(log).alias("s"), F.count(F.lit(1)).alias("k"), F.collect_list(F.struct("pseudobulk", log.alias("log"))).alias("own")).crossJoin(F.broadcast(n))
+    genes = genes.where("k = n") if kind == "ratio" else genes
+    ratios = genes.select((F.col("s") / F.col("n")).alias("m"), F.explode("own").alias("x")).select(F.col("x.pseudobulk").alias("pseudobulk"), (F.col("x.log") - F.col("m")).alias("r"))
+    sf = ratios.groupBy("pseudobulk").agg(F.exp(F.percentile("r", F.lit(0.5))).alias("size_factor"))
     if kind == "poscounts":
         mean = sf.agg(F.exp(F.avg(F.log("size_factor"))).alias("g"))
         sf = sf.crossJoin(F.broadcast(mean)).select("pseudobulk", (F.col("size_factor") / F.col("g")).alias("size_factor"))

@@ -1,7 +1,12 @@
-"""Readers of count matrices: Parquet datasets, Matrix Market folders, and HDF5 files where h5py is installed."""
+"""Readers of count matrices: Parquet datasets, Matrix Market folders, and HDF5 files.
+
+HDF5 files are opened by h5py if it is installed, or by whatever `opener` names as "module:function": it is called with a path and "r" and gives a
+context with groups (keys(), in, [name], attrs) and arrays (dtype, slices), and tasks have to be able to import it.
+"""
 
 from __future__ import annotations
 
+import importlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -55,13 +60,25 @@ def read_10x_mtx(spark: SparkSession, path: str, gex_only: bool = True) -> Count
     return cf.filter_genes("feature_types = 'Gene Expression'") if gex_only else cf
 
 
+H5PY = "h5py:File"
+
+
+def _open(opener: str, path: str):
+    module, name = opener.split(":")
+    return getattr(importlib.import_module(module), name)(path, "r")
+
+
+def _is_array(x) -> bool:
+    return hasattr(x, "dtype")
+
+
 class _Cells(InputPartition):
     def __init__(self, first: int, last: int):
         self.first, self.last = first, last
 
 
 class CompressedRows(DataSource):
-    """Non-zeros of a compressed sparse matrix in an HDF5 file, a range of its rows a partition: options path, group, rows_per_partition."""
+    """Non-zeros of a compressed sparse matrix in an HDF5 file, a range of its rows a partition: options path, group, rows_per_partition, opener."""
 
     @classmethod
     def name(cls) -> str:
@@ -76,20 +93,17 @@ class CompressedRows(DataSource):
 
 class _Reader(DataSourceReader):
     def __init__(self, options: dict):
-        self.path, self.group, self.step = options["path"], options["group"], int(options.get("rows_per_partition", 20_000))
+        self.path, self.group, self.step, self.opener = options["path"], options["group"], int(options.get("rows_per_partition", 20_000)), options.get("opener", H5PY)
 
     def partitions(self) -> list[_Cells]:
-        import h5py
-
-        with h5py.File(self.path, "r") as f:
+        with _open(self.opener, self.path) as f:
             n = len(f[self.group]["indptr"]) - 1
         return [_Cells(i, min(n, i + self.step)) for i in range(0, n, self.step)]
 
     def read(self, partition: _Cells) -> Iterator:
-        import h5py
         import pyarrow as pa
 
-        with h5py.File(self.path, "r") as f:
+        with _open(self.opener, self.path) as f:
             g = f[self.group]
             at = g["indptr"][partition.first : partition.last + 1]
             for lo in range(partition.first, partition.last, 2000):
@@ -99,30 +113,28 @@ class _Reader(DataSourceReader):
                 yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array(g["indices"][a:b].astype(np.int64)), pa.array(g["data"][a:b].astype(np.float64))], names=["major", "minor", "count"])
 
 
-def _h5(spark: SparkSession, path: str, group: str) -> DataFrame:
+def _h5(spark: SparkSession, path: str, group: str, opener: str) -> DataFrame:
     spark.dataSource.register(CompressedRows)
-    return spark.read.format("h5_compressed_rows").option("path", path).option("group", group).load()
+    return spark.read.format("h5_compressed_rows").options(path=path, group=group, opener=opener).load()
 
 
 def _text(x) -> list[str]:
     return [v.decode() if isinstance(v, bytes) else str(v) for v in x]
 
 
-def read_10x_h5(spark: SparkSession, path: str, gex_only: bool = True, backed: str | None = None) -> CountFrame:
+def read_10x_h5(spark: SparkSession, path: str, gex_only: bool = True, backed: str | None = None, opener: str = H5PY) -> CountFrame:
     """A 10x file of layout 3 (matrix/features) or 2 (its first genome). With `backed`, counts go to a Parquet dataset there first and are read from it."""
-    import h5py
-
-    with h5py.File(path, "r") as f:
+    with _open(opener, path) as f:
         if "matrix" in f:
-            group, ft = "matrix", f["matrix/features"]
+            group, ft = "matrix", f["matrix"]["features"]
             ids, names, kinds = _text(ft["id"][:]), _text(ft["name"][:]), _text(ft["feature_type"][:]) if "feature_type" in ft else None
         else:
-            group = next(iter(f))
+            group = next(iter(f.keys()))
             ids, names, kinds = _text(f[group]["genes"][:]), _text(f[group]["gene_names"][:]), None
         cells = _text(f[group]["barcodes"][:])
     obs = _local(spark, pd.DataFrame({"cell_id": np.arange(len(cells)), "barcode": cells}), "cell_id long, barcode string")
     var = _local(spark, pd.DataFrame({"gene_id": np.arange(len(ids), dtype=np.int32), "gene_ids": ids, "gene_name": names, "feature_types": kinds or ["Gene Expression"] * len(ids)}), "gene_id int, gene_ids string, gene_name string, feature_types string")
-    cf = CountFrame.from_triplets(_h5(spark, path, group).withColumnsRenamed({"major": "cell_id", "minor": "gene_id"}), obs, var)
+    cf = CountFrame.from_triplets(_h5(spark, path, group, opener).withColumnsRenamed({"major": "cell_id", "minor": "gene_id"}), obs, var)
     if gex_only:
         cf = cf.filter_genes("feature_types = 'Gene Expression'")
     if backed:
@@ -131,42 +143,49 @@ def read_10x_h5(spark: SparkSession, path: str, gex_only: bool = True, backed: s
     return cf
 
 
-def convert_h5_to_parquet(spark: SparkSession, path: str, out: str) -> CountFrame:
-    return read_10x_h5(spark, path, gex_only=False, backed=out)
-
+def convert_h5_to_parquet(spark: SparkSession, path: str, out: str, opener: str = H5PY) -> CountFrame:
+    return read_10x_h5(spark, path, gex_only=False, backed=out, opener=opener)
 
-def read_h5ad(spark: SparkSession, path: str) -> CountFrame:
-    """X as compressed rows, compressed columns or dense, with all columns of obs and var; categories become strings and missing ones 'nan'."""
-    import h5py
 
-    def series(x):
-        if isinstance(x, h5py.Group) and "categories" in x:
-            names = np.array([*_text(x["categories"][:]), "nan"], dtype=object)
-            return names[x["codes"][:]]
+def _column(x) -> np.ndarray | None:
+    """A column of obs or var; None for an encoding that isn't known, such as numbers with a mask."""
+    if _is_array(x):
         v = x[:]
-        return np.array(_text(v), dtype=object) if v.dtype.kind in "SO" else v
+        return np.array(_text(v), dtype=object) if v.dtype.kind in "SUO" else v
+    if "categories" in x and "codes" in x:
+        return np.array([*_text(x["categories"][:]), "nan"], dtype=object)[x["codes"][:]]
+    return None
+
+
+def _annotations(g) -> tuple[np.ndarray, dict[str, np.ndarray]]:
+    """(index, columns) of a group of columns, or of one array of records as older files have."""
+    if _is_array(g):
+        v = g[:]
+        cols = {n: np.array(_text(v[n]), dtype=object) if v[n].dtype.kind in "SUO" else v[n] for n in v.dtype.names}
+        return cols.pop("index") if "index" in cols else cols.pop("_index"), cols
+    key = _text([g.attrs.get("_index", "_index")])[0]
+    names = [n for n in _text(g.attrs.get("column-order", list(g.keys()))) if n != key]
+    found = {n: _column(g[n]) for n in names}
+    return _column(g[key]), {n: v for n, v in found.items() if v is not None}
+
+
+def read_h5ad(spark: SparkSession, path: str, opener: str = H5PY) -> CountFrame:
+    """X as compressed rows, compressed columns or dense, with the columns of obs and var; categories become strings and missing ones 'nan', and columns of unknown encodings are left out."""
 
     def frame(g, key):
-        if isinstance(g, h5py.Dataset):
-            v = g[:]
-            cols = {n: np.array(_text(v[n]), dtype=object) if v[n].dtype.kind in "SO" else v[n] for n in v.dtype.names}
-            index = cols.pop("index", cols.pop("_index", None))
-        else:
-            index = series(g[g.attrs.get("_index", "_index")])
-            cols = {n: series(g[n]) for n in g.attrs.get("column-order", [])}
+        index, cols = _annotations(g)
         out = pd.DataFrame({key: np.arange(len(index)), **{"barcode" if key == "cell_id" else "gene_name": index}, **cols})
         return _local(spark, out.astype({key: "int64" if key == "cell_id" else "int32"}))
 
-    with h5py.File(path, "r") as f:
+    with _open(opener, path) as f:
         obs, var = frame(f["obs"], "cell_id"), frame(f["var"], "gene_id")
         x = f["X"]
-        kind = "dense" if isinstance(x, h5py.Dataset) else x.attrs.get("encoding-type", x.attrs.get("h5sparse_format", "csr_matrix"))
-        kind = kind.decode() if isinstance(kind, bytes) else kind
+        kind = "dense" if _is_array(x) else _text([x.attrs.get("encoding-type", x.attrs.get("h5sparse_format", "csr_matrix"))])[0]
         dense = x[:] if kind == "dense" else None
     if dense is not None:
         i, j = np.nonzero(dense)
         long = _local(spark, pd.DataFrame({"cell_id": i, "gene_id": j, "count": dense[i, j].astype(float)}), "cell_id long, gene_id long, count double")
     else:
-        rows = _h5(spark, path, "X")
+        rows = _h5(spark, path, "X", opener)
         long = rows.withColumnsRenamed({"major": "cell_id", "minor": "gene_id"} if kind.startswith("csr") else {"major": "gene_id", "minor": "cell_id"})
     return CountFrame.from_triplets(long, obs, var)

@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from cytofold.frame import CountFrame, _local
+from cytofold.frame import CountFrame
 from cytofold.functions.stats import bh
 from cytofold.operators import community, deseq, doublets, embedding, hvg, markers, neighbors, pca, pseudobulk, qc
-from cytofold.plans.domain import as_frame, customers_by_supplier as m2, orders_by_part as m1, points, r, table
+from cytofold.plans.domain import as_frame, customers_by_supplier as m2, orders_by_part as m1, points, r, shared_dir, table
 from cytofold.sources.files import read_parquet
 
 Q = dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]
@@ -160,18 +161,27 @@ def hvg_seurat_v3(spark, sf):
 def gram_raw(spark, sf):
     cf = m2(spark, sf)
     genes = [row[0] for row in cf.var.select("gene_id").orderBy("gene_id").collect()]
-    g, _ = pca.gram(pca.cell_rows(cf, genes), len(genes), lambda x, at: x)
-    i, j = np.nonzero(np.triu(g))
-    return _local(spark, pd.DataFrame({"i": np.array(genes)[i], "j": np.array(genes)[j], "g": g[i, j]}), "i int, j int, g double")
+    d, ids = len(genes), np.array(genes, dtype=np.int32)
+
+    def pairs(batches):
+        for b in batches:
+            for first, g in zip(b["band"], b["g"], strict=True):
+                x = np.triu(np.frombuffer(g).reshape(-1, d), k=first)
+                i, j = np.nonzero(x)
+                yield pd.DataFrame({"i": ids[i + first], "j": ids[j], "g": x[i, j]})
+
+    return pca.gram_bands(pca.cell_rows(cf, genes), d, lambda x, at: x).mapInPandas(pairs, "i int, j int, g double")
 
 
 @query(f"WITH {X2}, {V}, n AS (SELECT count(*)::DOUBLE AS n FROM customer), p AS (SELECT gene_id, sum(v) / any_value(n) AS mu, sqrt(greatest(0, (sum(v * v) - any_value(n) * (sum(v) / any_value(n)) * (sum(v) / any_value(n))) / (any_value(n) - 1))) AS sd FROM v, n GROUP BY 1) SELECT cell_id, v.gene_id::INT AS gene_id, round(least(2.0::DOUBLE, greatest(-2.0::DOUBLE, (v - mu) / CASE WHEN sd = 0 THEN 1 ELSE sd END)) - least(2.0::DOUBLE, greatest(-2.0::DOUBLE, -mu / CASE WHEN sd = 0 THEN 1 ELSE sd END)), 4) AS delta FROM v JOIN p ON p.gene_id = v.gene_id")
 def scale_delta(spark, sf):
     cf = logged(m2(spark, sf))
-    x = cf.matrix().join(F.broadcast(pca.scale_params(cf)), "gene_id")
-    sd = F.when(F.col("std") == 0, 1.0).otherwise(F.col("std"))
-    clip = lambda c: F.least(F.lit(2.0), F.greatest(F.lit(-2.0), c))
-    return x.select("cell_id", "gene_id", r(clip((F.col("value") - F.col("mean")) / sd) - clip(-F.col("mean") / sd), 4).alias("delta"))
+
+    @F.pandas_udf("double")
+    def delta(x: pd.Series, mean: pd.Series, std: pd.Series) -> pd.Series:
+        return pd.Series(pca.scaled_delta(x.to_numpy(), mean.to_numpy(), std.to_numpy(), 2.0))
+
+    return cf.matrix().join(pca.scale_params(cf), "gene_id").select("cell_id", "gene_id", r(delta("value", "mean", "std"), 4).alias("delta"))
 
 
 @query()
@@ -190,10 +200,10 @@ def knn_exact(spark, sf):
     return neighbors.knn_blocks(p, p, 10, True).select("i", "j", r("dist", 5).alias("dist"), F.col("rank").cast("long").alias("rank"))
 
 
-@query(_KNN.format(on="a.vec_id % 5 = 0 AND b.vec_id % 5 <> 0", k=5))
+@query(_KNN.format(on="a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id", k=5))
 def knn_query(spark, sf):
     p = points(spark, sf)
-    return neighbors.knn_query(p.where("id % 5 = 0"), p.where("id % 5 <> 0"), 5).select("i", "j", r("dist", 5).alias("dist"), F.col("rank").cast("long").alias("rank"))
+    return neighbors.knn_query(p.where("id % 100 = 0"), p, 5, others=True).select("i", "j", r("dist", 5).alias("dist"), F.col("rank").cast("long").alias("rank"))
 
 
 @query()
@@ -251,10 +261,10 @@ def relabel_by_size(spark, sf):
     return community.relabel_by_size(m1(spark, sf).obs.select("cell_id", F.col("priority").alias("label")))
 
 
-@query("WITH k AS (" + _KNN.format(on="a.vec_id % 5 = 0 AND b.vec_id % 5 <> 0", k=5) + "), c AS (SELECT i, label, count(*) AS n FROM k JOIN embeddings ON vec_id = j GROUP BY 1, 2) SELECT i, label, n / 5 AS confidence FROM (SELECT *, row_number() OVER (PARTITION BY i ORDER BY n DESC, label::VARCHAR) AS q FROM c) WHERE q = 1")
+@query("WITH k AS (" + _KNN.format(on="a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id", k=5) + "), c AS (SELECT i, label, count(*) AS n FROM k JOIN embeddings ON vec_id = j GROUP BY 1, 2) SELECT i, label, n / 5 AS confidence FROM (SELECT *, row_number() OVER (PARTITION BY i ORDER BY n DESC, label::VARCHAR) AS q FROM c) WHERE q = 1")
 def majority_vote(spark, sf):
     p = points(spark, sf)
-    knn = neighbors.knn_query(p.where("id % 5 = 0"), p.where("id % 5 <> 0"), 5)
+    knn = neighbors.knn_query(p.where("id % 100 = 0"), p, 5, others=True)
     return embedding.majority_vote(knn, p.select(F.col("id").alias("cell_id"), "label")).withColumn("label", F.col("label").cast("int"))
 
 
@@ -267,8 +277,8 @@ def harmony(spark, sf):
 
 @query()
 def ingest(spark, sf):
-    cf = m2(spark, sf)
-    ref, query_ = (pca_ready(cf.filter_cells(c)) for c in ("cell_id % 5 <> 0", "cell_id % 5 = 0"))
+    ref = pca_ready(m2(spark, sf))
+    query_ = ref.filter_cells("cell_id % 100 = 0")
     pca.pca(ref, n_comps=10, use_highly_variable=False)
     return embedding.ingest(query_, ref, ["segment"], ("pca",), 10).obs.select("cell_id", "segment", "segment_confidence")
 
@@ -412,10 +422,7 @@ def scrublet(spark, sf):
 
 @query(f"WITH {X1}, k AS (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) - 1 AS i FROM orders WHERE o_orderstatus = 'F') SELECT i AS cell_id, gene_id::INT AS gene_id, c AS count FROM x JOIN k ON o_orderkey = cell_id")
 def write_read_roundtrip(spark, sf):
-    import tempfile
-
-    base = (spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="cytofold-")).rstrip("/")
-    path = f"{base}/dataset"
+    path = f"{shared_dir(spark)}/dataset-{uuid.uuid4().hex}"
     m1(spark, sf).filter_cells("status = 'F'").write_parquet(path)
     return read_parquet(spark, path).kept()
 

@@ -144,6 +144,25 @@ def _same(b: np.ndarray, start: np.ndarray, size: np.ndarray, block: int = 1000)
     return first
 
 
+def squeezed(shard: list[tuple], length: int) -> list[tuple]:
+    """The same of a part of a shard, in which of regions that are equal only the earliest is left; the others are their chunks' copies."""
+    chunk = np.concatenate([np.full(len(x[1]), x[0], dtype=np.int64) for x in shard])
+    doc, row, lo, n, h = (np.concatenate([x[k] for x in shard]) for k in (1, 2, 3, 4, 6))
+    b = np.frombuffer(b"".join(x[5] for x in shard), dtype=np.uint8)
+    size = n + length - 1
+    start = np.cumsum(size) - size
+    order = np.lexsort((lo, row, chunk, doc))
+    kept = np.zeros(len(n), dtype=bool)
+    kept[order] = _same(_gather(b, start[order], size[order]), np.cumsum(size[order]) - size[order], size[order]) == np.arange(len(n))
+    out, at = [], 0
+    for x in shard:
+        own = np.arange(at, at + len(x[1]))
+        at += len(own)
+        y, z = own[kept[own]], own[~kept[own]]
+        out.append((x[0], doc[y], row[y], lo[y], n[y], _gather(b, start[y], size[y]).tobytes(), h[y], np.concatenate([x[7], np.stack([row[z], lo[z], lo[z] + size[z]])], axis=1)))
+    return out
+
+
 def repeated(shard: list[tuple], length: int, folder: str, budget: int) -> Iterator[tuple[int, np.ndarray]]:
     """(chunk, rows of (row, lo, hi)) of what goes from a shard's regions.
 
@@ -205,7 +224,7 @@ def repeated(shard: list[tuple], length: int, folder: str, budget: int) -> Itera
             yield int(x[0]), some
 
 
-def remove_repeats(docs: DataFrame, length: int = 100, q: int = 24, chunk: int = 4 << 20, shard: int = 6 << 20, budget: int = 256 << 20) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = 100, q: int = 24, chunk: int = 4 << 20, shard: int = 6 << 20, budget: int = 256 << 20, fan: int = 1000) -> DataFrame:
     """(doc_id, n_bytes, spans, kept) of each row: the UTF-8 bytes less every byte of a string of `length` bytes that also starts earlier.
 
     Earlier: in a document of smaller id (null is the largest; rows of one id go by their place in the input), or before it in the same one. spans holds the
@@ -213,7 +232,8 @@ def remove_repeats(docs: DataFrame, length: int = 100, q: int = 24, chunk: int =
 
     1. Texts are gathered into compressed chunks, which are what is stored and joined. 2. Each window of `length` bytes is given to
     an anchor, its q-gram of least hash; hashes of a chunk's anchors with what is on either side, each twice at most, are dealt to buckets, which answer the chunks with those that occur twice
-    anywhere. 3. Only the regions of such anchors are dealt to shards, by anchor hash, so all copies of a window meet; of regions that are equal, a chunk sends one. Each shard sorts
+    anywhere. 3. Only the regions of such anchors are dealt to shards, by anchor hash, so all copies of a window meet; of regions that are equal, a chunk sends one, and
+    where there are over `fan` chunks, parts of a shard of so many chunks leave one before they meet, so that what a shard gets of a passage that very many documents hold is one region for each part. Each shard sorts
     suffixes by induced sorting and says what goes. 4. Chunks are joined with that. Shards and buckets are as many as the bytes need.
 
     Null or empty text: no bytes. Texts shorter than `length` stay whole. No rows: no rows. Other columns are left out.
@@ -275,6 +295,14 @@ def remove_repeats(docs: DataFrame, length: int = 100, q: int = 24, chunk: int =
     told = known.groupBy("chunk").agg(F.collect_list("h").alias("hs"))
     regions = stored.select("chunk", "blob").join(told, "chunk").mapInPandas(cut, "shard long, chunk long, blob binary")
 
+    if (parts := -(-stored.count() // fan)) > 1:
+
+        def squeeze(g: pd.DataFrame) -> pd.DataFrame:
+            got = squeezed([(c, *_unpack(blob)) for c, blob in zip(g["chunk"].tolist(), g["blob"], strict=True)], length)
+            return pd.DataFrame({"shard": g["shard"].iloc[0], "chunk": [x[0] for x in got], "blob": [_pack(*x[1:]) for x in got]})
+
+        regions = regions.withColumn("part", F.pmod(F.xxhash64("chunk"), F.lit(parts))).groupBy("shard", "part").applyInPandas(squeeze, "shard long, chunk long, blob binary")
+
     def sort(g: pd.DataFrame) -> pd.DataFrame:
         got = [(c, *_unpack(blob)) for c, blob in zip(g["chunk"].tolist(), g["blob"], strict=True)]
         return pd.DataFrame([(c, _pack(x)) for c, x in repeated(got, length, folder, budget)], columns=["chunk", "gone"])

@@ -68,10 +68,10 @@ def test_removed_bytes_of_the_whole_table(spark, docs):
 
 
 def test_removed_bytes_when_queues_spill_and_chunks_are_small(spark, docs, tmp_path, monkeypatch):
-    """The same with queues of a few kilobytes, which go to disk, several chunks and shards, and blocks shorter than a document."""
+    """The same with queues of a few kilobytes, which go to disk, several chunks and shards, and parts of shards that leave one of equal regions."""
     want = _removed([tuple(r) for r in docs.select("doc_id", "text").collect()])
     monkeypatch.setattr(suffix_dedup, "new_dir", lambda spark, tag: str(tmp_path / tag))
-    out = suffix_dedup.remove_repeats(docs, chunk=1 << 15, shard=1 << 16, budget=1 << 13)
+    out = suffix_dedup.remove_repeats(docs, chunk=1 << 15, shard=1 << 16, budget=1 << 13, fan=5)
     got = {r["doc_id"]: (r["n_bytes"] - r["left"], r["h"]) for r in out.select("doc_id", "n_bytes", F.octet_length("kept").alias("left"), F.sha2("kept", 256).alias("h")).collect()}
     assert got == {d: (n, h) for d, (n, _, h) in want.items()}
     assert (tmp_path / "suffix-spool").exists()

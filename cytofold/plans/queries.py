@@ -9,7 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from cytofold.frame import CountFrame
+from cytofold.frame import CountFrame, _local
 from cytofold.functions.stats import bh
 from cytofold.operators import community, deseq, doublets, embedding, hvg, markers, neighbors, pca, pseudobulk, qc
 from cytofold.plans.domain import as_frame, customers_by_supplier as m2, orders_by_part as m1, points, r, shared_dir, table
@@ -136,17 +136,26 @@ def hvg_seurat_topn(spark, sf):
     return hvg.highly_variable_genes(logged(m2(spark, sf)), n_top_genes=25, subset=True).var.select("gene_id")
 
 
-@query(
+_CELL_RANGER = (
     _DISP.format(x="v")
     + """ e AS (SELECT gene_id, m0 AS m, var / m0 AS d FROM d), c AS (SELECT quantile_cont(m, [0.1, 0.15, 0.2, 0.25, 0.3, 0.35, 0.4, 0.45, 0.5, 0.55, 0.6, 0.65, 0.7, 0.75, 0.8, 0.85, 0.9, 0.95, 1.0]) AS cuts FROM e),
-k AS (SELECT e.*, len(list_filter(cuts, lambda t: t < m)) AS bin FROM e, c), a AS (SELECT bin, median(d) AS md FROM k GROUP BY 1), b AS (SELECT k.bin, median(abs(d - md)) / 0.6744897501960817 AS mad FROM k JOIN a ON a.bin = k.bin GROUP BY 1)
-SELECT gene_id::INT AS gene_id, round(m, 5) AS means, round(d, 5) AS dispersions, round(CASE WHEN mad > 0 THEN (d - md) / mad END, 4) AS dispersions_norm FROM k JOIN a ON a.bin = k.bin JOIN b ON b.bin = k.bin"""
+k AS (SELECT e.*, len(list_filter(cuts, lambda t: t < m)) AS bin FROM e, c), a AS (SELECT bin, median(d) AS md FROM k GROUP BY 1), b AS (SELECT k.bin, median(abs(d - md)) / 0.6744897501960817 AS mad FROM k JOIN a ON a.bin = k.bin GROUP BY 1),
+z AS (SELECT gene_id, m, d, CASE WHEN mad > 0 THEN (d - md) / mad END AS dn FROM k JOIN a ON a.bin = k.bin JOIN b ON b.bin = k.bin) """
 )
+
+
+@query(_CELL_RANGER + "SELECT gene_id::INT AS gene_id, round(m, 5) AS means, round(d, 5) AS dispersions, round(dn, 4) AS dispersions_norm FROM z")
 def hvg_cell_ranger(spark, sf):
     cf = hvg.highly_variable_genes(logged(m2(spark, sf)), flavor="cell_ranger", n_top_genes=25)
     return cf.var.select("gene_id", r("means", 5).alias("means"), r("dispersions", 5).alias("dispersions"), r("dispersions_norm", 4).alias("dispersions_norm"))
 
 
+@query(_CELL_RANGER + "SELECT gene_id::INT AS gene_id FROM (SELECT gene_id, rank() OVER (ORDER BY round(dn, 9) DESC NULLS LAST) AS k FROM z WHERE dn IS NOT NULL) WHERE k <= 25")
+def hvg_cell_ranger_topn(spark, sf):
+    """In a bin of two genes both are at the same distance from the median, so many tie: the SQL rounds what it ranks by."""
+    return hvg.highly_variable_genes(logged(m2(spark, sf)), flavor="cell_ranger", n_top_genes=25, subset=True).var.select("gene_id")
+
+
 @query()
 def hvg_seurat_v3(spark, sf):
     cf = m2(spark, sf)
@@ -189,6 +198,13 @@ def pca_embedding(spark, sf):
     return pca.pca(qc.scale(logged(m2(spark, sf))), n_comps=10, use_highly_variable=False).embedding("X_pca")
 
 
+@query(f"WITH {X2}, {V}, n AS (SELECT count(*)::DOUBLE AS n FROM customer), p AS (SELECT gene_id, sum(v) / any_value(n) AS mu, sqrt(greatest(0, (sum(v * v) - any_value(n) * (sum(v) / any_value(n)) * (sum(v) / any_value(n))) / (any_value(n) - 1))) AS sd FROM v, n GROUP BY 1), d AS (SELECT v.gene_id, least(10.0::DOUBLE, greatest(-10.0::DOUBLE, (v - mu) / CASE WHEN sd = 0 THEN 1 ELSE sd END)) - least(10.0::DOUBLE, greatest(-10.0::DOUBLE, -mu / CASE WHEN sd = 0 THEN 1 ELSE sd END)) AS d FROM v JOIN p ON p.gene_id = v.gene_id), g AS (SELECT (sum(d * d) - sum(d) * sum(d) / any_value(n)) / (any_value(n) - 1) AS s FROM d, n GROUP BY gene_id) SELECT round(sum(s), 3) AS total FROM g")
+def pca_total_variance(spark, sf):
+    """The sum of all components' variances: what the shares are of."""
+    found = pca.pca(qc.scale(logged(m2(spark, sf))), n_comps=5, use_highly_variable=False).uns["pca"]
+    return _local(spark, pd.DataFrame({"total": [round(float(found["variance"][0] / found["variance_ratio"][0]), 3)]}), "total double")
+
+
 # --- neighbours and communities ---------------------------------------------------------------------------------
 
 _KNN = "SELECT i, j, round(d, 5) AS dist, k AS rank FROM (SELECT a.vec_id AS i, b.vec_id AS j, sqrt(list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda z: (z[1]::DOUBLE - z[2]::DOUBLE) * (z[1]::DOUBLE - z[2]::DOUBLE)))) AS d, row_number() OVER (PARTITION BY a.vec_id ORDER BY d, b.vec_id) AS k FROM embeddings a JOIN embeddings b ON {on}) WHERE k <= {k}"
@@ -206,10 +222,11 @@ def knn_query(spark, sf):
     return neighbors.knn_query(p.where("id % 100 = 0"), p, 5, others=True).select("i", "j", r("dist", 5).alias("dist"), F.col("rank").cast("long").alias("rank"))
 
 
-@query()
+@query(_KNN.format(on="a.vec_id <> b.vec_id", k=10))
 def knn_ivf(spark, sf):
+    """By lists; on tables of up to 10,000 vectors there are no more lists than probes, so that the result is exact."""
     p = points(spark, sf)
-    return neighbors.knn_lists(p, p, 10, True, p.count())
+    return neighbors.knn_lists(p, p, 10, True, p.count()).select("i", "j", r("dist", 5).alias("dist"), F.col("rank").cast("long").alias("rank"))
 
 
 @query()
@@ -331,6 +348,12 @@ def rank_genes_groups(spark, sf):
     return markers.rank_genes_groups(logged(m2(spark, sf)), "segment", "wilcoxon", n_genes=20, tie_correct=True).select("group", "gene_id", "names", r("scores").alias("scores"), r("pvals_adj").alias("pvals_adj"), "rank")
 
 
+@query(_RANKS.format(v=V + ",", t="v") + """, c AS (SELECT s.g, s.gene_id, (rank_sum - n1 * (n + 1) / 2) / nullif(sqrt((1 - ties / (n * n * n - n)) * n1 * (n - n1) * (n + 1) / 12), 0) AS z FROM s JOIN w ON w.g = s.g JOIN ties ON ties.gene_id = s.gene_id), o AS (SELECT g, gene_id, coalesce(z, 0) AS z, row_number() OVER (PARTITION BY g ORDER BY coalesce(z, 0) DESC, gene_id) AS k FROM c)
+SELECT g AS "group", s_name AS names, round(z, 6) AS scores, k AS rank FROM o JOIN supplier ON s_suppkey = gene_id WHERE k <= 20""")
+def rank_genes_order(spark, sf):
+    return markers.rank_genes_groups(logged(m2(spark, sf)), "segment", "wilcoxon", n_genes=20, tie_correct=True).select("group", "names", r("scores").alias("scores"), F.col("rank").cast("long").alias("rank"))
+
+
 @query("WITH p AS (SELECT o_orderpriority AS g, o_orderkey AS k, (o_orderkey * 37 % 1009 + 1) / 1010.0::DOUBLE AS p FROM orders), q AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY p, k) AS r, count(*) OVER (PARTITION BY g) AS n FROM p) SELECT g, k, round(least(1.0::DOUBLE, min(p * n / r) OVER (PARTITION BY g ORDER BY r DESC ROWS UNBOUNDED PRECEDING)), 9) AS adj FROM q")
 def bh_adjust(spark, sf):
     p = table(spark, sf, "orders").select(F.col("o_orderpriority").alias("g"), F.col("o_orderkey").alias("k"), ((F.col("o_orderkey") * 37 % 1009 + 1) / 1010.0).alias("p"))

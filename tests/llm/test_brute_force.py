@@ -207,6 +207,12 @@ def test_slices_say_what_one_says(spark):
     assert rows() == rows(slice_bytes=600) and all(len(x) == 1 for _, x in rows())
 
 
+@pytest.mark.parametrize("name", ["op1_decontamination", "op2_toxicity", "op7_quality"])
+def test_query_has_a_row_per_document(spark, docs, name):
+    got = registry.queries()[name](spark, SF)
+    assert sorted(r["doc_id"] for r in got.select("doc_id").collect()) == sorted(r["doc_id"] for r in docs.select("doc_id").collect())
+
+
 def test_packed_rows_repeat(spark, docs):
     a, b = (packing.pack(docs, registry.tokenizer_path()).toPandas().sort_values(["doc_id", "start"], ignore_index=True) for _ in range(2))
     pd.testing.assert_frame_equal(a[["doc_id", "start", "length", "ids_crc32"]], b[["doc_id", "start", "length", "ids_crc32"]])

@@ -132,7 +132,7 @@ def sums(sets: list[np.ndarray]) -> dict:
     }
 
 
-def _some(batches: Iterator[pd.DataFrame], size: int, most: int = 4 << 20) -> Iterator[tuple[pd.DataFrame, list[np.ndarray]]]:
+def _some(batches: Iterator[pd.DataFrame], size: int, most: int = 2 << 20) -> Iterator[tuple[pd.DataFrame, list[np.ndarray]]]:
     """Rows, some megabytes of text at a time, and their sets."""
     for b in batches:
         b = b.assign(text=b["text"].fillna(""))

@@ -59,7 +59,7 @@ class Encoder:
     memory is emptied when it holds `room` chunks.
     """
 
-    def __init__(self, path: str, room: int = 800_000):
+    def __init__(self, path: str, room: int = 600_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 

@@ -34,7 +34,7 @@ def shown(word: bytes) -> list[int]:
 class Features:
     """The distinct features of a text; words are remembered up to `room` of them."""
 
-    def __init__(self, room: int = 500_000):
+    def __init__(self, room: int = 150_000):
         self.known, self.room = {}, room
 
     def __call__(self, text: str) -> np.ndarray:
@@ -166,7 +166,7 @@ class Chain:
                     if own := [self.vocabulary[f] for f in shown(w) if f in self.vocabulary]:
                         self.telling[w] = own
                     else:
-                        if len(self.silent) > 1_000_000:
+                        if len(self.silent) > 300_000:
                             self.silent.clear()
                         self.silent.add(w)
                         continue

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cytofold.llm import decontamination, embedding_dedup, filter_audit, line_dedup, minhash_dedup, packing, periodic_runs, quality, suffix_dedup, token_counts, toxicity, warc
+from cytofold.llm import decontamination, embedding_dedup, filter_audit, line_dedup, minhash_dedup, packing, periodic_runs, personal_data, quality, suffix_dedup, token_counts, toxicity, warc
 from cytofold.llm.common import table
 
 
@@ -28,6 +28,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_minhash_dedup": lambda spark, sf: minhash_dedup.digest(spark, table(spark, sf, "documents")),
         "op9_suffix_dedup": lambda spark, sf: suffix_dedup.digest(spark, table(spark, sf, "documents")),
         "op10_line_dedup": lambda spark, sf: line_dedup.digest(spark, table(spark, sf, "documents")),
+        "op11_personal_data": lambda spark, sf: personal_data.digest(spark, table(spark, sf, "documents")),
         "op12_periodic_runs": lambda spark, sf: periodic_runs.digest(spark, table(spark, sf, "documents")),
         "op13_filter_audit": lambda spark, sf: filter_audit.digest(spark, table(spark, sf, "documents"), table(spark, sf, "labels")),
     }

@@ -15,6 +15,12 @@ def _digest(key: Column) -> Column:
     return F.unhex(F.md5(ascii_lower(key)))
 
 
+def _among(digest: Column, sorted_digests: Column, steps: Column) -> Column:
+    """Whether an ordered array holds a digest, by halving: `steps` are the powers of 2 up to its size, the largest first."""
+    below = F.aggregate(steps, F.lit(0), lambda at, s: F.when(F.get(sorted_digests, at + s - 1) < digest, at + s).otherwise(at))
+    return F.coalesce(F.get(sorted_digests, below) == digest, F.lit(False))
+
+
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 40, min_docs: int = 5, into: str = "_lines") -> DataFrame:
     """docs with a column `into`: struct(n_lines, n_dropped, text), text being what is left.
 
@@ -24,9 +30,10 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Whether a line goes depends on its key and its document's id alone, so (digest, id) pairs are what is
     shuffled: pairs are made distinct before the exchange, counts are combined per task, and the join back is an ordinary equi-join,
-    whose hot digests AQE splits. Documents then meet the digests that they lose; the text itself is shuffled once.
+    whose hot digests AQE splits. Documents then meet the digests that they lose, in order, so that each line is looked up by halving and a page of very many lines that all
+    go costs no more than n log n; lines stay in their places, and those that go are left out when they are joined again. The text itself is shuffled once.
 
-    Null or empty text: one empty line, which stays. Null id: such rows count as no document and stay whole.
+    A very long text is one row, whose lines and lost digests are arrays of that row. No rows: no rows. Null or empty text: one empty line, which stays. Null id: such rows count as no document and stay whole.
     Repeated rows of an id are one document to the count, and each is cleaned. Other columns pass through, whatever their names; one that is called as `into` is replaced.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
@@ -41,17 +48,19 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     )
     common = pairs.groupBy("_h").agg(F.count(F.lit(1)).alias("_n"), F.max("_id").alias("_keep")).where(F.col("_n") >= min_docs).select("_h", "_keep")
     key, lost = free(docs.columns, "_id"), free(docs.columns, "_lost")
-    losers = pairs.join(common, "_h").where("_id < _keep").groupBy(F.col("_id").alias(key)).agg(F.collect_list("_h").alias(lost))
-    stays = lambda x: (F.char_length(_key(x)) < min_chars) | ~F.array_contains(F.col(lost), _digest(_key(x)))
-    left = F.when(F.col(lost).isNull(), lines).otherwise(F.filter(lines, stays))
-    name = free([*docs.columns, key, lost], "_left")
-    out = docs.join(losers, F.col(id_col) == F.col(key), "left").withColumn(name, left)
+    losers = pairs.join(common, "_h").where("_id < _keep").groupBy(F.col("_id").alias(key)).agg(F.sort_array(F.collect_list("_h")).alias(lost))
+    name, steps, digests = (free([*docs.columns, key, lost], c) for c in ("_left", "_steps", "_digests"))
+    out = docs.join(losers, F.col(id_col) == F.col(key), "left")
+    powers = F.array(*[F.lit(1 << k) for k in range(30, -1, -1)])
+    out = out.withColumn(steps, F.filter(powers, lambda s: s <= F.size(lost))).withColumn(digests, F.when(F.col(lost).isNotNull(), F.transform(lines, lambda x: F.when(F.char_length(_key(x)) >= min_chars, _digest(_key(x))))))
+    stays = lambda x, d: F.when(d.isNull() | ~_among(d, F.col(lost), F.col(steps)), x)
+    out = out.withColumn(name, F.when(F.col(lost).isNull(), lines).otherwise(F.zip_with(lines, digests, stays)))
     cleaned = F.struct(
         F.size(lines).cast("long").alias("n_lines"),
-        (F.size(lines) - F.size(name)).cast("long").alias("n_dropped"),
+        F.when(F.col(lost).isNull(), 0).otherwise(F.size(F.filter(name, lambda x: x.isNull()))).cast("long").alias("n_dropped"),
         F.when(F.col(lost).isNull(), text).otherwise(F.array_join(name, "\n")).alias("text"),
     )
-    return out.withColumn(into, cleaned).drop(key, lost, name)
+    return out.withColumn(into, cleaned).drop(key, lost, name, steps, digests)
 
 
 def digest(spark, docs: DataFrame) -> DataFrame:

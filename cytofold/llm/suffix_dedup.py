@@ -31,6 +31,56 @@ def _unpack(blob: bytes) -> tuple:
     return pickle.loads(zstandard.ZstdDecompressor().decompress(blob))
 
 
+#: A region as it is sent: its document, row and first window, how many windows it has, and its anchor's hash.
+REGION = np.dtype([("doc", "<i8"), ("row", "<i4"), ("lo", "<i8"), ("n", "<i4"), ("h", "<u4")])
+REGIONS = "shard long, chunk long, meta binary, text binary, copies binary"
+
+
+class Squeezer:
+    """Bytes of some length compressed, shorter ones as they are, as a small piece gains nothing; a first byte tells which."""
+
+    def __init__(self, least: int = 4096):
+        import zstandard
+
+        self.least, self._in, self._out = least, zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
+
+    def __call__(self, b: bytes) -> bytes:
+        return b"\x01" + self._in.compress(b) if len(b) >= self.least else b"\x00" + b
+
+    def back(self, b: bytes) -> bytes:
+        return self._out.decompress(b[1:]) if b[0] else b[1:]
+
+
+def parcels(chunk: int, to: np.ndarray, regions: np.ndarray, texts: bytes, size: np.ndarray, again: np.ndarray, copies: np.ndarray, squeeze: Squeezer) -> pd.DataFrame:
+    """A row for each shard that gets something from a chunk. to, regions, size: of each region its shard, what it is, and its bytes' number in `texts`; again, copies: the shard and (row, lo, hi) of what the chunk has earlier itself.
+
+    Everything is put in order of shards once and then cut, so a chunk's cost is that of its regions, however many shards there are, and there are never more rows than regions.
+    """
+    order, order2 = np.argsort(to, kind="stable"), np.argsort(again, kind="stable")
+    start = np.cumsum(size) - size
+    text = _gather(np.frombuffer(texts, dtype=np.uint8), start[order], size[order]).tobytes()
+    meta, more = regions[order].tobytes(), np.ascontiguousarray(copies[order2]).tobytes()
+    some = np.unique(np.concatenate([to, again]))
+    cut = lambda x: (np.searchsorted(x, some), np.searchsorted(x, some, side="right"))
+    (a, z), (a2, z2) = cut(to[order]), cut(again[order2])
+    place = np.append(0, np.cumsum(size[order]))
+    m, k = REGION.itemsize, 24
+    rows = [(meta[i * m : j * m], squeeze(text[p:q]), more[i2 * k : j2 * k]) for i, j, p, q, i2, j2 in zip(a.tolist(), z.tolist(), place[a].tolist(), place[z].tolist(), a2.tolist(), z2.tolist(), strict=True)]
+    out = pd.DataFrame(rows, columns=["meta", "text", "copies"])
+    out.insert(0, "chunk", chunk)
+    out.insert(0, "shard", some)
+    return out
+
+
+def _shard(g: pd.DataFrame, squeeze: Squeezer) -> list[tuple]:
+    """What parcels() sent to a shard: (chunk, doc, row, lo, n, bytes, hash, copies) of each chunk."""
+    out = []
+    for c, meta, text, copies in zip(g["chunk"].tolist(), g["meta"], g["text"], g["copies"], strict=True):
+        r = np.frombuffer(meta, dtype=REGION)
+        out.append((c, r["doc"], r["row"].astype(np.int64), r["lo"], r["n"].astype(np.int64), squeeze.back(text), r["h"], np.frombuffer(copies, dtype=np.int64).reshape(-1, 3).T))
+    return out
+
+
 def chunks(docs: DataFrame, size: int) -> DataFrame:
     """Documents gathered into chunks of about `size` bytes: ids (the largest number for null), lengths and the bytes, compressed."""
 
@@ -218,10 +268,12 @@ def repeated(shard: list[tuple], length: int, folder: str, budget: int) -> Itera
     rest = np.nonzero(~earliest)[0]
     who = np.concatenate([own[r], rest])
     gone = np.stack([row[who], np.concatenate([lo[own[r]] + a - base[r], lo[rest]]), np.concatenate([lo[own[r]] + z - base[r] + length - 1, lo[rest] + size[rest]])])
-    of = chunk[who]
-    for x in shard:
-        if (some := np.concatenate([gone[:, of == x[0]], x[7]], axis=1)).shape[1]:
-            yield int(x[0]), some
+    of = np.concatenate([chunk[who], *[np.full(x[7].shape[1], x[0], dtype=np.int64) for x in shard]])
+    gone = np.concatenate([gone, *[x[7] for x in shard]], axis=1)
+    order = np.argsort(of, kind="stable")
+    told, first = np.unique(of[order], return_index=True)
+    for c, some in zip(told.tolist(), np.split(order, first[1:]), strict=True) if len(told) else ():
+        yield c, gone[:, some]
 
 
 def remove_repeats(docs: DataFrame, length: int = 100, q: int = 24, chunk: int = 4 << 20, shard: int = 6 << 20, budget: int = 256 << 20, fan: int = 1000) -> DataFrame:
@@ -252,60 +304,67 @@ def remove_repeats(docs: DataFrame, length: int = 100, q: int = 24, chunk: int =
                 h = np.repeat(h, np.minimum(count, 2))
                 to = (h % np.uint64(buckets)).astype(np.int64)
                 order = np.argsort(to, kind="stable")
-                edges = np.searchsorted(to[order], np.arange(buckets + 1))
-                some = np.nonzero(np.diff(edges))[0]
-                yield pd.DataFrame({"bucket": some, "chunk": c, "h": [h[order[edges[k] : edges[k + 1]]].tobytes() for k in some]})
+                some, first = np.unique(to[order], return_index=True)
+                raw, edges = h[order].tobytes(), [8 * x for x in (*first.tolist(), len(h))]
+                yield pd.DataFrame({"bucket": some, "chunk": c, "h": [raw[x:y] for x, y in zip(edges, edges[1:], strict=False)]})
 
     def answer(g: pd.DataFrame) -> pd.DataFrame:
-        parts = [np.frombuffer(x, dtype=np.uint64) for x in g["h"]]
-        h, count = np.unique(np.concatenate(parts), return_counts=True)
-        twice = h[count > 1]
-        told = []
-        for p in parts:
-            at = np.searchsorted(twice, p)
-            at[at == len(twice)] = 0
-            told.append(np.unique(p[twice[at] == p]).tobytes() if len(twice) else b"")
-        out = pd.DataFrame({"chunk": g["chunk"], "h": told})
-        return out[out["h"].str.len() > 0]
+        chunk = np.repeat(g["chunk"].to_numpy(), g["h"].str.len().to_numpy(dtype=np.int64) // 8)
+        h = np.frombuffer(b"".join(g["h"]), dtype=np.uint64)
+        _, kind, count = np.unique(h, return_inverse=True, return_counts=True)
+        some = count[kind] > 1
+        chunk, h = chunk[some], h[some]
+        order = np.lexsort((h, chunk))
+        chunk, h = chunk[order], h[order]
+        new = np.ones(len(h), dtype=bool)
+        new[1:] = (chunk[1:] != chunk[:-1]) | (h[1:] != h[:-1])
+        chunk, h = chunk[new], h[new]
+        told, first = np.unique(chunk, return_index=True)
+        raw, edges = h.tobytes(), [8 * x for x in (*first.tolist(), len(h))]
+        return pd.DataFrame({"chunk": told, "h": [raw[x:y] for x, y in zip(edges, edges[1:], strict=False)]})
 
     asked = stored.select("chunk", "blob").mapInPandas(ask, "bucket long, chunk long, h binary")
     known = durable(asked.groupBy("bucket").applyInPandas(answer, "chunk long, h binary"), "suffix-known")
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        squeeze = Squeezer()
         for b in batches:
             for c, blob, hs in zip(b["chunk"], b["blob"], b["hs"], strict=True):
                 ids, sizes, text = _unpack(blob)
                 h, left, right, row, lo, n = anchors(sizes, text, length, q)
-                twice = np.concatenate([np.frombuffer(x, dtype=np.uint64) for x in hs])
+                twice = np.frombuffer(b"".join(hs), dtype=np.uint64)
                 some = np.nonzero(np.isin(left, twice) | np.isin(right, twice))[0]
                 some = some[np.lexsort((lo[some], row[some], ids[row[some]]))]
                 h, row, lo, n = h[some], row[some], lo[some], n[some]
                 whole, start, size = np.frombuffer(text, dtype=np.uint8), np.cumsum(sizes) - sizes, n + length - 1
-                own = _same(_gather(whole, start[row] + lo, size), np.cumsum(size) - size, size) == np.arange(len(n))
+                held = _gather(whole, start[row] + lo, size)
+                own = _same(held, np.cumsum(size) - size, size) == np.arange(len(n))
                 to = ((h >> np.uint64(20)) % np.uint64(shards)).astype(np.int64)
-                order = np.argsort(to * 2 + own, kind="stable")
-                edges = np.searchsorted((to * 2 + own)[order], np.arange(2 * shards + 1))
-                rows = []
-                for k in np.nonzero(edges[2::2] > edges[:-2:2])[0].tolist():
-                    again, x = order[edges[2 * k] : edges[2 * k + 1]], order[edges[2 * k + 1] : edges[2 * k + 2]]
-                    copies = np.stack([row[again], lo[again], lo[again] + size[again]])
-                    rows.append((k, c, _pack(ids[row[x]], row[x].astype(np.int32), lo[x], n[x], _gather(whole, start[row[x]] + lo[x], size[x]).tobytes(), (h[x] >> np.uint64(32)).astype(np.uint32), copies)))
-                yield pd.DataFrame(rows, columns=["shard", "chunk", "blob"])
+                regions = np.empty(int(own.sum()), dtype=REGION)
+                for name, of in (("doc", ids[row]), ("row", row), ("lo", lo), ("n", n), ("h", h >> np.uint64(32))):
+                    regions[name] = of[own]
+                held = held[np.repeat(own, size)].tobytes()
+                copies = np.stack([row, lo, lo + size], axis=1)[~own].astype(np.int64)
+                yield parcels(c, to[own], regions, held, size[own], to[~own], copies, squeeze)
 
     told = known.groupBy("chunk").agg(F.collect_list("h").alias("hs"))
-    regions = stored.select("chunk", "blob").join(told, "chunk").mapInPandas(cut, "shard long, chunk long, blob binary")
+    regions = stored.select("chunk", "blob").join(told, "chunk").mapInPandas(cut, REGIONS)
 
     if (parts := -(-stored.count() // fan)) > 1:
 
         def squeeze(g: pd.DataFrame) -> pd.DataFrame:
-            got = squeezed([(c, *_unpack(blob)) for c, blob in zip(g["chunk"].tolist(), g["blob"], strict=True)], length)
-            return pd.DataFrame({"shard": g["shard"].iloc[0], "chunk": [x[0] for x in got], "blob": [_pack(*x[1:]) for x in got]})
+            pack, k, rows = Squeezer(), int(g["shard"].iloc[0]), []
+            for c, doc, row, lo, n, text, h, copies in squeezed(_shard(g, pack), length):
+                regions = np.empty(len(doc), dtype=REGION)
+                for name, of in (("doc", doc), ("row", row), ("lo", lo), ("n", n), ("h", h)):
+                    regions[name] = of
+                rows.append((k, c, regions.tobytes(), pack(text), np.ascontiguousarray(copies.T).tobytes()))
+            return pd.DataFrame(rows, columns=["shard", "chunk", "meta", "text", "copies"])
 
-        regions = regions.withColumn("part", F.pmod(F.xxhash64("chunk"), F.lit(parts))).groupBy("shard", "part").applyInPandas(squeeze, "shard long, chunk long, blob binary")
+        regions = regions.withColumn("part", F.pmod(F.xxhash64("chunk"), F.lit(parts))).groupBy("shard", "part").applyInPandas(squeeze, REGIONS)
 
     def sort(g: pd.DataFrame) -> pd.DataFrame:
-        got = [(c, *_unpack(blob)) for c, blob in zip(g["chunk"].tolist(), g["blob"], strict=True)]
-        return pd.DataFrame([(c, _pack(x)) for c, x in repeated(got, length, folder, budget)], columns=["chunk", "gone"])
+        return pd.DataFrame([(c, np.ascontiguousarray(x.T).tobytes()) for c, x in repeated(_shard(g, Squeezer()), length, folder, budget)], columns=["chunk", "gone"])
 
     gone = durable(regions.groupBy("shard").applyInPandas(sort, "chunk long, gone binary"), "suffix-gone")
     drop_durable(known)
@@ -316,10 +375,9 @@ def remove_repeats(docs: DataFrame, length: int = 100, q: int = 24, chunk: int =
                 ids, sizes, text = _unpack(blob)
                 whole, start = np.frombuffer(text, dtype=np.uint8), np.cumsum(sizes) - sizes
                 depth = np.zeros(len(whole) + 1, dtype=np.int32)
-                for p in parts if parts is not None else ():
-                    row, lo, hi = _unpack(p)[0]
-                    np.add.at(depth, start[row] + lo, 1)
-                    np.add.at(depth, start[row] + hi, -1)
+                row, lo, hi = np.frombuffer(b"".join(parts if parts is not None else ()), dtype=np.int64).reshape(-1, 3).T
+                np.add.at(depth, start[row] + lo, 1)
+                np.add.at(depth, start[row] + hi, -1)
                 covered = np.cumsum(depth[:-1]) > 0
                 rows = []
                 for i, s, z in zip(ids.tolist(), start.tolist(), sizes.tolist(), strict=True):

@@ -157,3 +157,29 @@ def test_int8_bounds_lose_no_pair():
 
 def test_more_tables_for_more_bits():
     assert plan(1000, 0.95)[1] < plan(10**9, 0.95)[1]
+
+
+def test_parcels_cost_what_their_regions_do():
+    """What a chunk sends doesn't grow with the number of shards, and comes back whole."""
+    rng = np.random.default_rng(0)
+    n = 3000
+    size = rng.integers(100, 180, n)
+    regions = np.empty(n, dtype=suffix_dedup.REGION)
+    for name in regions.dtype.names:
+        regions[name] = rng.integers(0, 1000, n)
+    texts = rng.integers(0, 256, int(size.sum()), dtype=np.uint8).tobytes()
+    copies = rng.integers(0, 9, (50, 3))
+    sent = {}
+    for shards in (7, 79, 4768, 10**6):
+        to, again = (rng.integers(0, shards, k) for k in (n, 50))
+        squeeze = suffix_dedup.Squeezer()
+        rows = suffix_dedup.parcels(4, to, regions, texts, size, again, copies, squeeze)
+        assert rows["shard"].is_unique and len(rows) <= n + 50
+        sent[shards] = int(sum(rows[c].str.len().sum() for c in ("meta", "text", "copies")))
+        start = np.cumsum(size) - size
+        for _, g in list(rows.groupby("shard"))[:20]:
+            (c, doc, row, lo, k, text, h, more) = suffix_dedup._shard(g, squeeze)[0]
+            own = np.nonzero(to == g["shard"].iloc[0])[0]
+            assert c == 4 and doc.tolist() == regions["doc"][own].tolist() and h.tolist() == regions["h"][own].tolist() and (row.tolist(), lo.tolist(), k.tolist()) == tuple(regions[x][own].tolist() for x in ("row", "lo", "n"))
+            assert text == b"".join(texts[start[i] : start[i] + size[i]] for i in own) and more.T.tolist() == copies[again == g["shard"].iloc[0]].tolist()
+    assert max(sent.values()) < 1.1 * min(sent.values())

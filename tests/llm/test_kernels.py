@@ -3,6 +3,7 @@
 import numpy as np
 import pytest
 
+from cytofold.llm import suffix_dedup
 from cytofold.llm.common import roots
 from cytofold.llm.decontamination import Index, normal
 from cytofold.llm.embedding_dedup import Quantised, plan

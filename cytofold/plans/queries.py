@@ -229,6 +229,13 @@ def knn_ivf(spark, sf):
     return neighbors.knn_lists(p, p, 10, True, p.count()).select("i", "j", r("dist", 5).alias("dist"), F.col("rank").cast("long").alias("rank"))
 
 
+@query()
+def knn_refined(spark, sf):
+    """By 64 lists of which 2 are looked through, then refined along neighbours both ways."""
+    p = points(spark, sf)
+    return neighbors.knn_lists(p, p, 10, True, p.count(), probes=2, lists=64).select("i", "j", r("dist", 5).alias("dist"), F.col("rank").cast("long").alias("rank"))
+
+
 @query()
 def fuzzy_graph(spark, sf):
     return neighbors.neighbors(as_frame(spark, sf)).uns["neighbors"]["graph"]

@@ -2,20 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from cytofold.frame import CountFrame
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir, or for local sessions without it a new temporary one."""
-    if found := spark.conf.get("spark.checkpoint.dir", None):
-        return found.rstrip("/")
-    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors see")
-    return "file://" + tempfile.mkdtemp(prefix="cytofold-")
+from cytofold.shared import shared_dir  # noqa: F401
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:

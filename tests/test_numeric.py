@@ -10,7 +10,7 @@ from cytofold.functions.stats import bh_array, chi2_sf, normal_pvalues, t_pvalue
 from cytofold.operators.community import by_size, leiden_labels
 from cytofold.operators.deseq import DESeq2, model_matrix
 from cytofold.operators.doublets import threshold_minimum
-from cytofold.operators.embedding import codes, find_ab_params, integrate, per_level
+from cytofold.operators.embedding import codes, find_ab_params, per_level
 from cytofold.operators.neighbors import memberships
 
 
@@ -74,17 +74,6 @@ def test_threshold_between_two_peaks():
     assert threshold_minimum(np.zeros(10)) is None
 
 
-def test_integration_mixes_batches_and_keeps_types():
-    rng = np.random.default_rng(0)
-    kind, batch = rng.integers(2, size=800), rng.integers(2, size=800)
-    z = rng.normal(size=(800, 10))
-    z[:, 0] += 5 * kind
-    z[:, 1] += 3 * batch
-    out, _ = integrate(z, [batch.tolist()])
-    assert abs(out[batch == 0, 1].mean() - out[batch == 1, 1].mean()) < 1.0
-    assert abs(out[kind == 0, 0].mean() - out[kind == 1, 0].mean()) > 3
-
-
 def test_factor_helpers():
     assert codes(["b", "a", "b"])[0].tolist() == [1, 0, 1]
     with pytest.raises(ValueError, match="null"):

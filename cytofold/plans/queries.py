@@ -11,9 +11,10 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from cytofold.frame import CountFrame, _local
 from cytofold.functions.stats import bh
-from cytofold.operators import community, deseq, doublets, embedding, hvg, markers, neighbors, pca, pseudobulk, qc
+from cytofold.operators import community, deseq, doublets, embedding, evaluation, hvg, markers, neighbors, pca, pseudobulk, qc
 from cytofold.plans.domain import as_frame, customers_by_supplier as m2, orders_by_part as m1, points, r, shared_dir, table
 from cytofold.sources.files import read_parquet
+from cytofold.streaming import counts
 
 Q = dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]
 QUERIES: Q = {}
@@ -467,3 +468,48 @@ def flagship(spark: SparkSession, sf: str) -> DataFrame:
     """Quality control, filters, normalisation and variable genes of the sparse matrix."""
     cf = qc.filter_genes(qc.filter_cells(m1(spark, sf), min_genes=2), min_cells=3)
     return hvg.highly_variable_genes(logged(cf), n_top_genes=100).var
+
+
+# --- evaluation and streams -------------------------------------------------------------------------------------
+
+
+@query()
+def lisi(spark, sf):
+    """How many labels the 30 nearest of each vector have, in effect."""
+    p = points(spark, sf)
+    knn = neighbors.knn_blocks(p, p, 30, True)
+    return evaluation.lisi(knn, p.select(F.col("id").alias("cell_id"), "label")).select("i", r("lisi").alias("lisi"))
+
+
+@query("WITH t AS (SELECT c_nationkey AS a, c_mktsegment AS b, count(*)::DOUBLE AS n FROM customer GROUP BY 1, 2), s AS (SELECT sum(n) AS s FROM t), h AS (SELECT (SELECT -sum(n / s * ln(n / s)) FROM t, s) AS ab, (SELECT -sum(m / s * ln(m / s)) FROM (SELECT sum(n) AS m FROM t GROUP BY a), s) AS a, (SELECT -sum(m / s * ln(m / s)) FROM (SELECT sum(n) AS m FROM t GROUP BY b), s) AS b) SELECT round(2 * (a + b - ab) / (a + b), 9) AS nmi FROM h")
+def nmi(spark, sf):
+    c = table(spark, sf, "customer")
+    side = lambda k: c.select(F.col("c_custkey").alias("cell_id"), F.col(k).alias("label"))
+    return evaluation.normalized_mutual_information(side("c_nationkey"), side("c_mktsegment")).select(r("nmi", 9).alias("nmi"))
+
+
+_HALF = _KNN.format(on="a.vec_id <> b.vec_id", k=10).replace("list_zip(a.embedding, b.embedding)", "list_zip(a.embedding[1:32], b.embedding[1:32])")
+
+
+@query(f"WITH a AS ({_KNN.format(on='a.vec_id <> b.vec_id', k=10)}), b AS ({_HALF}) SELECT a.i, round(count(b.j) / count(*), 6) AS overlap FROM a LEFT JOIN b ON a.i = b.i AND a.j = b.j GROUP BY 1")
+def knn_overlap(spark, sf):
+    """Which share of the neighbours by whole vectors those by the first 32 numbers find."""
+    p = points(spark, sf)
+    part = p.select("id", F.slice("vec", 1, 32).alias("vec"))
+    return evaluation.knn_overlap(neighbors.knn_blocks(p, p, 10, True), neighbors.knn_blocks(part, part, 10, True)).select("i", r("overlap").alias("overlap"))
+
+
+@query("WITH s AS (SELECT l_quantity AS s, sum((l_returnflag = 'R')::INT) AS p, sum((l_returnflag <> 'R')::INT) AS q FROM lineitem GROUP BY 1), k AS (SELECT p, q, coalesce(sum(q) OVER (ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below FROM s) SELECT round(sum(p * (below + q / 2)) / (sum(p)::DOUBLE * sum(q)), 9) AS auroc FROM k")
+def auroc(spark, sf):
+    rows = table(spark, sf, "lineitem").select(F.col("l_quantity").alias("score"), (F.col("l_returnflag") == "R").cast("int").alias("label"))
+    return evaluation.auroc(rows).select(r("auroc", 9).alias("auroc"))
+
+
+@query(f"WITH {X1} SELECT cell_id, count(*) AS n_genes_by_counts, sum(c) AS total_counts FROM x GROUP BY 1")
+def stream_qc(spark, sf):
+    """The sums of qc_cells over lineitem read as a stream; its path is a pattern, as a stream's path otherwise has to be a folder."""
+    schema = table(spark, sf, "lineitem").schema
+    stream = spark.readStream.schema(schema).parquet(f"{sf}/lineitem.parque[t]").select(F.col("l_orderkey").alias("cell_id"), F.col("l_partkey").alias("gene_id"), F.col("l_quantity").alias("count"))
+    folder = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    counts.accumulate(stream, folder).awaitTermination()
+    return counts.cell_metrics(counts.accumulated(spark, folder))

@@ -458,10 +458,11 @@ def examples(texts: Sequence[str], width: int, n: int, seed: int = 2) -> tuple[n
     return x, y
 
 
-def train(docs: DataFrame, text_col: str = "text", limit: int = 1500, n: int = 3000, width: int = 96, hidden: int = 16, least: float = 3.0, longest: int = 4000) -> Finder:
+def train(docs: DataFrame, text_col: str = "text", limit: int = 1500, n: int = 3000, width: int = 96, hidden: int = 16, least: float = 3.0, longest: int = 1000) -> Finder:
     """A finder fitted on the driver: labelled spans are those of the base patterns in a bounded sample of at most `limit` texts that hold some, and windows of theirs, redrawn or not, `n` in all.
 
-    The sample is that of the least hashes of texts, the same at every run; of longer ones a piece of `longest` characters around a span goes to the driver. Texts without any span anywhere: a finder that finds nothing new.
+    The sample is that of the least hashes of texts, the same at every run, each text once; of longer ones a piece of `longest` characters around a span goes to the driver. How low a hash has to be follows
+    from the number of texts that hold spans, so that only about twice `limit` texts are looked at again and meet in one place, whatever the size of the table. Texts without any span anywhere: a finder that finds nothing new.
     """
 
     def near(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -473,8 +474,15 @@ def train(docs: DataFrame, text_col: str = "text", limit: int = 1500, n: int = 3
                     rows.append((t[s : s + longest], h))
             yield pd.DataFrame(rows, columns=["text", "h"])
 
-    some = docs.select(F.col(text_col).cast("string").alias("text")).where(F.col("text").rlike("[0-9]")).withColumn("h", F.xxhash64("text"))
-    rows = some.mapInPandas(near, "text string, h long").dropDuplicates(["h"]).orderBy("h", "text").limit(limit).collect()
+    def marked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield b.loc[[bool(base_spans(t)) for t in b["text"]], ["h"]] if len(b) else b[["h"]]
+
+    some = docs.select(F.col(text_col).cast("string").alias("text")).where(F.col("text").rlike("[0-9@]")).withColumn("h", F.xxhash64("text"))
+    n = some.mapInPandas(marked, "h long").agg(F.approx_count_distinct("h", 0.02)).first()[0]
+    share = min(1.0, 2 * limit / max(1, n))
+    low = some.where(F.col("h") <= int(min(2**63 - 1, -(2**63) + share * 2**64)))
+    rows = low.mapInPandas(near, "text string, h long").dropDuplicates(["h"]).orderBy("h", "text").limit(limit).collect()
     tagger = Tagger(hidden)
     if rows:
         x, y = examples([r["text"] for r in rows], width, n)

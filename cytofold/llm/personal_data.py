@@ -199,24 +199,43 @@ class Tagger:
         self._lstm_back(x, "b", kb, gb[:, :, self.hidden :], g)
         return float((z - real).mean()), g
 
-    def fit(self, x: np.ndarray, y: np.ndarray, rounds: int = 10, batch: int = 100, rate: float = 0.015, seed: int = 1) -> Tagger:
-        """Adam over shuffled windows (steps, windows); the same at every run."""
+    def fit(self, x: np.ndarray, y: np.ndarray, rounds: int = 10, batch: int = 100, rate: float = 0.015, seed: int = 1, tries: int = 4, enough: float = 1.0) -> Tagger:
+        """Adam over shuffled windows (steps, windows); the same at every run.
+
+        What is kept are the weights after the round of least mean loss. Where that isn't under `enough` a window, as when long steps threw the gates out of range, all begins again with half the rate, `tries` times at most.
+        """
+        first, best, least = {k: a.copy() for k, a in self.p.items()}, self.p, np.inf
+        for k in range(tries):
+            self.p = {name: a.copy() for name, a in first.items()}
+            for loss in self._rounds(x, y, rounds, batch, rate / 2**k, seed):
+                if loss < least:
+                    best, least = {name: a.copy() for name, a in self.p.items()}, loss
+                elif loss > 4 * least and loss > enough:
+                    break
+            if least < enough:
+                break
+        self.p = best
+        return self
+
+    def _rounds(self, x: np.ndarray, y: np.ndarray, rounds: int, batch: int, rate: float, seed: int) -> Iterator[float]:
         rng, n = np.random.default_rng(seed), x.shape[1]
         m, v = ({k: np.zeros_like(a) for k, a in self.p.items()} for _ in range(2))
         step, last = 0, rounds * -(-n // batch)
         for _ in range(rounds):
-            order = rng.permutation(n)
+            order, losses = rng.permutation(n), []
             for s in range(0, n, batch):
                 rows = order[s : s + batch]
-                _, g = self.loss(x[:, rows], y[:, rows])
+                loss, g = self.loss(x[:, rows], y[:, rows])
+                losses.append(loss)
                 step += 1
                 size = np.sqrt(sum(float((a * a).sum()) for a in g.values()))
                 for k, a in g.items():
                     a = a * min(1.0, 5 / (size + 1e-9))
                     m[k] = 0.9 * m[k] + 0.1 * a
                     v[k] = 0.99 * v[k] + 0.01 * a * a
-                    self.p[k] -= (rate * (1 - 0.95 * step / last) * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.99**step)) + 1e-8)).astype(np.float32)
-        return self
+                    warm = min(1.0, step / 30) * (1 - 0.95 * step / last)
+                    self.p[k] -= (rate * warm * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.99**step)) + 1e-8)).astype(np.float32)
+            yield float(np.mean(losses))
 
     def decode(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(tags, scores) of windows (steps, rows): the best chain of each, and what each character's tag gains over being outside, its transition counted in."""
@@ -479,8 +498,8 @@ def train(docs: DataFrame, text_col: str = "text", limit: int = 1500, n: int = 3
             yield b.loc[[bool(base_spans(t)) for t in b["text"]], ["h"]] if len(b) else b[["h"]]
 
     some = docs.select(F.col(text_col).cast("string").alias("text")).where(F.col("text").rlike("[0-9@]")).withColumn("h", F.xxhash64("text"))
-    n = some.mapInPandas(marked, "h long").agg(F.approx_count_distinct("h", 0.02)).first()[0]
-    share = min(1.0, 2 * limit / max(1, n))
+    holding = some.mapInPandas(marked, "h long").agg(F.approx_count_distinct("h", 0.02)).first()[0]
+    share = min(1.0, 2 * limit / max(1, holding))
     low = some.where(F.col("h") <= int(min(2**63 - 1, -(2**63) + share * 2**64)))
     rows = low.mapInPandas(near, "text string, h long").dropDuplicates(["h"]).orderBy("h", "text").limit(limit).collect()
     tagger = Tagger(hidden)

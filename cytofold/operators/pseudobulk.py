@@ -90,5 +90,24 @@ def gene_arrays(pb: Pseudobulk) -> tuple[DataFrame, list[str]]:
     return pb.var.select("gene_id", "gene_name").join(rows, "gene_id", "left").select("gene_id", "gene_name", F.when(F.col("m").isNull(), zeros).otherwise(dense).alias("counts")), names
 
 
+def array_size_factors(genes: DataFrame, m: int, kind: str = "ratio") -> np.ndarray:
+    """size_factors() of the m samples in the arrays of gene_arrays(), as numbers here: a median a sample, by percentile()."""
+    logs = F.transform("counts", lambda v: F.when(v > 0, F.log(v)).otherwise(0.0))
+    total = F.aggregate(logs, F.lit(0.0), lambda t, v: t + v)
+    if kind == "ratio":
+        of = genes.where(F.forall("counts", lambda v: v > 0))
+    else:
+        of = genes.where(F.exists("counts", lambda v: v > 0))
+    each = of.select((total / m).alias("mean"), F.posexplode("counts").alias("s", "v")).where("v > 0")
+    got = {r["s"]: r["r"] for r in each.groupBy("s").agg(F.exp(F.percentile(F.log("v") - F.col("mean"), F.lit(0.5))).alias("r")).collect()}
+    if kind == "ratio" and not got:
+        raise ValueError("every gene has a zero; use size_factor_type='poscounts'")
+    for s in range(m):
+        if s not in got:
+            raise ValueError(f"sample {s} has no counts to go by")
+    sf = np.array([got[s] for s in range(m)])
+    return sf if kind == "ratio" else sf / np.exp(np.log(sf).mean())
+
+
 def wide(df: pd.DataFrame, column: str = "counts") -> np.ndarray:
     return np.array(df[column].tolist(), dtype=np.float64).reshape(len(df), -1)

@@ -63,11 +63,12 @@ def _stretch(v: Column) -> Column:
 def rank_table(cf: CountFrame, labels: DataFrame) -> DataFrame:
     """(group, gene_id, n1, n2, rank_sum, ties, s, q): sums of average ranks, t^3 - t over the tie blocks of the gene, zeros being one block in closed form, and sums of values and squares. One pass over the matrix.
 
-    Non-zeros are dealt by gene and stretch of value, where they are counted and ranked, so that a window holds the distinct values of one stretch, not of a whole gene; what
-    all lower stretches of the gene hold is then added to a stretch's sums.
+    Equal values of a group are counted before anything is sent, so a value that most cells share is one row a task and group. Counts are then dealt by gene and stretch of
+    value and ranked there, so that a window holds the distinct values of one stretch, not of a whole gene; what all lower stretches of the gene hold is then added to a
+    stretch's sums.
     """
-    x = cf.matrix().join(labels, "cell_id").select("gene_id", "value", "group", _stretch(F.col("value")).alias("b")).repartition("gene_id", "b")
-    counted = x.groupBy("gene_id", "b", "value", "group").agg(F.count(F.lit(1)).alias("k"))
+    x = cf.matrix().join(labels, "cell_id").select("gene_id", "value", "group", _stretch(F.col("value")).alias("b"))
+    counted = x.groupBy("gene_id", "b", "value", "group").agg(F.count(F.lit(1)).alias("k")).repartition("gene_id", "b")
     values = counted.groupBy("gene_id", "b", "value").agg(F.sum("k").alias("t"), F.collect_list(F.struct("group", "k")).alias("by"))
     upto = F.sum("t").over(Window.partitionBy("gene_id", "b").orderBy("value"))
     rows = values.withColumn("mid", upto - F.col("t") + (F.col("t") + 1) / 2).select("gene_id", "b", "value", "mid", F.col("t").cast("double").alias("t"), F.posexplode("by").alias("at", "e"))

@@ -6,7 +6,7 @@ import pandas as pd
 import pytest
 
 from cytofold.frame import CountFrame
-from cytofold.operators import neighbors, qc
+from cytofold.operators import markers, neighbors, qc
 from cytofold.plans.queries import QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -97,3 +97,13 @@ def test_mtx_folder(spark, tmp_path):
     cf = read_10x_mtx(spark, str(tmp_path))
     assert sorted(map(tuple, cf.kept().collect())) == [(0, 0, 5.0), (1, 1, 7.0)]
     assert cf.var_names == ["G0", "G1"]
+
+
+def test_equal_values_are_counted_before_they_are_sent(spark):
+    """Below the exchange by gene, value and group there is a partial count."""
+    cells = spark.createDataFrame([(i, "ab"[i % 2]) for i in range(40)], "cell_id long, group string")
+    x = spark.createDataFrame([(i, j, 1.0 + (i * j) % 3) for i in range(40) for j in range(5)], "cell_id long, gene_id int, count double")
+    plan = markers.rank_sums(CountFrame.from_triplets(x, obs=cells), cells)._jdf.queryExecution().executedPlan().toString()
+    lines = plan.splitlines()
+    sent = [i for i, v in enumerate(lines) if "Exchange hashpartitioning(gene_id" in v and "group" in v.split("),")[0] and "value" in v]
+    assert sent and all("partial_count(1)" in " ".join(lines[i + 1 : i + 3]) for i in sent)

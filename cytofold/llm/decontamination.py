@@ -312,7 +312,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
 
     The benchmark is sent to the executors in slices of about slice_bytes (an item is in one slice), one slice after another: between two, documents and what was found are written to the shared folder, so that what is
     sent and indexed at once is bounded however large the benchmark is. Documents are never shuffled. Null and empty texts have no leaks; items that are null or hold no letter or digit are left out, and
-    repeated items are one. Other columns pass through; one that is called as `into` is replaced.
+    repeated items are one. A very long text is searched whole, as one row; repeated rows are searched one by one. No documents: no rows; no items: no leaks. Other columns pass through; one that is called as `into` is replaced.
     """
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).dropna().distinct()
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0

@@ -192,7 +192,8 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 0, window: int = 1024, m
     by a hash of their place to groups of about `group` pieces (however many documents there are), and each group is packed on its own; a
     group wastes less than a window or two. The tokens themselves are never shuffled, only their places.
 
-    Null ids stay null; repeated rows are packed one by one; no documents: no rows. Other columns are left out.
+    Null or empty text: end_id alone. A very long text is one row to the tokenizer, and as many sequences as it fills. Null ids stay null; repeated rows are packed one by one;
+    no documents: no rows. Other columns are left out.
     """
     cuts = durable(pieces(docs, tokenizer, end_id, window, most), "pieces")
     rest = cuts.where(F.col("length") < window)

@@ -172,7 +172,10 @@ def train(docs: DataFrame, labels: DataFrame, limit: int = 6000, longest: int =
 
 
 def quality(docs: DataFrame, chain: Chain, text_col: str = "text", into: str = "score") -> DataFrame:
-    """docs with the probability, by its lines, that a whole text is of good quality. Null and empty texts are one empty line. No shuffle. Other columns pass through; one that is called as `into` is replaced."""
+    """docs with the probability, by its lines, that a whole text is of good quality. Null and empty texts are one empty line. No shuffle.
+
+    A very long text is one chain of all its lines. Repeated rows are scored one by one and alike. No rows: no rows. Other columns pass through; one that is called as `into` is replaced.
+    """
 
     @F.pandas_udf("double")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:

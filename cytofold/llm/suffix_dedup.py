@@ -288,7 +288,8 @@ def remove_repeats(docs: DataFrame, length: int = 100, q: int = 24, chunk: int =
     where there are over `fan` chunks, parts of a shard of so many chunks leave one before they meet, so that what a shard gets of a passage that very many documents hold is one region for each part. Each shard sorts
     suffixes by induced sorting and says what goes. 4. Chunks are joined with that. Shards and buckets are as many as the bytes need.
 
-    Null or empty text: no bytes. Texts shorter than `length` stay whole. No rows: no rows. Other columns are left out.
+    Null or empty text: no bytes. Texts shorter than `length` stay whole. A very long text is in one chunk, which is then longer than `chunk` bytes. No rows: no rows.
+    Other columns are left out.
     """
     spark = docs.sparkSession
     stored = durable(chunks(docs, chunk), "suffix-chunks")

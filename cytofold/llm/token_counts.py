@@ -188,7 +188,10 @@ def counter(model: str) -> UnigramCounter:
 
 
 def token_counts(docs: DataFrame, model: str, text_col: str = "text", into: str = "n_tokens") -> DataFrame:
-    """docs with the number of tokens of each whole text, as a long. Null and empty texts have none; no shuffle. Other columns pass through; one that is called as `into` is replaced."""
+    """docs with the number of tokens of each whole text, as a long. Null and empty texts have none; no shuffle.
+
+    A very long text is counted whole, as one row. Repeated rows are counted one by one. No rows: no rows. Other columns pass through; one that is called as `into` is replaced.
+    """
 
     @F.pandas_udf("long")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:

@@ -279,7 +279,8 @@ def _matched(own: np.ndarray, names: np.ndarray) -> list[int]:
 def toxicity(docs: DataFrame, chain: Chain, text_col: str = "text", into: str = "_toxicity") -> DataFrame:
     """docs with a struct of the probability of each category, in the chain's order, `toxic` last.
 
-    Whole texts; null and empty ones have no words and get the intercepts. No shuffle. Other columns pass through; one that is called as `into` is replaced.
+    Whole texts; null and empty ones have no words and get the intercepts. A very long text is scored whole, as one row. Repeated rows are scored one by one and alike. No rows: no rows.
+    No shuffle. Other columns pass through; one that is called as `into` is replaced.
     """
     fields = ", ".join(f"{n}: double" for n in chain.names)
     names = chain.names

@@ -130,7 +130,10 @@ def _frame(rows: list[tuple], schema: str) -> pd.DataFrame:
 
 
 def write_archives(pages: DataFrame, out: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", date: str | None = None, roll: int = 32 << 20, level: int = 1) -> DataFrame:
-    """Writes a response record per row and returns the manifest (path, records). Null payload: empty. Null url or id: no such field. The date, if none is given, is that of the call. Other columns are left out."""
+    """Writes a response record per row and returns the manifest (path, records). Null payload: empty. Null url or id: no such field. The date, if none is given, is that of the call. Other columns are left out.
+
+    A very long payload is one record, so an archive may be longer than `roll`. Repeated rows are a record each. No rows: no records.
+    """
     date = date or now()
 
     def write(batches):
@@ -173,6 +176,8 @@ def read_archives(manifest: DataFrame) -> DataFrame:
 def resolve(headers: DataFrame, min_bytes: int = 100) -> DataFrame:
     """Of records with equal payloads of at least min_bytes, all but the one of smallest page id (nulls last, then by place), each with what it refers to.
 
+    Repeated ids are records of their own. No headers: no rows. Payloads, however long, aren't read.
+
     Only headers are shuffled, by digest. Originals are a min() combined per task before the exchange, and the join
     back is an equi-join whose hot digests AQE splits.
     """

@@ -43,9 +43,19 @@ def test_minhash(odd):
     assert minhash_dedup.minhash_groups(odd.where("false")).count() == 0
 
 
+def test_minhash_at_the_threshold(spark):
+    """6 of 8 shingles are a link, 17 of 23 are none."""
+    short, long = [f"a{i}" for i in range(11)], [f"b{i}" for i in range(24)]
+    texts = {1: short, 2: short[:10] + ["other"], 3: long, 4: long[:21] + ["other"] + long[22:]}
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in texts.items()], "doc_id long, text string")
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in minhash_dedup.minhash_groups(df).collect()}
+    assert got == {1: (7, 1), 2: (7, 1), 3: (20, 3), 4: (20, 4)}
+
+
 def test_suffix_dedup(odd):
     got = sorted(((r["doc_id"] or 0), r["n_bytes"], r["left"]) for r in suffix_dedup.remove_repeats(odd).select("doc_id", "n_bytes", F.octet_length("kept").alias("left")).collect())
     by = {i: (n, left) for i, n, left in got}
+    assert suffix_dedup.remove_repeats(odd.where("false")).count() == 0
     assert len(got) == 16 and by[4] == (5000, 1) and by[5] == (LONG, LONG) and by[6][0] == LONG + 5 and by[6][1] < 200 and by[2] == (0, 0)
 
 

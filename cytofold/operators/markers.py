@@ -68,7 +68,7 @@ def rank_table(cf: CountFrame, labels: DataFrame) -> DataFrame:
     stretch's sums.
     """
     x = cf.matrix().join(labels, "cell_id").select("gene_id", "value", "group", _stretch(F.col("value")).alias("b"))
-    counted = x.groupBy("gene_id", "b", "value", "group").agg(F.count(F.lit(1)).alias("k")).repartition("gene_id", "b")
+    counted = cf.dealt(x.groupBy("gene_id", "b", "value", "group").agg(F.count(F.lit(1)).alias("k")), "gene_id", "b")
     values = counted.groupBy("gene_id", "b", "value").agg(F.sum("k").alias("t"), F.collect_list(F.struct("group", "k")).alias("by"))
     upto = F.sum("t").over(Window.partitionBy("gene_id", "b").orderBy("value"))
     rows = values.withColumn("mid", upto - F.col("t") + (F.col("t") + 1) / 2).select("gene_id", "b", "value", "mid", F.col("t").cast("double").alias("t"), F.posexplode("by").alias("at", "e"))

@@ -41,7 +41,7 @@ class Pseudobulk:
 
 def group_gene_totals(cf: CountFrame, labels: DataFrame, keys: Sequence[str]) -> DataFrame:
     """(keys, gene_id, count): sums of raw counts; transforms don't matter."""
-    return cf.kept().join(labels.select("cell_id", *keys), "cell_id").groupBy(*keys, "gene_id").agg(F.sum("count").alias("count"))
+    return cf.with_cells(cf.kept(), labels.select("cell_id", *keys)).groupBy(*keys, "gene_id").agg(F.sum("count").alias("count"))
 
 
 def pseudobulk(cf: CountFrame, sample_key: str | Sequence[str], groupby: str | Sequence[str] | None = None, min_cells: int = 10) -> Pseudobulk:

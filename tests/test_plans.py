@@ -6,7 +6,8 @@ import pandas as pd
 import pytest
 
 from cytofold.frame import CountFrame
-from cytofold.operators import markers, neighbors, qc
+from cytofold.operators import markers, neighbors, pseudobulk, qc
+from cytofold.plans.domain import customers_by_supplier as m2
 from cytofold.plans.queries import QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -107,3 +108,14 @@ def test_equal_values_are_counted_before_they_are_sent(spark):
     lines = plan.splitlines()
     sent = [i for i, v in enumerate(lines) if "Exchange hashpartitioning(gene_id" in v and "group" in v.split("),")[0] and "value" in v]
     assert sent and all("partial_count(1)" in " ".join(lines[i + 1 : i + 3]) for i in sent)
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_no_task_holds_all_orders_or_cells(spark):
+    """What grows with the orders or the cells is dealt and merged, so no task's memory grows with it (deseq2_wald, deseq2_lrt)."""
+    cf = m2(spark, SF)
+    plan = _plan(pseudobulk.group_gene_totals(cf, cf.obs, ["nation", "segment"]))
+    assert plan.count("SortMergeJoin") == 2 and "BroadcastHashJoin" not in plan

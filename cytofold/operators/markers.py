@@ -45,7 +45,7 @@ def _welch(t: DataFrame) -> DataFrame:
 
 def moments(cf: CountFrame, labels: DataFrame) -> DataFrame:
     """(group, gene_id, n1, n2, m1, m2, v1, v2) for every group and gene, the rest being the other labelled cells. One aggregate of the matrix."""
-    x = cf.matrix().join(labels, "cell_id").groupBy("group", "gene_id").agg(F.sum("value").alias("s"), F.sum(F.col("value") * F.col("value")).alias("q"))
+    x = cf.with_cells(cf.matrix(), labels).groupBy("group", "gene_id").agg(F.sum("value").alias("s"), F.sum(F.col("value") * F.col("value")).alias("q"))
     return _welch(_grid(cf, labels, x, ["s", "q"]))
 
 
@@ -63,12 +63,13 @@ def _stretch(v: Column) -> Column:
 def rank_table(cf: CountFrame, labels: DataFrame) -> DataFrame:
     """(group, gene_id, n1, n2, rank_sum, ties, s, q): sums of average ranks, t^3 - t over the tie blocks of the gene, zeros being one block in closed form, and sums of values and squares. One pass over the matrix.
 
-    Equal values of a group are counted before anything is sent, so a value that most cells share is one row a task and group. Counts are then dealt by gene and stretch of
-    value and ranked there, so that a window holds the distinct values of one stretch, not of a whole gene; what all lower stretches of the gene hold is then added to a
-    stretch's sums.
+    Equal values of a group are counted in slices of the cells, as many as the counts have partitions, so a value that most cells share is one row a slice and group. Counts are
+    then dealt by gene and stretch of value and ranked there, so that a window holds the distinct values of one stretch, not of a whole gene; what all lower stretches of the gene
+    hold is then added to a stretch's sums. Each exchange has as many partitions as the matrix asks for, not as the session has, as most values are distinct and nothing else bounds a task.
     """
-    x = cf.matrix().join(labels, "cell_id").select("gene_id", "value", "group", _stretch(F.col("value")).alias("b"))
-    counted = cf.dealt(x.groupBy("gene_id", "b", "value", "group").agg(F.count(F.lit(1)).alias("k")), "gene_id", "b")
+    keys, n = ["gene_id", "b", "value", "group"], cf.parts or int(cf.obs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    x = cf.with_cells(cf.matrix(), labels).select("gene_id", "value", "group", _stretch(F.col("value")).alias("b"), F.pmod(F.xxhash64("cell_id"), F.lit(n)).cast("int").alias("slice"))
+    counted = cf.dealt(x.repartitionById(n, "slice").groupBy("slice", *keys).agg(F.count(F.lit(1)).alias("k")), "gene_id", "b").groupBy(*keys).agg(F.sum("k").alias("k"))
     values = counted.groupBy("gene_id", "b", "value").agg(F.sum("k").alias("t"), F.collect_list(F.struct("group", "k")).alias("by"))
     upto = F.sum("t").over(Window.partitionBy("gene_id", "b").orderBy("value"))
     rows = values.withColumn("mid", upto - F.col("t") + (F.col("t") + 1) / 2).select("gene_id", "b", "value", "mid", F.col("t").cast("double").alias("t"), F.posexplode("by").alias("at", "e"))
@@ -80,6 +81,7 @@ def rank_table(cf: CountFrame, labels: DataFrame) -> DataFrame:
         F.sum(F.col("value") * k).alias("s"),
         F.sum(F.col("value") * F.col("value") * k).alias("q"),
     )
+    per = cf.dealt(per, "gene_id")
     before = F.coalesce(F.sum("nnz").over(Window.partitionBy("gene_id").orderBy("b").rangeBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
     per = per.withColumn("r", F.col("r") + before * F.col("nnz")).groupBy("group", "gene_id").agg(*[F.sum(c).alias(c) for c in ("r", "nnz", "tt", "s", "q")])
     t = _grid(cf, labels, per, ["r", "nnz", "tt", "s", "q"])

@@ -1,5 +1,7 @@
 """Plans over small frames, and every query that has SQL against DuckDB."""
 
+import re
+
 import duckdb
 import numpy as np
 import pandas as pd
@@ -119,3 +121,13 @@ def test_no_task_holds_all_orders_or_cells(spark):
     cf = m2(spark, SF)
     plan = _plan(pseudobulk.group_gene_totals(cf, cf.obs, ["nation", "segment"]))
     assert plan.count("SortMergeJoin") == 2 and "BroadcastHashJoin" not in plan
+
+
+def test_ranks_are_dealt_by_the_size_of_the_matrix(spark):
+    """No exchange of counted values or of stretches has as many partitions as the session, which would be larger with each row (marker_wilcoxon_scores, rank_genes_groups)."""
+    cf = m2(spark, SF)
+    cf.parts = 7
+    labels = markers._labels(cf, "segment", "all")
+    plan = _plan(markers.rank_table(cf, labels))
+    own = re.findall(r"Exchange hashpartitioning\((.*?)\), ENSURE", plan)
+    assert not any(re.search(r"\b(value|b)#", keys) for keys in own) and len(re.findall(r", 7\), REPARTITION_BY_NUM", plan)) >= 3, plan
